@@ -220,6 +220,9 @@ def aggregate_with_medians(
     """
     if not medians:
         return df.groupBy(*keys).agg(*aggregates)
+    if not keys:
+        exact = exact_quantiles(df.select(*[c.alias(n) for n, c in medians.items()]), list(medians), [0.5])
+        return df.agg(*aggregates, *[F.lit(exact[n][0]).cast("double").alias(n) for n in medians])
     if not has_hot_group(df, keys, max_group_rows):
         return df.groupBy(*keys).agg(*aggregates, *[F.median(c).alias(n) for n, c in medians.items()])
     values = df.select(*keys, *[c.cast("double").alias(n) for n, c in medians.items()])
