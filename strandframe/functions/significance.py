@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _tail(theta: Column, dof: int) -> Column:
@@ -84,7 +85,7 @@ def correlation_p(r: float | None, n: float | None) -> float | None:
     return incomplete_beta((n - 2) / 2.0, 0.5, max(0.0, 1.0 - r * r))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """p-value of a correlation; runs on aggregated rows only, one per model."""
     return pd.Series([correlation_p(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
