@@ -53,15 +53,20 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared}/strandframe-{spark.sparkContext.applicationId}-{next(_counter)}"
 
 
+HALF = 0.5001
 _counter = iter(range(10**9))
 
 
 def fix(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round doubles half up with the arithmetic the SQL side uses."""
+    """Round doubles with the arithmetic the SQL side uses.
+
+    The cut lies just below one half: sums added in another order still round alike
+    when the true value sits on the half.
+    """
     scale = F.lit(float(10**digits))
     return df.select(
         *[
-            (F.floor(F.col(f"`{f.name}`") * scale + 0.5) / scale).alias(f.name)
+            (F.floor(F.col(f"`{f.name}`") * scale + HALF) / scale).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -70,7 +75,7 @@ def fix(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def r(expression: str, digits: int = 4) -> str:
-    return f"(floor(({expression}) * 1e{digits} + 0.5) / 1e{digits})"
+    return f"(floor(({expression}) * 1e{digits} + {HALF}::DOUBLE) / 1e{digits})"
 
 
 def ra(expression: str, name: str, digits: int = 4) -> str:
@@ -89,7 +94,7 @@ raw_positions AS (
   SELECT user_id AS domain_id, event_id AS resid, {RESNAME_SQL} AS resname, event_type, value,
          CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k
   FROM events),
-positions AS (
+positions AS MATERIALIZED (
   SELECT domain_id, resid, resname,
          CASE WHEN k % 10 <> 0 THEN substr('HGIEBTSC-?', CAST(floor(k / 10.0) AS INTEGER) + 1, 1) END AS dssp,
          CASE WHEN k < 30 THEN 'Core' WHEN k < 60 THEN 'exterior' WHEN k < 80 THEN 'core' END AS core_exterior,
@@ -141,7 +146,7 @@ brands AS (
   SELECT p_brand, CAST(sum(cents) // count(*) AS BIGINT) AS beta_cents,
          CAST(floor(stddev_samp(cents)) AS BIGINT) AS sigma_cents
   FROM lines GROUP BY p_brand),
-results AS (
+results AS MATERIALIZED (
   SELECT l_suppkey AS domain_id, l_linenumber AS resid, lines.p_brand AS resname,
          CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS secondary_structure_encoded,
          CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END AS core_exterior_encoded,
@@ -201,7 +206,7 @@ def results(spark: SparkSession, folder: str) -> DataFrame:
 # ---- cells and wide ----------------------------------------------------------
 
 CELLS = RESULTS + """,
-cells AS (
+cells AS MATERIALIZED (
   SELECT domain_id, resid, l_returnflag AS resname, CAST(shipyear AS VARCHAR) AS condition,
          secondary_structure_encoded, max(core_exterior_encoded) AS core_exterior_encoded,
          CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 10 AS relative_accessibility,
@@ -248,7 +253,7 @@ WIDE = (
     CELLS
     + ", "
     + ",\n".join(_condition_sql(y) for y in YEARS)
-    + f",\nwide AS (SELECT * FROM c{YEARS[0]} "
+    + f",\nwide AS MATERIALIZED (SELECT * FROM c{YEARS[0]} "
     + " ".join(f"FULL OUTER JOIN c{y} USING (domain_id, resid, resname)" for y in YEARS[1:])
     + ")"
 )
