@@ -120,7 +120,7 @@ for _id, _metric in {
           _per_model(lambda m: f"count(*) AS n, {ra(f'corr(ry, r{m})', 'spearman_correlation', 6)}", "ranked")),
 )
 def _(spark, folder):
-    scored = metrics.regression_metrics(results(spark, folder), "actual", PREDICTIONS, metrics=("spearman_correlation",))
+    scored = metrics.regression_metrics(results(spark, folder).persist(), "actual", PREDICTIONS, metrics=("spearman_correlation",))
     return fix(scored, 6)
 
 
@@ -133,14 +133,14 @@ def _(spark, folder):
           "SELECT secondary_structure_encoded, count(*) AS n, " + ra("corr(ry, rp)", "spearman_correlation", 6) + " FROM ranked GROUP BY 1"),
 )
 def _(spark, folder):
-    return fix(metrics.rank_correlation(results(spark, folder), "actual", "beta_predicted", ["secondary_structure_encoded"]), 6)
+    return fix(metrics.rank_correlation(results(spark, folder).persist(), "actual", "beta_predicted", ["secondary_structure_encoded"]), 6)
 
 
 @query("a5_a6_p_values")
 def _(spark, folder):
     """Two-sided p-values; they need an incomplete beta function, so there is no SQL."""
     return metrics.regression_metrics(
-        results(spark, folder), "actual", PREDICTIONS, by=["domain_id"],
+        results(spark, folder).persist(), "actual", PREDICTIONS, by=["domain_id"],
         metrics=("pearson_correlation", "pearson_p_value", "spearman_correlation", "spearman_p_value"))
 
 
@@ -268,7 +268,7 @@ def _(spark, folder):
 @query("a21_errors_by_hot_category", _BY_CATEGORY_SQL)
 def _(spark, folder):
     """The median plan for categories too large for one task, forced by a low limit."""
-    return fix(groups.errors_by_category(results(spark, folder), MODELS, max_group_rows=10), 3)
+    return fix(groups.errors_by_category(results(spark, folder).persist(), MODELS, max_group_rows=10), 3)
 
 
 # ---- cross-condition ---------------------------------------------------------
@@ -450,7 +450,7 @@ _EDGES_SQL = ra("lo + b * ((hi - lo) / 20)", "bin_start", 3) + ", " + ra("CASE W
           f"SELECT condition, type, {_EDGES_SQL}, COALESCE(n, 0) AS \"count\" FROM grid LEFT JOIN placed USING (condition, type, b), span"),
 )
 def _(spark, folder):
-    return fix(across.pooled_histogram(wide(spark, folder), YEARS, "alpha"), 3)
+    return fix(across.pooled_histogram(wide(spark, folder).persist(), YEARS, "alpha"), 3)
 
 
 @query(
@@ -503,7 +503,7 @@ def _(spark, folder):
           + " FROM results GROUP BY 1 ORDER BY sum(cents) DESC, 1 LIMIT 15"),
 )
 def _(spark, folder):
-    rows = results(spark, folder)
+    rows = results(spark, folder).persist()
     total = rows.agg(F.sum("cents")).first()[0]
     shares = rows.groupBy(F.col("resname").alias("feature")).agg((F.sum("cents") / F.lit(total)).alias("importance"))
     return fix(reports.top_importances(shares), 6)
@@ -649,7 +649,7 @@ _PARTS = {
         f"SELECT '{p}' AS property, {e} AS value, count(*) AS \"count\", {_summary_sql('alpha_abs_error', '')} FROM results, span GROUP BY 2" for p, e in _PARTS.items())),
 )
 def _(spark, folder):
-    return fix(reports.errors_by_property(results(spark, folder), "alpha"), 3)
+    return fix(reports.errors_by_property(results(spark, folder).persist(), "alpha"), 3)
 
 
 @query("r5_model_pairs", with_(RESULTS, "SELECT " + ", ".join(ra(c, c, 2) for c in ("actual", "alpha_predicted", "beta_predicted")) + " FROM results"))

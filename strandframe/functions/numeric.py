@@ -50,4 +50,5 @@ def pearson(a: Column, b: Column) -> Column:
     """
     x, y = paired(a, b)
     r = ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-    return F.when(F.count(x) > 1, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    within = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return F.when((F.count(x) > 1) & r.isNotNull(), within)

@@ -145,7 +145,7 @@ def _shifted_in_blocks(
 ) -> DataFrame:
     block_rows = max(block_rows, k)
     placed = df.withColumn("__at", F.col(order[0]).cast("double"))
-    bounds = quantile_bounds(placed, "__at", default_buckets(df))
+    (bounds,) = quantile_bounds(placed, ["__at"], default_buckets(df))
     numbered = row_index(
         with_bucket(placed, "__at", bounds), "__bucket", order, "__row", keys=[group]
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..columns import GROUP, POSITION, is_numeric_condition
 from ..functions.numeric import complete, paired, pearson, ratio, to_number
 from ..functions.significance import correlation_p_value
-from .ranking import aggregate_with_medians, value_ranks
+from .ranking import aggregate_with_medians, default_buckets, quantile_bounds, value_ranks
 from .skew import match_keys
 
 CORE_METRICS = ("rmse", "mae", "r2", "pearson_correlation")
@@ -103,40 +103,40 @@ def rank_correlation(
     df: DataFrame, a: str, b: str, by: Sequence[str] = (), name: str = "spearman_correlation"
 ) -> DataFrame:
     """Spearman correlation with tied values sharing their mean rank."""
-    pairs = df.select(*by, to_number(a).alias("__a"), to_number(b).alias("__b")).filter(
+    complete_rows = df.select(*by, to_number(a).alias("__a"), to_number(b).alias("__b")).filter(
         complete(F.col("__a"), F.col("__b"))
     )
+    cuts = quantile_bounds(complete_rows, ["__a", "__b"], default_buckets(df))
     # equal pairs are counted first, so a frequent pair is joined once
-    pairs = pairs.groupBy(*by, "__a", "__b").agg(F.count(F.lit(1)).alias("__w"))
-    repeated = pairs
-    for value in ("__a", "__b"):
-        ranks = value_ranks(
-            df.filter(complete(to_number(a), to_number(b))), a if value == "__a" else b, by
-        ).select(
-            *by, F.col("value").alias(value), (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"{value}_rank")
+    pairs = complete_rows.groupBy(*by, "__a", "__b").agg(F.count(F.lit(1)).alias("__w"))
+    ranked = pairs
+    for value, bounds in zip(("__a", "__b"), cuts, strict=True):
+        ranks = value_ranks(complete_rows, value, by, bounds).select(
+            *by,
+            F.col("value").alias(value),
+            (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"{value}_rank"),
         )
-        repeated = match_keys(repeated, ranks, [*by, value], "inner")
-    return _weighted_pearson(repeated, "__a_rank", "__b_rank", "__w", by, name)
+        ranked = match_keys(ranked, ranks, [*by, value], "inner", known=[value])
+    return _weighted_pearson(ranked, "__a_rank", "__b_rank", "__w", by, name)
 
 
 def _weighted_pearson(
     df: DataFrame, x: str, y: str, weight: str, by: Sequence[str], name: str
 ) -> DataFrame:
-    """Correlation of rows that stand for ``weight`` equal rows each.
+    """Correlation of rank columns whose rows stand for ``weight`` equal rows each.
 
-    Ranks have a known mean, (n + 1) / 2, so the moments are centred exactly.
+    Mid-ranks have the known mean (n + 1) / 2 and a variance of the same order as its
+    square, so plain moments lose no digits and one aggregate is enough.
     """
-    sizes = df.groupBy(*by).agg(F.sum(weight).alias("n"))
-    if by:
-        centred = match_keys(df, sizes, by, "inner")
-        middle = (F.col("n") + 1) / 2
-    else:
-        total = sizes.first()[0]
-        centred = df.withColumn("n", F.lit(total))
-        middle = F.lit(((total or 0) + 1) / 2)
-    dx, dy, w = F.col(x) - middle, F.col(y) - middle, F.col(weight)
-    r = ratio(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx)) * F.sqrt(F.sum(w * dy * dy)))
-    return centred.groupBy(*by).agg(F.max("n").alias("n"), r.alias(name))
+    dx, dy, w = F.col(x), F.col(y), F.col(weight).cast("double")
+    n = F.sum(w)
+    middle = (n + 1) / 2
+
+    def moment(a: Column, b: Column) -> Column:
+        return F.sum(w * a * b) - n * middle * middle
+
+    r = ratio(moment(dx, dy), F.sqrt(moment(dx, dx)) * F.sqrt(moment(dy, dy)))
+    return df.groupBy(*by).agg(F.sum(weight).alias("n"), r.alias(name))
 
 
 def regression_metrics(

@@ -22,13 +22,14 @@ _BUCKET = "__bucket"
 
 def default_buckets(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(2000, 4 * partitions))
+    return max(16, min(20_000, 4 * partitions))
 
 
-def quantile_bounds(df: DataFrame, column: str, buckets: int) -> list[float]:
-    """Cut points giving buckets of about equal row counts; a fixed-size sketch."""
+def quantile_bounds(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
+    """Cut points giving buckets of about equal row counts; fixed-size sketches, one pass."""
     points = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.approxQuantile(column, points, 1.0 / (4 * buckets))))
+    sketches = [F.percentile_approx(F.col(c).cast("double"), points, 4 * buckets) for c in columns]
+    return [sorted(set(found or ())) for found in df.agg(*sketches).first()]
 
 
 def with_bucket(df: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame:
@@ -61,22 +62,23 @@ def row_index(
     starts = _bucket_starts(df, keys, bucket, F.lit(1))
     inside = Window.partitionBy(*keys, bucket).orderBy(*order)
     numbered = df.withColumn("__inside", F.row_number().over(inside) - 1)
-    joined = match_keys(numbered, starts, [*keys, bucket], "inner")
+    joined = match_keys(numbered, starts, [*keys, bucket], "inner", known=[bucket])
     return joined.withColumn(name, (F.col("__inside") + F.col("__start")).cast("long")).drop(
         "__inside", "__start"
     )
 
 
 def value_ranks(
-    df: DataFrame, value: str, keys: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame, value: str, keys: Sequence[str] = (), bounds: Sequence[float] | None = None
 ) -> DataFrame:
     """Every distinct value with its row count ``n`` and ``n_before`` smaller rows.
 
-    Equal values are counted before anything is ordered, so a value repeated
-    in a third of all rows is still one row here.
+    Equal values are counted before anything is ordered, so a value repeated in a third
+    of all rows is still one row here.
     """
     data = df.select(*keys, to_number(value).alias("value")).filter(F.col("value").isNotNull())
-    bounds = quantile_bounds(data, "value", buckets or default_buckets(df))
+    if bounds is None:
+        (bounds,) = quantile_bounds(data, ["value"], default_buckets(df))
     counted = (
         with_bucket(data, "value", bounds)
         .groupBy(*keys, _BUCKET, "value")
@@ -87,7 +89,7 @@ def value_ranks(
         Window.partitionBy(*keys, _BUCKET).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     )
     inside = counted.withColumn("__inside", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-    return match_keys(inside, starts, [*keys, _BUCKET], "inner").select(
+    return match_keys(inside, starts, [*keys, _BUCKET], "inner", known=[_BUCKET]).select(
         *keys, "value", "n", (F.col("__inside") + F.col("__start")).alias("n_before")
     )
 

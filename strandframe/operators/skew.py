@@ -27,17 +27,23 @@ def has_hot_group(df: DataFrame, keys: Sequence[str], max_rows: int = HOT_GROUP_
     return (largest or 0) > max_rows
 
 
-def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+def match_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, known: Sequence[str] = ()
+) -> DataFrame:
     """Join on keys where null matches null; the left side's key columns are kept.
 
-    No hint: adaptive execution broadcasts a side it has measured as small and
-    splits hot keys otherwise.
+    ``known`` lists the keys that are never null, which compare more cheaply. No hint:
+    adaptive execution broadcasts a side it has measured as small and splits hot keys
+    otherwise.
     """
     renamed = right.select(
         *[F.col(f"`{k}`").alias(f"__right_{k}") for k in keys],
         *[F.col(f"`{c}`") for c in right.columns if c not in keys],
     )
-    condition = reduce(
-        lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(renamed[f"`__right_{k}`"]) for k in keys]
-    )
+
+    def same(key: str):
+        a, b = left[f"`{key}`"], renamed[f"`__right_{key}`"]
+        return a == b if key in known else a.eqNullSafe(b)
+
+    condition = reduce(lambda a, b: a & b, [same(k) for k in keys])
     return left.join(renamed, condition, how).drop(*[f"__right_{k}" for k in keys])

@@ -17,7 +17,7 @@ from .ranking import row_index
 from .skew import match_keys
 
 HASH_BITS = 52
-BUCKET_BITS = 10
+BUCKET_BITS = 14
 
 
 def key_hash(keys: Sequence[str], seed: int) -> Column:

@@ -11,9 +11,17 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # A hot join key is split over tasks; the other side holds one row per key.
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Also where the join's partitioning is wanted above it: one more shuffle beats one hot task.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
+# Fixed when a session starts.
+STARTUP_CONF = {
+    # No call-site lookup per column expression: wide aggregates are built several times faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def apply_recommended(spark: SparkSession) -> SparkSession:
     for key, value in RECOMMENDED_CONF.items():
