@@ -52,10 +52,15 @@ def _(spark, folder):
     return fix(readers.union_tables(parts), 2)
 
 
-@query("s2_list_files", "SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet')" for t in TABLES) + ") AS t(file_name)")
-def _(spark, folder):
-    files = readers.list_files(spark, folder, "*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+@query("s2_list_files", " UNION ALL ".join(f"SELECT '{t}.parquet' AS file_name, count(*) AS n FROM {t}" for t in TABLES))
+def _(spark, folder):
+    """Matching files, each with its row count."""
+    listed = readers.list_files(spark, folder, "*.parquet")
+    names = listed.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name")).collect()
+    return readers.union_tables([
+        readers.read_file(spark, r["path"]).agg(F.lit(r["file_name"]).alias("file_name"), F.count(F.lit(1)).alias("n"))
+        for r in names
+    ])
 
 
 @query(

@@ -76,6 +76,7 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame]:
     """(summary, out-of-fold predictions). Folds keep groups whole, or are by row key."""
     placed = even_folds(df, folds, [group], seed) if group else hash_folds(df, folds, keys, seed)
+    placed = placed.persist()  # read once per fold
     scored = out_of_fold(build, placed, folds, keys=keys or [group], seed=seed)
     return summarize_folds(scored, metrics), scored
 

@@ -71,8 +71,10 @@ def align_conditions(
     is_at = {c: F.col(CONDITION) == str(c) for c in conditions}
     if unique_keys:
         first = is_at[conditions[0]]
+        # rows are moved before they become wide: a partly filled wide row is far larger
         wide = (
             long.filter(F.col(CONDITION).isin(*[str(c) for c in conditions]))
+            .repartition(*keys)
             .groupBy(*keys)
             .agg(
                 *[F.max(F.when(first, F.col(b))).alias(b) for b in base],

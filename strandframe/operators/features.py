@@ -70,24 +70,16 @@ def add_codes(df: DataFrame, core_names: tuple[str, ...] = ("core",)) -> DataFra
     )
 
 
-def _edge_value(df: DataFrame, feature: str) -> Column:
-    kind = df.schema[feature].dataType
-    return F.lit(0 if isinstance(kind, _INTEGRAL) else None).cast(kind)
-
-
 def _shifted(df: DataFrame, features: Sequence[str], k: int, window, known_group: Column) -> DataFrame:
     """All neighbour columns over one window, so the plan holds one sort and one pass.
 
     Rows without a group have no neighbours at all, not even an edge value.
     """
-    edges = {f: _edge_value(df, f) for f in features}
+    edges = {f: 0 if isinstance(df.schema[f].dataType, _INTEGRAL) else None for f in features}
 
     def at(feature: str, i: int) -> Column:
-        shift = F.lead(feature, i).over(window) if i > 0 else F.lag(feature, -i).over(window)
-        there = F.lead(F.lit(1), i).over(window) if i > 0 else F.lag(F.lit(1), -i).over(window)
-        edge = edges[feature]
-        value = F.when(there.isNotNull(), shift).otherwise(edge)
-        return F.when(known_group, value)
+        shift = F.lead if i > 0 else F.lag
+        return F.when(known_group, shift(feature, abs(i), edges[feature]).over(window))
 
     return df.withColumns({offset_name(f, i): at(f, i) for f in features for i in offsets(k)})
 

@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_number
-from .skew import HOT_GROUP_ROWS, has_hot_group, hot_keys, match_keys
+from .skew import has_hot_group, hot_keys, match_keys
 
 _BUCKET = "__bucket"
 
+# Values of one group that the built-in medians of one aggregate may buffer together.
+MEDIAN_BUFFER_ROWS = 1_000_000
+
 
 def default_buckets(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -213,7 +216,7 @@ def aggregate_with_medians(
     keys: Sequence[str],
     aggregates: Sequence[Column],
     medians: dict[str, Column],
-    max_group_rows: int = HOT_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """``groupBy(keys).agg(aggregates)`` plus exact medians.
 
@@ -225,6 +228,8 @@ def aggregate_with_medians(
     if not keys:
         exact = exact_quantiles(df.select(*[c.alias(n) for n, c in medians.items()]), list(medians), [0.5])
         return df.agg(*aggregates, *[F.lit(exact[n][0]).cast("double").alias(n) for n in medians])
+    if max_group_rows is None:
+        max_group_rows = MEDIAN_BUFFER_ROWS // len(medians)
     if not has_hot_group(df, keys, max_group_rows):
         return df.groupBy(*keys).agg(*aggregates, *[F.median(c).alias(n) for n, c in medians.items()])
     values = df.select(*keys, *[c.cast("double").alias(n) for n, c in medians.items()])
