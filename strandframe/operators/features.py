@@ -13,7 +13,7 @@ from ..columns import GROUP, GROUP_SIZE, POSITION, SCALED_POSITION, offset_name,
 from ..functions import codes
 from ..functions.numeric import to_number
 from .ranking import default_buckets, exact_quantiles, quantile_bounds, row_index, with_bucket
-from .skew import HOT_GROUP_ROWS, has_hot_group, hot_keys, match_keys
+from .skew import HOT_GROUP_ROWS, count_hot_groups, hot_keys, match_keys
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
@@ -110,10 +110,11 @@ def neighbor_columns(
         return df
     window = Window.partitionBy(group).orderBy(*order)
     known = F.col(group).isNotNull()
-    if not has_hot_group(df, [group], max_group_rows):
+    n_hot = count_hot_groups(df, [group], max_group_rows)
+    if n_hot == 0:
         return _shifted(df, features, k, window, known)
 
-    hot = hot_keys(df, [group], max_group_rows).select(group)
+    hot = hot_keys(df, [group], max_group_rows, n_hot)
     usual = match_keys(df, hot, [group], "left_anti")
     large = match_keys(df, hot, [group], "left_semi")
     parts = [_shifted(usual, features, k, window, known)]
@@ -244,13 +245,17 @@ def numeric_features(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns(changes) if changes else df
 
 
-def assemble(df: DataFrame, names: Sequence[str], target: str | None = None) -> DataFrame:
-    """Add the ``features`` vector and, with a target, the ``label``."""
+def model_rows(df: DataFrame, names: Sequence[str], target: str | None = None) -> DataFrame:
+    """Numeric inputs and, with a target, the ``label``."""
     ready = numeric_features(df, names)
-    vectors = VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep")
-    ready = vectors.transform(ready)
     if target is None:
         return ready
     if target not in df.columns:
         raise ValueError(f"target column '{target}' is missing")
     return ready.withColumn("label", F.coalesce(to_number(target), F.lit(0.0)))
+
+
+def assemble(df: DataFrame, names: Sequence[str], target: str | None = None) -> DataFrame:
+    """Model rows with their inputs as one ``features`` vector."""
+    vectors = VectorAssembler(inputCols=list(names), outputCol="features", handleInvalid="keep")
+    return vectors.transform(model_rows(df, names, target))

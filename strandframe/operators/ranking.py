@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import to_number
-from .skew import has_hot_group, hot_keys, match_keys
+from .skew import count_hot_groups, hot_keys, match_keys
 
 _BUCKET = "__bucket"
 
@@ -230,10 +230,11 @@ def aggregate_with_medians(
         return df.agg(*aggregates, *[F.lit(exact[n][0]).cast("double").alias(n) for n in medians])
     if max_group_rows is None:
         max_group_rows = MEDIAN_BUFFER_ROWS // len(medians)
-    if not has_hot_group(df, keys, max_group_rows):
+    n_hot = count_hot_groups(df, keys, max_group_rows)
+    if n_hot == 0:
         return df.groupBy(*keys).agg(*aggregates, *[F.median(c).alias(n) for n, c in medians.items()])
     values = df.select(*keys, *[c.cast("double").alias(n) for n, c in medians.items()])
-    hot = hot_keys(df, keys, max_group_rows).select(*keys)
+    hot = hot_keys(df, keys, max_group_rows, n_hot)
     large = match_keys(values, hot, keys, "left_semi")
     small = match_keys(values, hot, keys, "left_anti")
     result = df.groupBy(*keys).agg(*aggregates)

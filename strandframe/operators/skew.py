@@ -10,21 +10,28 @@ from pyspark.sql import functions as F
 
 # Rows of one group that a single task may order or buffer.
 HOT_GROUP_ROWS = 5_000_000
+# Counted keys that may be broadcast.
+BROADCAST_KEYS = 200_000
 
 
 def group_sizes(df: DataFrame, keys: Sequence[str], name: str = "rows") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """Keys with more than ``max_rows`` rows: at most total rows / ``max_rows`` of them."""
-    return group_sizes(df, keys, "__rows").filter(F.col("__rows") > max_rows)
+def count_hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int = HOT_GROUP_ROWS) -> int:
+    """Number of groups above ``max_rows``; reads the key columns alone, combined before the shuffle."""
+    sizes = group_sizes(df.select(*keys), keys, "__rows")
+    return sizes.agg(F.count_if(F.col("__rows") > max_rows)).first()[0]
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str], max_rows: int = HOT_GROUP_ROWS) -> bool:
-    """Size check over the key columns alone, combined before the shuffle."""
-    largest = group_sizes(df.select(*keys), keys, "__rows").agg(F.max("__rows")).first()[0]
-    return (largest or 0) > max_rows
+def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int, count: int) -> DataFrame:
+    """The keys of hot groups, ``count`` of them as counted before.
+
+    They are sent to every task while few, so that picking out the hot rows does not
+    itself gather a hot group in one place.
+    """
+    found = group_sizes(df, keys, "__rows").filter(F.col("__rows") > max_rows).select(*keys)
+    return F.broadcast(found) if count <= BROADCAST_KEYS else found
 
 
 def match_keys(
