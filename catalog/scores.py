@@ -105,8 +105,9 @@ for _id, _metric in {
     "a12_temperature_coefficient": "temperature_coefficient",
 }.items():
     def _metric_run(spark, folder, metric=_metric):
+        rows = results(spark, folder)
         scored = metrics.regression_metrics(
-            results(spark, folder), "actual", PREDICTIONS, metrics=(metric,), n_features=8, condition=320)
+            rows.persist() if "median" in metric else rows, "actual", PREDICTIONS, metrics=(metric,), n_features=8, condition=320)
         return fix(scored, _metric_sql("alpha")[metric][1])
 
     query(_id, with_(RESULTS, _per_model(lambda m, k=_metric: f"count(*) AS n, {ra(_metric_sql(m)[k][0], k, _metric_sql(m)[k][1])}", "results")))(_metric_run)

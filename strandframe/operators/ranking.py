@@ -19,6 +19,10 @@ from .skew import count_hot_groups, hot_keys, match_keys
 
 _BUCKET = "__bucket"
 
+# Width and accuracy of the sketches that bracket a quantile.
+_SLACK = 1e-3
+_ACCURACY = 10_000
+
 # Values of one group that the built-in medians of one aggregate may buffer together.
 MEDIAN_BUFFER_ROWS = 1_000_000
 
@@ -111,19 +115,22 @@ def exact_quantiles(
     rows are left in it, only those are ordered. Rows never pass through the driver.
     """
     numeric = df.select(*[to_number(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    places = range(len(columns))
+    # the first sketch rides along with the counts: it covers the whole column
+    around = [x for p in probabilities for x in (max(0.0, p - _SLACK), min(1.0, p + _SLACK))]
     summary = numeric.agg(
-        *[f(f"c{i}").alias(f"{n}{i}") for i in range(len(columns)) for n, f in
-          (("n", F.count), ("lo", F.min), ("hi", F.max))]
+        *[f(f"c{i}").alias(f"{n}{i}") for i in places for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))],
+        *[F.percentile_approx(f"c{i}", around, _ACCURACY).alias(f"s{i}") for i in places],
     ).first()
     pending = []
-    for i in range(len(columns)):
+    for i in places:
         n = summary[f"n{i}"]
-        for p in probabilities if n else ():
+        for j, p in enumerate(probabilities if n else ()):
             rank = (n - 1) * p
             pending.append(
                 {"c": f"c{i}", "key": (i, p), "ranks": (math.floor(rank), math.ceil(rank)),
                  "share": rank - math.floor(rank), "lo": summary[f"lo{i}"], "hi": summary[f"hi{i}"],
-                 "below": 0, "inside": n}
+                 "below": 0, "inside": n, "sketch": summary[f"s{i}"][2 * j : 2 * j + 2]}
             )
     while True:
         wide = [q for q in pending if q["inside"] > limit and q["lo"] < q["hi"]]
@@ -138,33 +145,35 @@ def exact_quantiles(
     }
 
 
-def _narrow(numeric: DataFrame, wide: list[dict]) -> bool:
-    """Shrink every interval once; False if none shrank."""
-    slack = 1e-3
+def _sketch(numeric: DataFrame, wide: list[dict]) -> None:
+    """Approximate values a little below and above the wanted ranks of each interval."""
     sketches = []
     for j, q in enumerate(wide):
         inside = F.when(F.col(q["c"]).between(q["lo"], q["hi"]), F.col(q["c"]))
         first, last = ((r - q["below"]) / q["inside"] for r in q["ranks"])
-        points = [max(0.0, first - slack), min(1.0, last + slack)]
-        sketches.append(F.percentile_approx(inside, points, 10_000).alias(f"s{j}"))
-    bounds = numeric.agg(*sketches).first()
+        points = [max(0.0, first - _SLACK), min(1.0, last + _SLACK)]
+        sketches.append(F.percentile_approx(inside, points, _ACCURACY).alias(f"s{j}"))
+    for q, found in zip(wide, numeric.agg(*sketches).first(), strict=True):
+        q["sketch"] = found
+
+
+def _narrow(numeric: DataFrame, wide: list[dict]) -> bool:
+    """Shrink every interval to its sketch where the wanted ranks lie inside; False if none shrank."""
+    unknown = [q for q in wide if q["sketch"] is None]
+    if unknown:
+        _sketch(numeric, unknown)
     counts = numeric.agg(
-        *[
-            F.count_if(F.col(q["c"]) < bounds[f"s{j}"][0]).alias(f"below{j}")
-            for j, q in enumerate(wide)
-        ],
-        *[
-            F.count_if(F.col(q["c"]).between(*bounds[f"s{j}"])).alias(f"inside{j}")
-            for j, q in enumerate(wide)
-        ],
+        *[F.count_if(F.col(q["c"]) < q["sketch"][0]).alias(f"below{j}") for j, q in enumerate(wide)],
+        *[F.count_if(F.col(q["c"]).between(*q["sketch"])).alias(f"inside{j}") for j, q in enumerate(wide)],
     ).first()
     shrank = False
     for j, q in enumerate(wide):
         below, inside = counts[f"below{j}"], counts[f"inside{j}"]
         holds = below <= q["ranks"][0] and q["ranks"][1] < below + inside
         if holds and inside < q["inside"]:
-            q["lo"], q["hi"], q["below"], q["inside"] = *bounds[f"s{j}"], below, inside
+            q["lo"], q["hi"], q["below"], q["inside"] = *q["sketch"], below, inside
             shrank = True
+        q["sketch"] = None
     return shrank
 
 
