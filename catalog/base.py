@@ -12,8 +12,8 @@ Money is summed in whole cents so that both engines see equal inputs.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from strandframe.operators.conditions import align_conditions
 from strandframe.operators.metrics import add_errors
+from strandframe.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,15 +47,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a write-and-read-back query, in shared storage where one is named."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        return tempfile.mkdtemp(prefix="strandframe-")
-    return f"{shared}/strandframe-{spark.sparkContext.applicationId}-{next(_counter)}"
+    """A new folder for a query that writes and reads back, in shared storage."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/strandframe-{application}-{next(_counter)}"
 
 
 HALF = 0.5001
-_counter = iter(range(10**9))
+_counter = count()
 
 
 def fix(df: DataFrame, digits: int = 4) -> DataFrame:

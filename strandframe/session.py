@@ -1,10 +1,10 @@
-"""Session settings the operators are designed for, and the shared checkpoint folder."""
+"""Session settings the operators are designed for, and the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -29,15 +29,14 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor reaches, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a local test) gets a folder of its own.
+    Only a local session without that setting gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandframe-checkpoint-"))
-    return df.checkpoint()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is not None:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return tempfile.mkdtemp(prefix="strandframe-")
