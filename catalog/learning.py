@@ -12,6 +12,7 @@ from strandframe.models import importance, scoring, validation
 from strandframe.models.estimators import estimator, fit, load_model, save_model
 from strandframe.operators import metrics, reports
 from strandframe.operators.splits import part, split_groups
+from strandframe.sources.readers import union_tables
 
 from .base import RESULTS, ROW_KEYS, fix, query, ra, results, scratch, with_
 
@@ -19,6 +20,14 @@ FEATURES = ["l_quantity", "p_retailprice", "l_discount", "secondary_structure_en
 FOREST = {"n_estimators": 8, "max_depth": 5}
 BOOSTED = {"epochs": 6, "max_depth": 3}
 
+_HASH = "CAST('0x' || substring(md5({} || '-42'), 1, 13) AS BIGINT)"
+_LINE = " || '-' || ".join(f"CAST({k} AS VARCHAR)" for k in ROW_KEYS)
+_TESTED = (
+    "placed AS (SELECT domain_id, row_number() OVER (ORDER BY " + _HASH.format("CAST(domain_id AS VARCHAR)")
+    + ", domain_id) - 1 AS place, ceil(count(*) OVER () * 0.2::DOUBLE) AS t FROM (SELECT DISTINCT domain_id FROM results)), "
+    "tested AS (SELECT results.* FROM results JOIN placed USING (domain_id) WHERE place < t)"
+)
+
 
 def labelled(spark, folder):
     """All scored lines with the price in thousands as label."""
@@ -118,7 +127,14 @@ def _(spark, folder):
     return scoring.evaluate_models(models, test, n_features=len(FEATURES))[0]
 
 
-@query("m11_fit_conditions")
+@query(
+    "m11_fit_conditions",
+    with_(RESULTS + ", rows AS (SELECT shipyear, actual / 1000 AS y, l_quantity AS x FROM results WHERE shipyear IN (1995, 1998, 2001)), "
+          "fitted AS (SELECT shipyear, regr_slope(y, x) AS slope, regr_intercept(y, x) AS base FROM rows GROUP BY 1), "
+          "scored AS (SELECT shipyear, y, base + slope * x AS p FROM rows JOIN fitted USING (shipyear))",
+          f"SELECT shipyear, 'linear' AS model, count(*) AS n, {ra('sqrt(avg((y - p) * (y - p)))', 'rmse', 5)}, "
+          f"{ra('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y))', 'r2', 5)} FROM scored GROUP BY 1"),
+)
 def _(spark, folder):
     rows = labelled(spark, folder).persist()
     years = [1995, 1998, 2001]
@@ -130,10 +146,9 @@ def _(spark, folder):
     scored = [
         scoring.predict(model, rows.filter(F.col("shipyear") == year)) for year, model in fitted.items()
     ]
-    from strandframe.sources.readers import union_tables
-
-    return metrics.regression_metrics(
+    tested = metrics.regression_metrics(
         union_tables(scored), "label", {"linear": "prediction"}, by=["shipyear"], metrics=("rmse", "r2"))
+    return fix(tested, 5)
 
 
 @query("m12_estimators")
@@ -147,7 +162,7 @@ def _(spark, folder):
     return metrics.regression_metrics(scored, "label", {n: f"{n}_predicted" for n in small}, metrics=("rmse", "r2"))
 
 
-@query("s11_saved_model")
+@query("s11_saved_model", with_(RESULTS + ", " + _TESTED, "SELECT count(*) AS n, count(*) AS same FROM tested"))
 def _(spark, folder):
     """A reloaded forest predicts what the fitted one does."""
     train, test = _split(spark, folder)
@@ -157,8 +172,6 @@ def _(spark, folder):
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fitted") == F.col("loaded")).alias("same"))
 
 
-_HASH = "CAST('0x' || substring(md5({} || '-42'), 1, 13) AS BIGINT)"
-_LINE = " || '-' || ".join(f"CAST({k} AS VARCHAR)" for k in ROW_KEYS)
 _FITTED = (
     ", fitted AS (SELECT k, regr_slope(y, x) AS slope, regr_intercept(y, x) AS base FROM rows, (SELECT unnest(range(5)) AS k) "
     "WHERE fold <> k GROUP BY k), scored AS (SELECT fold, y, base + slope * x AS p FROM rows JOIN fitted ON fold = k)"
