@@ -176,7 +176,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                         )
                         first = last
 
-    tasks = listed.select("file", "before").repartition(F.col("file"))
+    tasks = listed.select("file", "before").repartition(max(1, files.count()), "file")
     return tasks.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bitpack, chat, decontaminate, packing, url_tree
+from strandframe.llm import bitpack, chat, decontaminate, packing, recompress, suffix_array, url_tree
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
     "op3_packing": packing.query,
     "op4_token_files": bitpack.query,
     "op5_decontamination": decontaminate.query,
+    "op6_suffix_array": suffix_array.query,
+    "op8_recompression": recompress.query,
     "op10_url_filters": url_tree.query,
 }
 SQL = {
