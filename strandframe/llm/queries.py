@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bitpack, chat, decontaminate, packing, recompress, suffix_array, url_tree
+from strandframe.llm import bitpack, chat, dart_minhash, decontaminate, packing, recompress, suffix_array, url_tree
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_files": bitpack.query,
     "op5_decontamination": decontaminate.query,
     "op6_suffix_array": suffix_array.query,
+    "op7_dart_minhash": dart_minhash.query,
     "op8_recompression": recompress.query,
     "op10_url_filters": url_tree.query,
 }
