@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bitpack, chat, dart_minhash, decontaminate, packing, recompress, suffix_array, url_tree
+from strandframe.llm import bitpack, chat, dart_minhash, decontaminate, packing, recompress, suffix_array, toxicity, url_tree
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_suffix_array": suffix_array.query,
     "op7_dart_minhash": dart_minhash.query,
     "op8_recompression": recompress.query,
+    "op9_toxicity": toxicity.query,
     "op10_url_filters": url_tree.query,
 }
 SQL = {
