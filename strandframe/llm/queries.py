@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bitpack, chat, dart_minhash, decontaminate, packing, recompress, suffix_array, toxicity, url_tree
+from strandframe.llm import bitpack, chat, dart_minhash, decontaminate, multi_index, packing, recompress, suffix_array, toxicity, url_tree
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
+    "op2_multi_index": multi_index.query,
     "op3_packing": packing.query,
     "op4_token_files": bitpack.query,
     "op5_decontamination": decontaminate.query,
