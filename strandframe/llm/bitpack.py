@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import scratch, table, text_or_empty, written
+from strandframe.llm.common import qualified, scratch, table, text_or_empty, written
 from strandframe.llm.tokens import encoded, encoder, vocabulary
 
 BLOCK, FORMAT, NO_ID, END_ID = 8192, 1, -(1 << 63), 0
@@ -125,7 +125,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = EN
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, codes = TaskContext.get().partitionId(), encoder(vocabulary_path)
         end = np.asarray([end_id], "<u4").tobytes()
-        store, folder = fs.FileSystem.from_uri(path)
+        store, folder = fs.FileSystem.from_uri(qualified(path))
         store.create_dir(folder, recursive=True)
         attempt, name = f"{folder}/.{uuid.uuid4().hex}", f"part-{number:06d}.ids"
         writer = None
@@ -155,7 +155,7 @@ def read_ids(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                store, name = fs.FileSystem.from_uri(uri)
+                store, name = fs.FileSystem.from_uri(qualified(uri))
                 with store.open_input_file(name) as stream:
                     file = BlockReader(stream)
                     limits = np.append(file.starts, file.total)

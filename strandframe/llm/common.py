@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +15,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_paths: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that every executor reaches."""
-    return f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _paths.append(path)
+    return path
+
+
+def release() -> None:
+    """Removes every intermediate table made so far; results that still read them must be written before."""
+    while _paths:
+        store, folder = fs.FileSystem.from_uri(qualified(_paths.pop()))
+        if store.get_file_info(folder).type == fs.FileType.Directory:
+            store.delete_dir(folder)
+
+
+def qualified(path: str) -> str:
+    """Spark writes ``file:/x`` where others write ``file:///x``; a bare path is a local one."""
+    if path.startswith("/"):
+        return f"file://{path}"
+    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
 
 
 def written(df: DataFrame, name: str, spread: bool = False) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandframe.llm.common import components, table, text_or_empty, written
 from strandframe.llm.recompress import word_bounds, word_symbols
-from strandframe.llm.shards import PrefixHash, Shards, in_batches, joined, mark_columns, mix, read_shard, with_marks
+from strandframe.llm.shards import PrefixHash, Shards, in_batches, joined, mark_columns, mix, read_shard, with_marks, without_rows
 
 SHINGLE, SIMILARITY, BANDS, ROWS, FLOOR, BLOCK = 5, 0.8, 32, 5, 0.64, 2000
 # Cumulated Poisson(1) probabilities: the number of darts in a cell.
@@ -142,14 +142,26 @@ def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarra
     return links
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weights: str = "set", block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id, kept, *keep) per row; ids are those of the kept rows."""
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weights: str = "set", block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id, kept) per row; ids are those of the kept rows."""
+    shards = Shards(docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_or_empty(text_column).alias("text")), "dart-docs")
+    return group_rows(shards, least, bands, rows, size, weights, block).drop("uid")
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (doc_id, text and other columns) with one row of each group; kept rows are unchanged."""
+    shards = Shards(docs, "dart-docs")
+    grouped = group_rows(shards, **options).filter("NOT kept")
+    return without_rows(shards, grouped.select(F.shiftright("uid", 32).cast("int").alias("shard"), F.col("uid").bitwiseAND(0xFFFFFFFF).cast("int").alias("row")))
+
+
+def group_rows(shards: Shards, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weights: str = "set", block: int = BLOCK) -> DataFrame:
+    """(uid, doc_id, n_shingles, class_id, component_id, kept) of every row; uid is shard and row in one."""
     coordinates = bands * rows
-    shards = Shards(docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_or_empty(text_column).alias("text"), *[F.col(f"`{c}`") for c in keep]), "dart-docs")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_batches(batches, 3):
-            texts = [t.encode("utf8", "surrogatepass") for t in batch.column(3).to_pylist()]
+            texts = [(t or "").encode("utf8", "surrogatepass") for t in batch.column(3).to_pylist()]
             shingle, weight, text = shingle_sets(texts, size, weights)
             weighed = mix(shingle + weight.astype("u8") * np.uint64(0xA24BAED4963EE407))
             both = [np.zeros(len(texts), "u8") for _ in range(2)]
@@ -219,7 +231,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
                 yield pa.RecordBatch.from_arrays([pa.array(uid[part][x]), pa.array(uid[part][y])], ["a", "b"])
 
     tasks = max(int(shards.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * block)))
-    pairs = files.repartition("shard").mapInArrow(sets, "component bigint, i int, j int, own int, uid bigint, shingles binary, weights binary")
+    pairs = shards.dealt(files).mapInArrow(sets, "component bigint, i int, j int, own int, uid bigint, shingles binary, weights binary")
     links = written(pairs.repartition(tasks, "component", "i", "j").mapInArrow(verify, "a bigint, b bigint"), "dart-links")
     linked = components(links)
     # The class of every row, the component of every class, and the smallest row of every component.
@@ -232,10 +244,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BAN
     result = rows_out.select(
         "uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_first", own)["doc_id"].alias("class_id"), F.coalesce("group_first", own)["doc_id"].alias("component_id"),
         (F.coalesce("group_first", own)["uid"] == F.col("uid")).alias("kept"))
-    if not keep:
-        return result.drop("uid")
-    texts = shards.rows().select(((F.col("__shard").cast("bigint") * (1 << 32)) + F.col("__row")).alias("uid"), *[F.col(f"`{c}`") for c in keep])
-    return texts.join(result.select("uid", "n_shingles", "class_id", "component_id", "kept"), "uid").drop("uid")
+    return result
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

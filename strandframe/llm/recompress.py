@@ -162,7 +162,7 @@ def covered_spans(shards: Shards, window: int = WINDOW, rounds: int = ROUNDS, ho
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_batches(batches, 3):
-            texts = [t.encode("utf8", "surrogatepass") for t in batch.column(3).to_pylist()]
+            texts = [(t or "").encode("utf8", "surrogatepass") for t in batch.column(3).to_pylist()]
             anchor, context, text, start, size = find_contexts(*joined(texts), window, rounds)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor), pa.array(context), batch.column(2).take(pa.array(text)), *(pa.array(batch.column(i).to_numpy()[text]) for i in (0, 1)),
@@ -178,7 +178,7 @@ def covered_spans(shards: Shards, window: int = WINDOW, rounds: int = ROUNDS, ho
     whole = settled.filter("covered").select("shard", "row", "start", "windows")
     marks = settled.filter("NOT covered").select("shard", "row", "start", "windows", "anchor")
     files = written(with_marks(shards, marks, ["row", "start", "windows", "anchor"]).filter("marks IS NOT NULL"), "recompress-marks")
-    windows = written(window_hashes(shards, files.repartition("shard"), window), "recompress-windows")
+    windows = written(window_hashes(shards, shards.dealt(files), window), "recompress-windows")
     here = F.struct("doc_id", "shard", "row", "start")
     first = windows.groupBy("anchor", "hash").agg(F.count("*").alias("times"), F.min(here).alias("first")).filter("times > 1")
     partial = windows.join(first, ["anchor", "hash"]).filter(~F.col("first").eqNullSafe(here)).select("shard", "row", "start", F.lit(1).alias("windows"))
@@ -219,7 +219,7 @@ def window_hashes(shards: Shards, files: DataFrame, window: int) -> DataFrame:
                     a, b = np.searchsorted(row, [first, first + rows.num_rows])
                     if a == b:
                         continue
-                    data, bounds = joined([t.encode("utf8", "surrogatepass") for t in rows.column(1).to_pylist()])
+                    data, bounds = joined([(t or "").encode("utf8", "surrogatepass") for t in rows.column(1).to_pylist()])
                     begin, end, owner = word_bounds(data, bounds)
                     hashed = PrefixHash(word_symbols(data, begin, end))
                     lengths = np.bincount(owner, minlength=rows.num_rows)
@@ -267,7 +267,7 @@ def cut_words(shards: Shards, spans: DataFrame, window: int = WINDOW) -> DataFra
                     columns = [*(rows.column(rows.schema.get_field_index(n)) for n in names), *new]
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
-    return with_marks(shards, spans, ["row", "start", "windows"]).repartition("shard").mapInArrow(cut, schema)
+    return with_marks(shards, spans, ["row", "start", "windows"]).mapInArrow(cut, schema)
 
 
 _TO_SPACE = {c: " " for c in range(0x09, 0x0E)}
@@ -279,6 +279,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     return cut_words(shards, covered_spans(shards, window, rounds, hot_rows), window).select("doc_id", F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__kept").alias("kept"))
 
 
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` (doc_id, text and other columns) with covered words cut; other texts stay as they are.
+
+    ``n_chars`` of a cut text is counted again, where there is such a column.
+    """
+    shards = Shards(docs, "recompress-docs")
+    found = cut_words(shards, covered_spans(shards, window), window)
+    cut = F.size("__spans") > 0
+    changed = {"text": F.when(cut, F.col("__kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(cut, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, folder: str) -> DataFrame:
     found = remove_repeats(table(spark, folder, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s[1] - s[0]))

@@ -17,11 +17,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import scratch
+from strandframe.llm.common import qualified, scratch
 
 # Odd multiplier of the prefix hash and the seed of its symbol values: fixed, so that all tasks agree.
 BASE, SEED = np.uint64(0x9E3779B97F4A7C15), 20240229
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 class Shards:
@@ -32,6 +32,7 @@ class Shards:
         self.path = scratch(self.spark, name)
         docs.write.option("compression", "zstd").parquet(self.path)
         self.schema = docs.schema
+        self.count = max(1, self.files().count())
 
     def rows(self) -> DataFrame:
         """The documents with shard and row, through Spark's own scan."""
@@ -40,6 +41,10 @@ class Shards:
         number += F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)\.", 2).cast("bigint")
         return frame.select(number.cast("int").alias("__shard"), F.col("_metadata.row_index").cast("int").alias("__row"), "*")
 
+    def dealt(self, files: DataFrame) -> DataFrame:
+        """A few small rows that stand for much work each: about one task per shard."""
+        return files.repartition(self.count, "shard")
+
     def files(self) -> DataFrame:
         """(shard, file), a row per file that holds rows."""
         frame = self.spark.read.schema(self.schema).parquet(self.path)
@@ -50,7 +55,7 @@ class Shards:
 
 def read_shard(uri: str, columns: list[str] | None = None, rows_at_once: int = 512) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(first row, batch) of a shard file in order."""
-    store, path = fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file:///") else uri)
+    store, path = fs.FileSystem.from_uri(qualified(uri))
     with store.open_input_file(path) as stream:
         file, at = pq.ParquetFile(stream), 0
         for batch in file.iter_batches(batch_size=rows_at_once, columns=columns):
@@ -64,7 +69,27 @@ def with_marks(shards: Shards, marks: DataFrame, fields: list[str]) -> DataFrame
     A shard's marks are bounded by its file, so this gathers no more than a shard per task.
     """
     grouped = marks.groupBy("shard").agg(F.collect_list(F.struct(*fields)).alias("marks"))
-    return shards.files().join(grouped, "shard", "left")
+    return shards.dealt(shards.files().join(grouped, "shard", "left"))
+
+
+def without_rows(shards: Shards, dropped: DataFrame) -> DataFrame:
+    """The documents without the rows (shard, row) of ``dropped``, read beside them: no text is shuffled."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(shards.schema)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, uri in enumerate(batch.column("file").to_pylist()):
+                gone = np.sort(np.concatenate(mark_columns(batch.column("marks"), at) or [np.zeros(0, "i4")]))
+                for first, rows in read_shard(uri):
+                    a, b = np.searchsorted(gone, [first, first + rows.num_rows])
+                    stays = np.ones(rows.num_rows, bool)
+                    stays[gone[a:b] - first] = False
+                    kept = rows.filter(pa.array(stays))
+                    yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(f.name)).cast(f.type) for f in target], schema=target)
+
+    return with_marks(shards, dropped, ["row"]).mapInArrow(keep, shards.schema)
 
 
 def mark_columns(column: pa.Array, row: int) -> list[np.ndarray]:
