@@ -68,7 +68,8 @@ def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_C
     current = urls.withColumn("parts", parts).withColumn("parts", F.concat(F.slice("parts", 1, depth), tail))
     current = current.withColumn("template", F.lit(""))
     keys = ["host", "template"]
-    for level in range(depth + 1):
+    levels = min(depth + 1, current.agg(F.max(F.size("parts"))).first()[0] or 0)
+    for level in range(levels):
         child = F.get("parts", F.lit(level))
         current = current.withColumn("child", child)
         children = current.filter("child IS NOT NULL").select(*keys, "child").distinct()
@@ -78,6 +79,7 @@ def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_C
             F.when(F.col("child").isNull(), F.col("template")).otherwise(
                 F.concat("template", F.lit("/"), F.when(F.col("children").isNotNull() & ~F.col("child").startswith("{"), WILD).otherwise(F.col("child")))),
         ).drop("children", "child")
+        current = written(current, "url-level")  # each level reads the one before twice
     return current.drop("parts")
 
 
