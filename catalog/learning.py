@@ -129,7 +129,7 @@ def _(spark, folder):
 
 @query(
     "m11_fit_conditions",
-    with_(RESULTS + ", rows AS (SELECT shipyear, actual / 1000 AS y, l_quantity AS x FROM results WHERE shipyear IN (1995, 1998, 2001)), "
+    with_(RESULTS + ", rows AS (SELECT shipyear, actual / 1000 AS y, l_quantity AS x FROM results WHERE shipyear BETWEEN 1995 AND 2001), "
           "fitted AS (SELECT shipyear, regr_slope(y, x) AS slope, regr_intercept(y, x) AS base FROM rows GROUP BY 1), "
           "scored AS (SELECT shipyear, y, base + slope * x AS p FROM rows JOIN fitted USING (shipyear))",
           f"SELECT shipyear, 'linear' AS model, count(*) AS n, {ra('sqrt(avg((y - p) * (y - p)))', 'rmse', 5)}, "
@@ -137,7 +137,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     rows = labelled(spark, folder).persist()
-    years = [1995, 1998, 2001]
+    years = list(range(1995, 2002))
 
     def fit_year(year):
         return fit(estimator("linear", ["l_quantity"]), rows.filter(F.col("shipyear") == year))
@@ -151,6 +151,21 @@ def _(spark, folder):
     return fix(tested, 5)
 
 
+@query(
+    "m11_failed_condition",
+    with_(RESULTS, "SELECT y AS shipyear, (SELECT count(*) FROM results WHERE shipyear = y) > 0 AS fitted FROM (VALUES (1900), (1995)) AS t(y)"),
+)
+def _(spark, folder):
+    """A condition without rows fails and is reported; the other goes on."""
+    rows = labelled(spark, folder)
+
+    def fit_year(year):
+        return fit(estimator("linear", ["l_quantity"]), rows.filter(F.col("shipyear") == year))
+
+    fitted, failed = scoring.fit_conditions(fit_year, [1900, 1995])
+    return spark.createDataFrame([(y, True) for y in fitted] + [(y, False) for y in failed], "shipyear int, fitted boolean")
+
+
 @query("m12_estimators")
 def _(spark, folder):
     train, test = _split(spark, folder)

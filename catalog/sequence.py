@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandframe.columns import offset_name
 from strandframe.functions import codes, numeric
 from strandframe.operators import clean, features, filters, reports, sequence, splits
 from strandframe.operators.groups import errors_by_category
@@ -11,7 +12,7 @@ from strandframe.operators.metrics import add_errors
 from strandframe.sources import checks, profile, readers, sinks
 
 from .base import (
-    CELLS, POSITIONS, RESULTS, ROW_KEYS, cells, fix,
+    CELLS, POSITIONS, RESULTS, ROW_KEYS, YEARS, cells, fix,
     positions, query, r, ra, results, scratch, table, with_,
 )
 
@@ -43,11 +44,7 @@ def _(spark, folder):
     parts = []
     for fmt in ("csv", "tsv", "json"):
         path = f"{out}/s.{fmt}"
-        read = (
-            spark.read.schema(source.schema).json(path)
-            if fmt == "json"
-            else readers.read_file(spark, path, schema=source.schema)
-        )
+        read = readers.read_file(spark, path, schema=source.schema)
         parts.append(read.select(F.lit(fmt).alias("fmt"), "s_suppkey", "s_name", "s_acctbal"))
     return fix(readers.union_tables(parts), 2)
 
@@ -55,12 +52,11 @@ def _(spark, folder):
 @query("s2_list_files", " UNION ALL ".join(f"SELECT '{t}.parquet' AS file_name, count(*) AS n FROM {t}" for t in TABLES))
 def _(spark, folder):
     """Matching files, each with its row count."""
-    listed = readers.list_files(spark, folder, "*.parquet")
-    names = listed.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name")).collect()
-    return readers.union_tables([
-        readers.read_file(spark, r["path"]).agg(F.lit(r["file_name"]).alias("file_name"), F.count(F.lit(1)).alias("n"))
-        for r in names
-    ])
+    # one scan of all files; a column that none of them has costs no reading
+    rows = spark.read.schema("__none int").option("pathGlobFilter", "*.parquet").parquet(folder)
+    counts = rows.select(F.col("_metadata.file_name").alias("file_name")).groupBy("file_name").agg(F.count(F.lit(1)).alias("n"))
+    listed = readers.list_files(spark, folder, "*.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+    return listed.join(counts, "file_name", "left").select("file_name", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
 
 
 @query(
@@ -98,6 +94,15 @@ def _(spark, folder):
     )
 
 
+@query("s4_left_out", "SELECT 'not_there.parquet' AS name, n AS merged_rows FROM (SELECT count(*) AS n FROM nation)")
+def _(spark, folder):
+    """What a merge could not read, beside the rows it did read."""
+    failed = []
+    merged = readers.merge_files(spark, [f"{folder}/nation.parquet", f"{folder}/not_there.parquet"], failed=failed)
+    names = readers.failure_table(spark, failed).select(F.element_at(F.split("name", "/"), -1).alias("name"))
+    return names.join(merged.agg(F.count(F.lit(1)).alias("merged_rows")))
+
+
 @query(
     "s5_required_columns",
     with_(POSITIONS, "SELECT resname, count(*) AS n FROM positions GROUP BY 1"),
@@ -119,13 +124,24 @@ def _stored_cells(spark, folder):
     return sinks.write_results(cells(spark, folder), f"{scratch(spark)}/cells")
 
 
+def _condition_folders(spark, folder, years):
+    """A folder of part files per condition, named by the rule of the files."""
+    out, rows = scratch(spark), cells(spark, folder)
+    for year in years:
+        rows.filter(F.col("condition") == str(year)).select(
+            "domain_id", "resid", "resname", F.col("actual").alias(f"rmsf_{year}"), "alpha_predicted"
+        ).write.option("header", True).csv(f"{out}/temperature_{year}_train.csv")
+    return out
+
+
 @query(
     "s6_one_condition",
     with_(CELLS, f"SELECT domain_id, resid, resname, condition, {ra('actual', 'actual')} FROM cells WHERE condition = '1998'"),
 )
 def _(spark, folder):
-    read = sinks.read_results(spark, _stored_cells(spark, folder), [1998])
-    return fix(read.select("domain_id", "resid", "resname", "condition", "actual"))
+    read = readers.read_condition(spark, _condition_folders(spark, folder, [1998]), 1998, [1998])
+    kinds = {f.name: f.dataType for f in cells(spark, folder).schema.fields}
+    return fix(read.select(*[F.col(c).cast(kinds[c]) for c in ("domain_id", "resid", "resname")], "condition", F.col("rmsf_1998").alias("actual")))
 
 
 @query(
@@ -133,8 +149,9 @@ def _(spark, folder):
     with_(CELLS, f"SELECT domain_id, resid, resname, condition, {ra('actual', 'actual')}, {ra('alpha_predicted', 'alpha_predicted')} FROM cells"),
 )
 def _(spark, folder):
-    read = sinks.read_results(spark, _stored_cells(spark, folder))
-    return fix(read.select("domain_id", "resid", "resname", "condition", "actual", "alpha_predicted"))
+    read = readers.read_all_conditions(spark, _condition_folders(spark, folder, YEARS), YEARS)
+    kinds = {f.name: f.dataType for f in cells(spark, folder).schema.fields}
+    return fix(read.select(*[F.col(c).cast(kinds[c]) for c in ("domain_id", "resid", "resname")], "condition", F.col("target").alias("actual"), "alpha_predicted"))
 
 
 _PROFILED = ["domain_id", "resid", "resname", "dssp", "core_exterior", "relative_accessibility", "esm_rmsf", "rmsf_320"]
@@ -501,6 +518,23 @@ def _(spark, folder):
     return fix(around.select("domain_id", "resid", *_offset_columns()))
 
 
+@query(
+    "w1_null_positions_in_blocks",
+    "SELECT l_suppkey AS domain_id, CASE WHEN l_linenumber <> 3 THEN l_linenumber END AS resid, l_orderkey, l_partkey, "
+    "lag(l_partkey, 1, 0) OVER g AS before, lead(l_partkey, 1, 0) OVER g AS after FROM lineitem "
+    "WINDOW g AS (PARTITION BY l_suppkey ORDER BY CASE WHEN l_linenumber <> 3 THEN l_linenumber END NULLS FIRST, l_orderkey, l_linenumber, l_partkey)",
+)
+def _(spark, folder):
+    """Rows without a position stay, and come first, in the plan for large groups too."""
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_suppkey").alias("domain_id"), F.when(F.col("l_linenumber") != 3, F.col("l_linenumber")).alias("resid"),
+        "l_orderkey", "l_linenumber", "l_partkey")
+    order = ("resid", "l_orderkey", "l_linenumber", "l_partkey")
+    around = features.neighbor_columns(rows, ["l_partkey"], 1, order=order, max_group_rows=50, block_rows=16)
+    return around.select("domain_id", "resid", "l_orderkey", "l_partkey",
+                         F.col(offset_name("l_partkey", -1)).alias("before"), F.col(offset_name("l_partkey", 1)).alias("after"))
+
+
 @query("w2_filled_neighbors", _neighbors_sql(True))
 def _(spark, folder):
     around = features.add_neighbors(positions(spark, folder), list(_W_FEATURES), 2)

@@ -24,6 +24,12 @@ def _subset(max_features) -> str:
     return str(max_features) if not isinstance(max_features, int) else str(int(max_features))
 
 
+def checked_depth(max_depth: int | None) -> int:
+    if max_depth is not None and max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth {max_depth} is above {MAX_DEPTH}, the deepest tree Spark ML grows")
+    return MAX_DEPTH if max_depth is None else max_depth
+
+
 def forest_regressor(
     n_estimators: int = 100,
     max_depth: int | None = None,
@@ -32,12 +38,16 @@ def forest_regressor(
     bootstrap: bool = True,
     seed: int = 42,
 ) -> RandomForestRegressor:
-    """Random forest. A minimum split size does not exist in Spark ML; the leaf size does."""
+    """Random forest. A minimum split size does not exist in Spark ML; the leaf size does.
+
+    ``max_depth`` None means the most that Spark ML grows, 30; more than that is an error.
+    """
+    depth = checked_depth(max_depth)
     return RandomForestRegressor(
         featuresCol="features",
         labelCol="label",
         numTrees=n_estimators,
-        maxDepth=MAX_DEPTH if max_depth is None else min(max_depth, MAX_DEPTH),
+        maxDepth=depth,
         minInstancesPerNode=min_samples_leaf,
         featureSubsetStrategy=_subset(max_features),
         bootstrap=bootstrap,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..columns import GROUP
 from ..operators.metrics import CORE_METRICS, regression_metrics
 from ..operators.splits import even_folds, hash_folds
-from .estimators import MAX_DEPTH, fit, linear
+from .estimators import checked_depth, fit, linear
 from .scoring import score
 
 # search name -> Spark ML parameter
@@ -96,7 +96,7 @@ def q_squared(df: DataFrame, features: Sequence[str], keys: Sequence[str], folds
 
 def _value(name: str, value):
     if name == "max_depth":
-        return MAX_DEPTH if value is None else min(value, MAX_DEPTH)
+        return checked_depth(value)
     return str(value) if name == "max_features" else value
 
 

@@ -63,7 +63,8 @@ def align_conditions(
     """Full outer alignment of all conditions on ``keys`` (null keys match each other).
 
     With one row per key and condition the N-way outer join is one grouped pivot:
-    one shuffle in all. ``unique_keys=False`` joins condition by condition instead and
+    one shuffle in all; a key repeated within a condition stops the job, for folding its rows
+    would make up a row that never was. ``unique_keys=False`` joins condition by condition instead and
     pairs repeated keys the way a join does. Base features come from the first condition.
     """
     columns = _per_condition_columns(long, models, actual)
@@ -83,8 +84,12 @@ def align_conditions(
                     for c in conditions
                     for name, value in columns.items()
                 ],
+                F.greatest(F.lit(0), *[F.count_if(is_at[c]) for c in conditions]).alias("__rows"),
             )
         )
+        repeated = F.raise_error(F.lit("a key repeats within a condition; align with unique_keys=False"))
+        # as a filter, which no later selection prunes away
+        wide = wide.filter(F.when(F.col("__rows") > 1, repeated.cast("boolean")).otherwise(True)).drop("__rows")
         return add_model_differences(wide, models, conditions)
 
     def of(c) -> DataFrame:

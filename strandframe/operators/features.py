@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..columns import GROUP, GROUP_SIZE, POSITION, SCALED_POSITION, offset_name, offsets
 from ..functions import codes
 from ..functions.numeric import to_number
-from .ranking import default_buckets, exact_quantiles, quantile_bounds, row_index, with_bucket
+from .ranking import default_buckets, exact_quantiles, quantile_bounds, row_index, sort_number, with_bucket
 from .skew import HOT_GROUP_ROWS, count_hot_groups, hot_keys, match_keys
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -101,7 +101,8 @@ def neighbor_columns(
 
     One shuffle by group, unless some group is too large for a task. Such groups
     are numbered, cut into blocks of consecutive rows with ``k`` copied rows on
-    both sides, and handled block by block.
+    both sides, and handled block by block. Null positions come first in either form,
+    and any type that sorts may give the position.
     """
     if group not in df.columns or order[0] not in df.columns:
         raise ValueError(f"neighbour features need the columns '{group}' and '{order[0]}'")
@@ -137,7 +138,7 @@ def _shifted_in_blocks(
     df: DataFrame, features: Sequence[str], k: int, group: str, order: Sequence[str], block_rows: int
 ) -> DataFrame:
     block_rows = max(block_rows, k)
-    placed = df.withColumn("__at", F.col(order[0]).cast("double"))
+    placed = df.withColumn("__at", sort_number(df, order[0]))
     (bounds,) = quantile_bounds(placed, ["__at"], default_buckets(df))
     numbered = row_index(
         with_bucket(placed, "__at", bounds), "__bucket", order, "__row", keys=[group]

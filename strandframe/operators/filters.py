@@ -16,13 +16,15 @@ INLINE_KEYS = 1000
 
 
 def _is_in(df: DataFrame, column: str, keys: Sequence | DataFrame, how: str) -> DataFrame:
+    """Null is in no list, whatever the list holds and however long it is."""
     if isinstance(keys, DataFrame):
-        wanted = keys.select(F.col(keys.columns[0]).alias(column)).distinct()
+        wanted = keys.select(F.col(keys.columns[0]).alias(column)).filter(F.col(column).isNotNull()).distinct()
         return match_keys(df, wanted, [column], how)
+    keys = {k for k in keys if k is not None}
     if len(keys) > INLINE_KEYS:
-        wanted = df.sparkSession.createDataFrame([(k,) for k in set(keys)], df.select(column).schema)
+        wanted = df.sparkSession.createDataFrame([(k,) for k in keys], df.select(column).schema)
         return match_keys(df, wanted, [column], how)
-    listed = F.coalesce(F.col(column).isin(*keys), F.lit(False))
+    listed = F.coalesce(F.col(column).isin(*keys), F.lit(False)) if keys else F.lit(False)
     return df.filter(listed if how == "left_semi" else ~listed)
 
 

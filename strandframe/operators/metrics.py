@@ -125,17 +125,19 @@ def _weighted_pearson(
 ) -> DataFrame:
     """Correlation of rank columns whose rows stand for ``weight`` equal rows each.
 
-    Mid-ranks have the known mean (n + 1) / 2 and a variance of the same order as its
-    square, so plain moments lose no digits and one aggregate is enough.
+    Twice a mid-rank is a whole number with the known mean n + 1, so the moments are summed as
+    whole numbers and lose nothing, at any size. Null if a side is constant.
     """
-    dx, dy, w = F.col(x), F.col(y), F.col(weight).cast("double")
-    n = F.sum(w)
-    middle = (n + 1) / 2
+    whole = "decimal(38,0)"
+    dx, dy = ((2 * F.col(c)).cast("decimal(16,0)") for c in (x, y))
+    n = F.sum(F.col(weight)).cast("decimal(14,0)")
 
     def moment(a: Column, b: Column) -> Column:
-        return F.sum(w * a * b) - n * middle * middle
+        total = F.sum(((a * b).cast(whole) * F.col(weight)).cast(whole))
+        return (total - ((n + 1) * (n + 1)).cast(whole) * n).cast("double")
 
     r = ratio(moment(dx, dy), F.sqrt(moment(dx, dx)) * F.sqrt(moment(dy, dy)))
+    r = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
     return df.groupBy(*by).agg(F.sum(weight).alias("n"), r.alias(name))
 
 

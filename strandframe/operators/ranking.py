@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numeric import to_number
 from .skew import count_hot_groups, hot_keys, match_keys
@@ -36,17 +37,31 @@ def quantile_bounds(df: DataFrame, columns: Sequence[str], buckets: int) -> list
     """Cut points giving buckets of about equal row counts; fixed-size sketches, one pass."""
     points = [i / buckets for i in range(1, buckets)]
     sketches = [F.percentile_approx(F.col(c).cast("double"), points, 4 * buckets) for c in columns]
-    return [sorted(set(found or ())) for found in df.agg(*sketches).first()]
+    return [sorted({x for x in found or () if x == x}) for found in df.agg(*sketches).first()]  # no NaN
 
 
 def with_bucket(df: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame:
-    """Add the bucket of a numeric column: a fixed function of the value alone."""
+    """Add the bucket of a numeric column: a fixed function of the value alone, in sort order.
+
+    Null has the first bucket to itself and NaN the last, as they sort.
+    """
     splits = [-math.inf, *bounds, math.inf]
     if len(splits) < 3:
         return df.withColumn(_BUCKET, F.lit(0))
     bucketizer = Bucketizer(splits=splits, inputCol=column, outputCol="__raw_bucket", handleInvalid="keep")
     placed = bucketizer.transform(df)
-    return placed.withColumn(_BUCKET, F.col("__raw_bucket").cast("int")).drop("__raw_bucket")
+    return placed.withColumn(_BUCKET, F.coalesce(F.col("__raw_bucket").cast("int"), F.lit(-1))).drop("__raw_bucket")
+
+
+def sort_number(df: DataFrame, column: str) -> Column:
+    """A double that sorts like the column; different values may share one."""
+    kind, value = df.schema[column].dataType, F.col(f"`{column}`")
+    if isinstance(kind, T.StringType):
+        # the first six bytes as a whole number, in the order of the bytes
+        return F.conv(F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("double")
+    return value.cast("double")
 
 
 def _bucket_starts(df: DataFrame, keys: Sequence[str], bucket: str, weight: Column) -> DataFrame:
@@ -234,6 +249,7 @@ def aggregate_with_medians(
     """
     if not medians:
         return df.groupBy(*keys).agg(*aggregates)
+    medians = {name: to_number(column) for name, column in medians.items()}  # NaN is missing in either form
     if not keys:
         exact = exact_quantiles(df.select(*[c.alias(n) for n, c in medians.items()]), list(medians), [0.5])
         return df.agg(*aggregates, *[F.lit(exact[n][0]).cast("double").alias(n) for n in medians])

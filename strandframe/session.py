@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -32,11 +34,15 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor reaches, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own: one per
+    process, named in the setting from then on and removed at the end.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is not None:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="strandframe-")
+    own = tempfile.mkdtemp(prefix="strandframe-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return spark.conf.get("spark.checkpoint.dir")

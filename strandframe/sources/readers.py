@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import warnings
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -14,6 +16,7 @@ from ..columns import CONDITION, for_condition, target_for
 from ..functions.numeric import to_number
 
 FORMAT_OF_EXTENSION = {"csv": "csv", "tsv": "tsv", "json": "json", "parquet": "parquet"}
+# Fixed: the naming rule of the files.
 CONDITION_FILE_PATTERN = r"temperature_(\d+|average)_.*\.csv"
 
 
@@ -38,12 +41,24 @@ def detect_format(spark: SparkSession, path: str) -> str:
     return "tsv" if first and "\t" in first[0][0] else "csv"
 
 
+def is_whole_json(spark: SparkSession, path: str) -> bool:
+    """Whether a file is one JSON value, told by its first line: lines hold an object each."""
+    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    text = first[0][0].strip() if first else "{}"
+    try:
+        return not isinstance(json.loads(text), dict)
+    except ValueError:
+        return True
+
+
 def read_file(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None
+    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None, whole: bool | None = None
 ) -> DataFrame:
-    """Read one file (or glob) in any supported format.
+    """Read one file, folder of part files or glob in any supported format.
 
     Give ``schema`` for large text files; without it Spark reads them twice to infer types.
+    ``whole`` says whether a JSON file is one value, which cannot be split, or a value per line;
+    None looks at the first line.
     """
     fmt = fmt or detect_format(spark, path)
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -51,7 +66,7 @@ def read_file(
         reader = reader.option("header", True).option("sep", "\t" if fmt == "tsv" else ",")
         df = (reader if schema is not None else reader.option("inferSchema", True)).csv(path)
     elif fmt == "json":
-        df = reader.option("multiLine", True).json(path)
+        df = reader.option("multiLine", is_whole_json(spark, path) if whole is None else whole).json(path)
     elif fmt == "parquet":
         df = reader.parquet(path)
     else:
@@ -92,20 +107,35 @@ def union_tables(tables: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def merge_files(spark: SparkSession, paths: Iterable[str], schema: T.StructType | None = None) -> DataFrame:
-    """Stack files by column name, leaving out those that cannot be opened."""
-    paths = list(paths)
-    if not paths:
-        raise ValueError("no files provided for merging")
-    tables = []
-    for path in paths:
-        try:
-            tables.append(read_file(spark, path, schema=schema))
-        except (AnalysisException, ValueError):
-            continue
-    if not tables:
-        raise ValueError("no data files could be loaded")
-    return union_tables(tables)
+def _opened(read, name: str, failed: list[tuple[str, str]] | None) -> DataFrame | None:
+    """The table, or None with the reason noted in ``failed`` and as a warning."""
+    try:
+        return read()
+    except (AnalysisException, FileNotFoundError, ValueError) as problem:
+        reason = str(problem).splitlines()[0]
+        warnings.warn(f"left out {name}: {reason}", stacklevel=3)
+        if failed is not None:
+            failed.append((name, reason))
+        return None
+
+
+def failure_table(spark: SparkSession, failed: Sequence[tuple[str, str]]) -> DataFrame:
+    """What was left out, as rows."""
+    return spark.createDataFrame(list(failed), "name string, reason string")
+
+
+def merge_files(
+    spark: SparkSession,
+    paths: Iterable[str],
+    schema: T.StructType | None = None,
+    failed: list[tuple[str, str]] | None = None,
+) -> DataFrame:
+    """Files stacked by column name. Those that cannot be opened are noted in ``failed``."""
+    opened = {path: _opened(lambda p=path: read_file(spark, p, schema=schema), path, failed) for path in paths}
+    usable = [frame for frame in opened.values() if frame is not None]
+    if not usable:
+        raise ValueError(f"none of {len(opened)} paths gave a table")
+    return union_tables(usable)
 
 
 def read_condition(
@@ -116,17 +146,17 @@ def read_condition(
     file_pattern: str = "temperature_{temperature}_train.csv",
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """One condition's table; the condition must be one of ``available``.
-
-    Several matching files: the smallest path is taken.
-    """
+    """One condition's table from all files and part folders that match; it must be ``available``."""
     if str(condition) not in {str(c) for c in available}:
         raise ValueError(f"condition {condition} is not available")
     pattern = for_condition(file_pattern, condition)
-    first = list_files(spark, folder, pattern).agg(F.min("path")).first()[0]
-    if first is None:
-        raise FileNotFoundError(f"no file for condition {condition} matching {pattern} in {folder}")
-    return read_file(spark, first, schema=schema).withColumn(CONDITION, F.lit(str(condition)))
+    try:
+        table = read_file(spark, f"{folder}/{pattern}", schema=schema)
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        raise FileNotFoundError(f"nothing for condition {condition} matches {pattern} in {folder}") from problem
+    return table.withColumn(CONDITION, F.lit(str(condition)))
 
 
 def read_all_conditions(
@@ -134,16 +164,16 @@ def read_all_conditions(
     folder: str,
     available: Iterable[int | str],
     file_pattern: str = "temperature_{temperature}_train.csv",
+    failed: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """All conditions in one long table with ``condition`` and ``target`` columns.
 
-    Conditions without a readable file are left out; none at all is an error.
+    Conditions without a readable file are noted in ``failed``; none at all is an error.
     """
-    tables = []
+    available, tables = list(available), []
     for condition in available:
-        try:
-            table = read_condition(spark, folder, condition, available, file_pattern)
-        except (FileNotFoundError, AnalysisException):
+        table = _opened(lambda c=condition: read_condition(spark, folder, c, available, file_pattern), str(condition), failed)
+        if table is None:
             continue
         name = target_for(condition)
         target = to_number(name) if name in table.columns else F.lit(None).cast("double")
