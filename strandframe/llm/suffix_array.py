@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strandframe.llm.common import table, text_or_empty, written
 from strandframe.llm.shards import PrefixHash, Shards, byte_values, in_batches, joined, mark_columns, read_shard, slide_least, with_marks
 
-LENGTH, GRAM, SHARD_CONTEXTS = 200, 64, 8192
+LENGTH, GRAM, SHARD_CONTEXTS = 200, 64, 4096
 ANCHORS = "anchor bigint, context bigint, shard int, row int, start int, windows int"
 
 
@@ -253,7 +253,7 @@ def repeated_spans(shards: Shards, length: int = LENGTH, gram: int = GRAM, shard
     marks = mixed.select("first.*", "anchor", salt.alias("salt"), (F.col("times") == 1).alias("single"))
     marks = written(with_marks(shards, marks, ["row", "start", "windows", "anchor", "salt", "single"]).filter("marks IS NOT NULL"), "suffix-marks")
     total = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
-    contexts = contexts_of(marks.repartition("shard"), length)
+    contexts = contexts_of(shards.dealt(marks), length)
     partial = compare_contexts(contexts, length, shard_contexts, max(1, -(-total // (2 * shard_contexts)), int(shards.spark.conf.get("spark.sql.shuffle.partitions"))))
     return whole.union(partial)
 
@@ -283,7 +283,7 @@ def cut_spans(shards: Shards, spans: DataFrame, length: int = LENGTH) -> DataFra
                         [rows.column(0), pa.array(sizes, "int64"), pa.array(merged, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary())],
                         ["doc_id", "n_bytes", "spans", "kept"])
 
-    return files.repartition("shard").mapInArrow(cut, f"doc_id {id_type}, n_bytes bigint, spans array<array<int>>, kept binary")
+    return files.mapInArrow(cut, f"doc_id {id_type}, n_bytes bigint, spans array<array<int>>, kept binary")
 
 
 def union_of(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
