@@ -47,7 +47,7 @@ def _forest(train):
 
 
 def _boosted(train):
-    return fit(estimator("neural_network", FEATURES, **BOOSTED), train, ROW_KEYS)
+    return fit(estimator("boosted", FEATURES, **BOOSTED), train, ROW_KEYS)
 
 
 @query("m1_forest_fit")
@@ -75,7 +75,7 @@ def _(spark, folder):
 def _(spark, folder):
     train, test = _split(spark, folder)
     scored = scoring.predict(_boosted(train), test)
-    return metrics.regression_metrics(scored, "label", {"neural_network": "prediction"}, metrics=("rmse", "r2"))
+    return metrics.regression_metrics(scored, "label", {"boosted": "prediction"}, metrics=("rmse", "r2"))
 
 
 @query("m4_training_history")
@@ -90,14 +90,14 @@ def _(spark, folder):
 @query("m5_ensemble_uncertainty")
 def _(spark, folder):
     train, test = _split(spark, folder)
-    models = scoring.fit_ensemble("neural_network", train, FEATURES, ROW_KEYS, size=3, **BOOSTED)
+    models = scoring.fit_ensemble("boosted", train, FEATURES, ROW_KEYS, size=3, **BOOSTED)
     return scoring.ensemble_predict(models, test).select(*ROW_KEYS, "prediction", "uncertainty")
 
 
 @query("m6_boosted_search")
 def _(spark, folder):
     train, _ = _split(spark, folder)
-    pipeline = estimator("neural_network", FEATURES, epochs=3, early_stopping=False)
+    pipeline = estimator("boosted", FEATURES, epochs=3, early_stopping=False)
     return validation.search(pipeline, train, {"learning_rate": [0.1, 0.3], "max_depth": [2, 3]}, folds=2)[1]
 
 
@@ -123,7 +123,7 @@ def _(spark, folder):
 @query("m10_evaluate_models")
 def _(spark, folder):
     train, test = _split(spark, folder)
-    models = {"random_forest": _forest(train), "neural_network": _boosted(train)}
+    models = {"random_forest": _forest(train), "boosted": _boosted(train)}
     return scoring.evaluate_models(models, test, n_features=len(FEATURES))[0]
 
 
@@ -170,7 +170,7 @@ def _(spark, folder):
 def _(spark, folder):
     train, test = _split(spark, folder)
     scored = test
-    small = {"random_forest": {"n_estimators": 3, "max_depth": 3}, "neural_network": {"epochs": 2, "max_depth": 2}, "linear": {}}
+    small = {"random_forest": {"n_estimators": 3, "max_depth": 3}, "boosted": {"epochs": 2, "max_depth": 2}, "linear": {}}
     for name, params in small.items():
         model = fit(estimator(name, FEATURES, **params), train, ROW_KEYS)
         scored = scoring.predict(model, scored, f"{name}_predicted")

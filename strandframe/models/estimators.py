@@ -99,7 +99,7 @@ def validation_flag(keys: Sequence[str], share: float = 0.2, seed: int = 42) ->
 
 ESTIMATORS: dict[str, Callable[..., Pipeline]] = {
     "random_forest": forest,
-    "neural_network": boosted,  # the slot of the second, standardised-input regressor
+    "boosted": boosted,  # the slot of the second, standardised-input regressor
     "linear": linear,
 }
 

@@ -86,16 +86,18 @@ def split_groups(
     """Split that keeps every group whole.
 
     ``exact`` gives exact group counts and shuffles the distinct groups; otherwise
-    a threshold on the group hash decides without a shuffle. Fewer than three
-    groups fall back to a row-level split on ``row_keys``.
+    a threshold on the group hash decides without a shuffle or a count. Exact counts need
+    three groups; with fewer, and ``row_keys`` given, rows are split, else it is an error.
     """
     split_sizes(1, test_size, validation_size)
+    if not exact:
+        return df.withColumn(name, _named(_unit([group], seed), validation_size, test_size))
     groups = df.select(group).distinct()
     n = groups.count()
     if n < 3:
-        return split_rows(df, row_keys or df.columns, test_size, validation_size, seed, exact, name)
-    if not exact:
-        return df.withColumn(name, _named(_unit([group], seed), validation_size, test_size))
+        if row_keys is None:
+            raise ValueError(f"{n} groups cannot fill three parts; give row_keys to split their rows instead")
+        return split_rows(df, row_keys, test_size, validation_size, seed, exact, name)
     _, validation, test = split_sizes(n, test_size, validation_size)
     placed = hash_order(groups, [group], seed, "__place")
     assigned = placed.select(group, _named(F.col("__place"), validation, test).alias(name))

@@ -56,17 +56,17 @@ def test_importances(rows, forest):
 
 
 def test_boosting_history(rows):
-    model = fit(estimator("neural_network", FEATURES, epochs=5, max_depth=3, learning_rate=0.3, tolerance=0.0), rows, ["id"])
+    model = fit(estimator("boosted", FEATURES, epochs=5, max_depth=3, learning_rate=0.3, tolerance=0.0), rows, ["id"])
     history = scoring.training_history(model, rows.withColumn(VALIDATION_FLAG, validation_flag(["id"])))
     curve = reports.training_curve(history).collect()
     losses = [r["train_loss"] for r in curve]
     assert losses == sorted(losses, reverse=True) and {"val_loss", "val_r2", "train_r2"} <= set(curve[0].asDict())
     with pytest.raises(ValueError):
-        fit(estimator("neural_network", FEATURES), rows)
+        fit(estimator("boosted", FEATURES), rows)
 
 
 def test_ensemble(rows):
-    models = scoring.fit_ensemble("neural_network", rows, FEATURES, ["id"], size=2, epochs=2, max_depth=2)
+    models = scoring.fit_ensemble("boosted", rows, FEATURES, ["id"], size=2, epochs=2, max_depth=2)
     scored = scoring.score_new_data(models, rows, "label", with_uncertainty=True, with_quality=True)
     assert scored.filter((F.col("label_uncertainty") < 0) | F.col("label_uncertainty").isNull()).isEmpty()
     assert "label_z_score" in scored.columns
