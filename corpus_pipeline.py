@@ -61,14 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = _handed_on(docs, name)
+            docs = written(docs, f"stage-{name}", lasting=True)  # the next stage reads it
     return docs
-
-
-def _handed_on(docs: DataFrame, name: str) -> DataFrame:
-    """Written and read back; not among what the next stage frees, since that one reads it."""
-    from strandframe.llm import common
-
-    kept = written(docs, f"stage-{name}")
-    common._paths.pop()
-    return kept

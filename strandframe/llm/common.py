@@ -18,10 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _paths: list[str] = []
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that every executor reaches."""
+def scratch(spark: SparkSession, name: str, lasting: bool = False) -> str:
+    """A new path in the folder that every executor reaches; a lasting one is not among what release() removes."""
     path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    _paths.append(path)
+    if not lasting:
+        _paths.append(path)
     return path
 
 
@@ -40,14 +41,11 @@ def qualified(path: str) -> str:
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
 
 
-def written(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
-    """``df`` written once to the shared folder and read back; cuts lineage, survives executors.
-
-    ``spread`` lets Spark even out the sizes of its files first.
-    """
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read back; cuts lineage, survives executors."""
     spark = df.sparkSession
-    path = scratch(spark, name)
-    (df.hint("rebalance") if spread else df).write.option("compression", "zstd").parquet(path)
+    path = scratch(spark, name, lasting)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,14 +60,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a per-id minimum that is combined before the shuffle and joined back, so an id with very
     many links is never gathered in one task. Ids and links stay in Spark tables.
     """
-    spark = edges.sparkSession
     links = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(),
         "links",
     )
-    before = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     for _ in range(max_rounds):
-        if before[0] == 0:
+        if _are_stars(links):
             break
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -79,11 +75,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).filter("u != v")
         own = least.select("u", F.col("m").alias("v"))
         links = written(small.union(own).distinct(), "links")
-        after = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     roots = links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether every id has one link, to an id without links: the rounds end in that form."""
+    ends = links.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(links.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up > 0 AND down > 0").isEmpty()

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from strandframe.llm.common import components, table, written
 
 COSINE, RECALL, SAMPLE, CHUNK, SEED, SLACK = 0.95, 1.0, 10_000, 4096, 7, 1e-9
+SAMPLE_BYTES = 32 << 20  # of the vectors that the codebooks are fitted to, on the driver
 
 
 def unit_vector(values: list | None) -> bytes | None:
@@ -141,8 +142,9 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     entries = written(entries.withColumn("entry", F.monotonically_increasing_id()).withColumn("size", F.octet_length("unit")), "vector-entries")
     counts = {r["size"]: r["n"] for r in entries.groupBy("size").agg(F.count("*").alias("n")).collect()}
     grids = {}
-    for size, n in counts.items():  # a row per vector length
-        taken = entries.filter(F.col("size") == size).orderBy("key").limit(sample).select("unit").collect()
+    for size, n in counts.items():  # a row per vector length; the sample is that of least content hash
+        fits = max(1, min(sample, SAMPLE_BYTES // size))
+        taken = entries.filter(F.col("size") == size).orderBy("key").limit(fits).select("unit").collect()
         grids[size] = Grid(np.stack([np.frombuffer(r.unit) for r in taken]), n, cosine, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

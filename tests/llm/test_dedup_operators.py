@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from strandframe.llm import dart_minhash, multi_index, recompress, suffix_array, toxicity
-from strandframe.llm.common import components
+from strandframe.llm.common import components, written
 
 SPANS = "aggregate(spans, 0L, (n, s) -> n + (s[1] - s[0]))"
 
@@ -67,6 +67,7 @@ def texts_with_repeats(words, seed):
     make = lambda n: " ".join(rng.choice(words) for _ in range(n))
     base = [make(rng.randint(10, 80)) for _ in range(8)]
     docs = [(i, "\n".join(rng.choice(base)[rng.randint(0, 20) :] if rng.random() < 0.6 else make(rng.randint(1, 20)) for _ in range(rng.randint(0, 5)))) for i in range(60)]
+    docs.insert(0, (-1, "a " * 60 + make(30)))  # a long run where a batch begins
     return docs + [(90, None), (91, ""), (92, "a " * 400), (93, "a b " * 90), (94, docs[3][1]), (94, docs[3][1]), (None, docs[5][1])]
 
 
@@ -215,7 +216,7 @@ def test_pipeline_stages_agree_with_plain_rules(spark, folder):
     for name, stage in pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
         out = stage(spark, docs, folder)
-        docs = pipeline._handed_on(out, name)
+        docs = written(out, name, lasting=True)
         handed[name] = (before, docs)
         if name != "packing":
             assert docs.columns == columns
