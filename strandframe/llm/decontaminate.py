@@ -11,7 +11,7 @@ every worker; with more than one block the documents pass through them in turn,
 
 Null texts have no words, hits or items and stay null; empty documents and items count likewise.
 Repeated rows are judged each. Without items or documents nothing is hit, or no row comes out.
-Added columns get the prefix given, so that columns of the same name are kept.
+Added columns replace those of the same name; give a prefix to keep both.
 """
 
 from __future__ import annotations
@@ -179,11 +179,8 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_colu
     """``docs`` with n_words, n_hit, spans (word places) and items (sorted as strings) per row."""
     blocks = item_blocks(items, item_id, item_text, block_words)
     names = [prefix + n for n in ("n_words", "n_hit", "spans", "items")]
-    clash = set(names) & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already; give another prefix")
     added = [T.LongType(), T.LongType(), T.ArrayType(T.ArrayType(T.IntegerType())), T.ArrayType(T.StringType())]
-    current = docs
+    current = docs.drop(*names)
     for number, block in enumerate(blocks):
         last = number == len(blocks) - 1
         drop = {text_column} if last and not keep_text else set()

@@ -186,12 +186,11 @@ _MODEL_SCHEMA = pa.schema([("places", pa.list_(pa.int64())), ("weights", pa.list
 
 
 def score_chain(docs: DataFrame, chain: list[Linear], categories: Sequence[str] = CATEGORIES, text_column: str = "text", prefix: str = "p_") -> DataFrame:
-    """``docs`` with a probability column per category, named prefix + category."""
+    """``docs`` with a probability column per category, named prefix + category; it replaces one of that name."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     names = [prefix + c for c in categories]
-    if set(names) & set(docs.columns):
-        raise ValueError("a column of that name exists; give another prefix")
+    docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     target, at = to_arrow_schema(schema), docs.columns.index(text_column)
 

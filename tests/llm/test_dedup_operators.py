@@ -193,7 +193,7 @@ def test_toxicity_on_held_out_rows(spark):
             words.append("###x")
         docs.append((i, " ".join(words), "c"))
         labels.append((i, low, toxic))
-    frame = spark.createDataFrame([*docs, (1000, None, "c"), (1001, "", "c"), (None, "nasty", "c"), (1, docs[1][1], "c")], "doc_id long, text string, toxic string")
+    frame = spark.createDataFrame([*docs, (1000, None, "c"), (1001, "", "c"), (None, "nasty", "c"), (1, docs[1][1], "c")], "doc_id long, text string, p_toxic string")
     known = spark.createDataFrame([*labels[:600], (None, True, True), (5, None, None)], "doc_id long, low_quality boolean, toxic boolean")
     chain = toxicity.train_chain(frame, known)
     assert [len(m.earlier) for m in chain] == [0, 1]

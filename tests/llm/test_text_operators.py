@@ -145,7 +145,7 @@ def test_decontamination_equals_plain_search(spark, block_words):
     make = lambda n: " ".join(rng.choice("ABc d1 é,".split()) for _ in range(n))
     items = [(i, make(rng.choice([1, 2, 4, 9, 20]))) for i in range(8)] + [(90, None), (91, ""), (92, "A b c"), (92, "A b c")]
     docs = [(i, make(rng.randint(0, 60)) + " " + (rng.choice(items)[1] or "")) for i in range(40)] + [(90, None), (91, "")]
-    frame = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, item_id string")
+    frame = spark.createDataFrame([(i, t, "c") for i, t in docs], "doc_id long, text string, n_hit string")
     found = decontaminate.find_hits(frame, spark.createDataFrame(items, "item_id long, text string"), window=5, block_words=block_words, keep_text=False)
     got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found.collect())
     assert got == sorted((i, *plain_hits(t, [(str(n), x) for n, x in items], 5)) for i, t in docs)
