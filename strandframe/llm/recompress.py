@@ -38,6 +38,7 @@ from strandframe.llm.suffix_array import union_of
 WINDOW, ROUNDS, TOGETHER = 20, 3, 4
 # Rows of one anchor that are dealt together, and rows of a task; neither changes a result.
 HOT_ROWS, TASK_ROWS = 50_000, 1_000_000
+BROADCAST_ANCHORS = 100_000  # of 16 bytes each; more are joined without a hint
 # Words are separated by spaces and the controls from tab to carriage return.
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -91,6 +92,8 @@ def inner_symbols(symbols: np.ndarray, owner: np.ndarray, window: int, rounds: i
     low, high = start, start + window
     place = np.arange(n + 1)  # first word of each symbol
     for number in range(1, rounds + 1):
+        live = high > low  # a window inside a long run has nothing left
+        low, high = np.where(live, low, 0), np.where(live, high, 1)
         if number == 1:
             symbols, first = name_runs(symbols, owner)
             new_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
@@ -102,6 +105,7 @@ def inner_symbols(symbols: np.ndarray, owner: np.ndarray, window: int, rounds: i
             low = new_of[low] + ~np.append(left, True)[low]
             high = new_of[high - 1] + ~left[high - 1]
         owner, place = owner[first], np.append(place[first], n)
+        high = np.where(live, high, low)
         fits = np.flatnonzero((high - low >= together) & (settled == number - 1))
         if not len(fits):
             break
@@ -168,12 +172,20 @@ def covered_spans(shards: Shards, window: int = WINDOW, rounds: int = ROUNDS, ho
                 [pa.array(anchor), pa.array(context), batch.column(2).take(pa.array(text)), *(pa.array(batch.column(i).to_numpy()[text]) for i in (0, 1)),
                  pa.array(start.astype("i4")), pa.array(size.astype("i4"))], names)
 
-    found = written(shards.rows().select("__shard", "__row", "doc_id", "text").mapInArrow(find, schema), "recompress-found")
+    rows = shards.rows().select("__shard", "__row", "doc_id", "text")
+    found = rows.mapInArrow(find, schema)
     # Which anchors are hot only steers how rows are dealt, so every 16th document tells enough.
-    hot = found.filter(F.pmod(F.xxhash64("shard", "row"), F.lit(16)) == 0).groupBy("anchor").agg((F.count("*") * 16).alias("rows")).filter(F.col("rows") > hot_rows)
-    salt = F.when(F.col("rows").isNotNull(), F.pmod("context", F.ceil(F.col("rows") / F.lit(hot_rows)))).otherwise(-1)
-    tasks = max(int(shards.spark.conf.get("spark.sql.shuffle.partitions")), -(-found.count() // TASK_ROWS))
-    dealt = found.join(hot, "anchor", "left").select(*names, salt.alias("salt")).repartition(tasks, "anchor", "salt")
+    sixteenth = F.pmod(F.xxhash64("__shard", "__row"), F.lit(16)) == 0
+    sampled = written(rows.filter(sixteenth).mapInArrow(find, schema).select("anchor"), "recompress-sampled")
+    hot = sampled.groupBy("anchor").agg((F.count("*") * 16).alias("rows")).filter(F.col("rows") > hot_rows)
+    hot = written(hot, "recompress-hot")
+    known = hot.count()
+    marked, salt = found, F.lit(-1).cast("bigint")
+    if known:
+        marked = found.join(F.broadcast(hot) if known <= BROADCAST_ANCHORS else hot, "anchor", "left")
+        salt = F.when(F.col("rows").isNotNull(), F.pmod("context", F.ceil(F.col("rows") / F.lit(hot_rows)))).otherwise(salt)
+    tasks = max(int(shards.spark.conf.get("spark.sql.shuffle.partitions")), -(-16 * sampled.count() // TASK_ROWS))
+    dealt = marked.select(*names, salt.alias("salt")).repartition(tasks, "anchor", "salt")
     settled = written(dealt.mapInArrow(settle_contexts, "covered boolean, shard int, row int, start int, windows int, anchor bigint"), "recompress-settled")
     whole = settled.filter("covered").select("shard", "row", "start", "windows")
     marks = settled.filter("NOT covered").select("shard", "row", "start", "windows", "anchor")
