@@ -156,27 +156,35 @@ def find_contexts(data: np.ndarray, bounds: np.ndarray, window: int, rounds: int
     return anchor.view("i8"), context.view("i8"), owner[a], a - first_word[owner[a]], size
 
 
-FOUND = "anchor bigint, context bigint, doc_id {id}, shard int, row int, start int, windows int"
+FOUND = "anchor bigint, context bigint, doc_id {id}, shard int, row int, start int, windows int, spread bigint"
+# Salts from here on mark contexts that have an earlier equal in their own batch.
+SPREAD = 1 << 40
 
 
 def covered_spans(shards: Shards, window: int = WINDOW, rounds: int = ROUNDS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(shard, row, start, windows): runs of windows whose words also start earlier."""
     schema = FOUND.format(id=shards.schema["doc_id"].dataType.simpleString())
-    names = ["anchor", "context", "doc_id", "shard", "row", "start", "windows"]
+    names = ["anchor", "context", "doc_id", "shard", "row", "start", "windows", "spread"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_batches(batches, 3):
             texts = [(t or "").encode("utf8", "surrogatepass") for t in batch.column(3).to_pylist()]
             anchor, context, text, start, size = find_contexts(*joined(texts), window, rounds)
+            ids, (shard, row) = batch.column(2).take(pa.array(text)), (batch.column(i).to_numpy()[text] for i in (0, 1))
+            # An earlier equal in the batch settles a context; it is dealt out by its place, so that a
+            # context repeated in many documents, or many times in one, comes once per batch.
+            by, _, kind_new = in_order(anchor, context, ids, shard, row, start)
+            spread = np.full(len(by), -1, "i8")
+            later = by[~kind_new]
+            spread[later] = SPREAD + ((row[later].astype("i8") * 31 + start[later]) & 0xFFFF)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(context), batch.column(2).take(pa.array(text)), *(pa.array(batch.column(i).to_numpy()[text]) for i in (0, 1)),
-                 pa.array(start.astype("i4")), pa.array(size.astype("i4"))], names)
+                [pa.array(anchor), pa.array(context), ids, pa.array(shard), pa.array(row), pa.array(start.astype("i4")), pa.array(size.astype("i4")), pa.array(spread)], names)
 
     rows = shards.rows().select("__shard", "__row", "doc_id", "text")
     found = rows.mapInArrow(find, schema)
     # Which anchors are hot only steers how rows are dealt, so every 16th document tells enough.
     sixteenth = F.pmod(F.xxhash64("__shard", "__row"), F.lit(16)) == 0
-    sampled = written(rows.filter(sixteenth).mapInArrow(find, schema).select("anchor"), "recompress-sampled")
+    sampled = written(rows.filter(sixteenth).mapInArrow(find, schema).filter("spread < 0").select("anchor"), "recompress-sampled")
     hot = sampled.groupBy("anchor").agg((F.count("*") * 16).alias("rows")).filter(F.col("rows") > hot_rows)
     hot = written(hot, "recompress-hot")
     known = hot.count()
@@ -185,7 +193,8 @@ def covered_spans(shards: Shards, window: int = WINDOW, rounds: int = ROUNDS, ho
         marked = found.join(F.broadcast(hot) if known <= BROADCAST_ANCHORS else hot, "anchor", "left")
         salt = F.when(F.col("rows").isNotNull(), F.pmod("context", F.ceil(F.col("rows") / F.lit(hot_rows)))).otherwise(salt)
     tasks = max(int(shards.spark.conf.get("spark.sql.shuffle.partitions")), -(-16 * sampled.count() // TASK_ROWS))
-    dealt = marked.select(*names, salt.alias("salt")).repartition(tasks, "anchor", "salt")
+    salt = F.when(F.col("spread") >= 0, F.col("spread")).otherwise(salt)
+    dealt = marked.select(*names[:-1], salt.alias("salt")).repartition(tasks, "anchor", "salt")
     settled = written(dealt.mapInArrow(settle_contexts, "covered boolean, shard int, row int, start int, windows int, anchor bigint"), "recompress-settled")
     whole = settled.filter("covered").select("shard", "row", "start", "windows")
     marks = settled.filter("NOT covered").select("shard", "row", "start", "windows", "anchor")
@@ -197,22 +206,34 @@ def covered_spans(shards: Shards, window: int = WINDOW, rounds: int = ROUNDS, ho
     return whole.union(partial)
 
 
+def in_order(anchor: np.ndarray, context: np.ndarray, ids: pa.Array, shard: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts by (anchor, context), the earliest first; where anchors and where contexts begin."""
+    if not len(anchor):
+        return np.zeros(0, "i8"), np.zeros(0, bool), np.zeros(0, bool)
+    order = pa.compute.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+    by = np.lexsort((start, row, shard, order, context, anchor))
+    anchor_new = np.append(True, anchor[by][1:] != anchor[by][:-1])
+    return by, anchor_new, anchor_new | np.append(True, context[by][1:] != context[by][:-1])
+
+
 def settle_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows of some anchors: later equals are covered, firsts of mixed anchors are passed on."""
     batches = [b for b in batches if b.num_rows]
     if not batches:
         return
-    rows = pa.Table.from_batches(batches).combine_chunks()
+    rows, out_names = pa.Table.from_batches(batches), ["shard", "row", "start", "windows", "anchor"]
+    early = pa.compute.greater_equal(rows.column("salt"), SPREAD)
+    settled = rows.filter(early).select(out_names)
+    yield from settled.add_column(0, "covered", pa.array(np.ones(len(settled), bool))).combine_chunks().to_batches(max_chunksize=100_000)
+    rows = rows.filter(pa.compute.invert(early)).combine_chunks()
+    if not len(rows):
+        return
     anchor, context, shard, row, start, salt = (rows.column(n).to_numpy() for n in ("anchor", "context", "shard", "row", "start", "salt"))
-    ids = rows.column("doc_id").combine_chunks()
-    order = pa.compute.rank(ids, "ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
-    by = np.lexsort((start, row, shard, order, context, anchor))
-    anchor_new = np.append(True, anchor[by][1:] != anchor[by][:-1])
-    kind_new = anchor_new | np.append(True, context[by][1:] != context[by][:-1])
+    by, anchor_new, kind_new = in_order(anchor, context, rows.column("doc_id").combine_chunks(), shard, row, start)
     kinds = np.add.reduceat(kind_new.astype("i8"), np.flatnonzero(anchor_new))
     mixed = np.repeat(kinds > 1, np.diff(np.append(np.flatnonzero(anchor_new), len(by)))) | (salt[by] >= 0)
     keep = ~kind_new | mixed
-    out = rows.select(["shard", "row", "start", "windows", "anchor"]).take(pa.array(by[keep]))
+    out = rows.select(out_names).take(pa.array(by[keep]))
     yield from out.add_column(0, "covered", pa.array(~kind_new[keep])).combine_chunks().to_batches(max_chunksize=100_000)
 
 
