@@ -2,10 +2,11 @@
 
 Per host, path segments form a tree. Segments that look generated (numbers, hexadecimal strings, long
 mixed ids) become wildcards at once. Below every node, as soon as it has more than ``max_children``
-different children, all of them become one wildcard, level by level. Sibling templates whose labelled
-rates do not differ by a two-proportion test are merged. A template, merged with its like, is
-rejected if its purity, the share of bad among labelled urls smoothed towards the host's and the
-corpus' rate, reaches ``threshold``.
+different children, all of them become one wildcard, level by level. Sibling templates with labels are
+merged, in order of their rates, as long as a two-proportion test does not tell the next from the branch so
+far. A template, merged with its like, is rejected if its purity, the share of bad among labelled urls
+smoothed towards the host's and the corpus' rate, reaches ``threshold``. A template without labels is in
+no branch and has the smoothed rate of its parent's labelled children, the host's if there are none.
 
 All counts are aggregates combined before the shuffle; a hot host is rows of counts by then. A url
 with null or without ``://`` has empty host and path; its template is the empty one. Pages are kept
@@ -15,9 +16,11 @@ Levels beyond ``depth`` share one open end in the template, which still counts e
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import table, written
@@ -83,6 +86,49 @@ def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_C
     return current.drop("parts")
 
 
+def apart(bad: int, labelled: int, other_bad: int, other_labelled: int, max_z: float) -> bool:
+    """Whether a two-proportion test tells the two rates apart."""
+    pooled = (bad + other_bad) / (labelled + other_labelled)
+    spread = math.sqrt(pooled * (1 - pooled) * (1 / labelled + 1 / other_labelled))
+    return abs(bad / labelled - other_bad / other_labelled) > max_z * spread
+
+
+def branches(siblings: DataFrame, max_z: float = MAX_Z) -> DataFrame:
+    """(host, parent, labelled, bad) per sibling to those with labels, each once, with their branch.
+
+    Siblings of equal counts are one step. In order of rate, a step joins the branch before it unless it is
+    apart from the branch's pooled counts or from its first step. ``branch_labelled``, ``branch_bad`` and
+    ``branch_siblings`` are the branch's totals. Different counts under one parent are few beside its labels.
+    """
+    steps = siblings.filter("labelled > 0").groupBy("host", "parent", "labelled", "bad").agg(F.count("*").alias("siblings"))
+    steps = steps.repartition("host", "parent").sortWithinPartitions("host", "parent", F.col("bad") / F.col("labelled"), F.desc("labelled"))
+    names = ["host", "parent", "labelled", "bad", "branch", "branch_labelled", "branch_bad", "branch_siblings"]
+    types = [pa.string(), pa.string(), *[pa.int64()] * 6]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent, number, held, totals, out = None, 0, [], (0, 0, 0), []
+
+        def close() -> None:
+            out.extend((*parent, n, b, number, *totals) for n, b in held)
+
+        for batch in batches:
+            for host, path, n, b, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = parent != (host, path)
+                if new or apart(totals[1], totals[0], b, n, max_z) or apart(held[0][1], held[0][0], b, n, max_z):
+                    close()
+                    parent, number, held, totals = (host, path), 0 if new else number + 1, [], (0, 0, 0)
+                held.append((n, b))
+                totals = (totals[0] + n * k, totals[1] + b * k, totals[2] + k)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return steps.mapInArrow(fold, "host string, parent string, " + ", ".join(f"{n} bigint" for n in names[2:]))
+
+
 def judge_templates(templates: DataFrame, threshold: float = THRESHOLD, smoothing: float = SMOOTHING, max_z: float = MAX_Z) -> DataFrame:
     """(host, template) with n, labelled, bad to the same with ``branch``, ``purity`` and ``verdict``."""
     total = templates.agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
@@ -90,20 +136,13 @@ def judge_templates(templates: DataFrame, threshold: float = THRESHOLD, smoothin
     corpus_rate = F.coalesce(F.try_divide("all_bad", "all_labelled"), F.lit(0.0))
     rated = templates.join(hosts, "host").join(F.broadcast(total)).withColumn(  # the total is one row
         "host_rate", (F.col("host_bad") + smoothing * corpus_rate) / (F.col("host_labelled") + smoothing))
-    # Siblings under one parent number at most max_children and the shapes; order them by rate.
     rated = rated.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    rated = rated.withColumn("rate", (F.col("bad") + smoothing * F.col("host_rate")) / (F.col("labelled") + smoothing))
-    order = Window.partitionBy("host", "parent").orderBy("rate", "template")
-    n0, b0 = F.lag("labelled").over(order), F.lag("bad").over(order)
-    n1, b1 = F.col("labelled"), F.col("bad")
-    pooled = F.try_divide(b0 + b1, n0 + n1)
-    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), n0) + F.try_divide(F.lit(1), n1)))
-    z = F.try_divide(F.abs(F.try_divide(b1, n1) - F.try_divide(b0, n0)), spread)
-    apart = F.coalesce(z > max_z, F.lit(False))  # without labels on both sides nothing tells them apart
-    rated = rated.withColumn("apart", apart.cast("int"))
-    rated = rated.withColumn("branch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = Window.partitionBy("host", "parent", "branch")
-    purity = (F.sum("bad").over(merged) + smoothing * F.col("host_rate")) / (F.sum("labelled").over(merged) + smoothing)
+    parents = rated.groupBy("host", "parent").agg(F.sum("labelled").alias("parent_labelled"), F.sum("bad").alias("parent_bad"))
+    found = branches(rated.select("host", "parent", "labelled", "bad"), max_z)
+    rated = rated.join(parents, ["host", "parent"]).join(found, ["host", "parent", "labelled", "bad"], "left")
+    # Templates without labels are in no branch; what is known about them is the rate under their parent.
+    bad, labelled = F.coalesce("branch_bad", "parent_bad"), F.coalesce("branch_labelled", "parent_labelled")
+    purity = (bad + smoothing * F.col("host_rate")) / (labelled + smoothing)
     return rated.withColumn("purity", purity).select(
         "host", "template", "branch", "purity", F.when(F.col("purity") >= threshold, BLOCK).otherwise(ALLOW).alias("verdict"))
 

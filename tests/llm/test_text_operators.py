@@ -176,3 +176,26 @@ def test_url_rules_and_templates(spark):
     assert rows[12].template == "/bad/{number}.html" and rows[60].template == "/good/*"
     assert url_tree.judge_urls(pages.limit(0), labels, url_tree.RULES).count() == 0
 
+
+def verdicts_of(spark, counts):
+    """Verdicts by path from (path, labelled, bad) under one host."""
+    frame = spark.createDataFrame([("s.io", t, max(n, 1), n, b) for t, n, b in counts], "host string, template string, n long, labelled long, bad long")
+    return {r.template: r for r in url_tree.judge_templates(frame).collect()}
+
+
+@pytest.mark.parametrize("good", [150, 80])
+def test_unlabelled_templates_join_no_branches(spark, good):
+    rows = verdicts_of(spark, [("/a", good, 0), ("/u", 0, 0), ("/b", 100, 100), ("/x/u", 0, 0), ("/y/u", 0, 0), ("/y/b", 90, 90)])
+    assert (rows["/a"].verdict, rows["/b"].verdict, rows["/y/b"].verdict, rows["/y/u"].verdict) == ("allow", "block", "block", "block")
+    assert rows["/u"].branch is None and rows["/a"].purity < 0.1 and rows["/b"].purity > 0.9
+    rate = (190 + 8 * 190 / (good + 190)) / (good + 190 + 8)
+    assert rows["/x/u"].purity == pytest.approx(rate) and rows["/u"].purity == pytest.approx((100 + 8 * rate) / (good + 108))
+
+
+def test_small_steps_do_not_join_extremes(spark):
+    rows = verdicts_of(spark, [(f"/{b:02d}", 20, b) for b in range(21)])
+    assert rows["/00"].verdict == "allow" and rows["/20"].verdict == "block"
+    groups = {}
+    for r in rows.values():
+        groups.setdefault(r.branch, []).append(int(r.template[1:]))
+    assert all(not url_tree.apart(min(g), 20, max(g), 20, url_tree.MAX_Z) for g in groups.values())
