@@ -2,7 +2,8 @@
 
 Per host, path segments form a tree. Segments that look generated (numbers, hexadecimal strings, long
 mixed ids) become wildcards at once. Below every node, as soon as it has more than ``max_children``
-different children, all of them become one wildcard, level by level. Sibling templates with labels are
+different children, those without labels and the largest branch of like children become one wildcard,
+level by level; children whose labelled rates differ from these keep their names. Sibling templates with labels are
 merged, in order of their rates, as long as a two-proportion test does not tell the next from the branch so
 far. A template, merged with its like, is rejected if its purity, the share of bad among labelled urls
 smoothed towards the host's and the corpus' rate, reaches ``threshold``. A template without labels is in
@@ -64,7 +65,22 @@ def segment_template(segment: Column) -> Column:
     return shaped
 
 
-def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN) -> DataFrame:
+def wild_children(children: DataFrame, max_children: int, max_z: float) -> DataFrame:
+    """(host, template, child) of those of ``children``, with their counts, that become a wildcard.
+
+    These are, below a node of more than ``max_children``, the children of its branch of most children and
+    those without labels. Children of other branches, whose labelled counts differ, keep their names.
+    """
+    wide = children.groupBy("host", "template").agg(F.count("*").alias("children")).filter(F.col("children") > max_children).drop("children")
+    named = children.join(wide, ["host", "template"], "left_semi").filter("child NOT LIKE '{%'")
+    found = branches(named.withColumnRenamed("template", "parent"), max_z).withColumnRenamed("parent", "template")
+    main = found.groupBy("host", "template").agg(F.max_by("branch", F.struct("branch_siblings", "branch_labelled", -F.col("branch"))).alias("branch"))
+    main = found.join(main, ["host", "template", "branch"]).select("host", "template", "labelled", "bad", F.lit(True).alias("wild"))
+    return named.filter("labelled = 0").select("host", "template", "child", F.lit(True).alias("wild")).union(
+        named.filter("labelled > 0").join(main, ["host", "template", "labelled", "bad"]).select("host", "template", "child", "wild"))
+
+
+def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, max_z: float = MAX_Z) -> DataFrame:
     """(host, path) counts with ``n``, ``labelled``, ``bad`` to the same with the path's ``template``."""
     parts = F.transform(F.split(F.regexp_replace("path", "^/", ""), "/", -1), segment_template)
     tail = F.when(F.size("parts") > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
@@ -73,15 +89,13 @@ def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_C
     keys = ["host", "template"]
     levels = min(depth + 1, current.agg(F.max(F.size("parts"))).first()[0] or 0)
     for level in range(levels):
-        child = F.get("parts", F.lit(level))
-        current = current.withColumn("child", child)
-        children = current.filter("child IS NOT NULL").select(*keys, "child").distinct()
-        wide = children.groupBy(*keys).agg(F.count("*").alias("children")).filter(F.col("children") > max_children)
-        current = current.join(wide, keys, "left").withColumn(
+        current = current.withColumn("child", F.get("parts", F.lit(level)))
+        children = current.filter("child IS NOT NULL").groupBy(*keys, "child").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        current = current.join(wild_children(children, max_children, max_z), [*keys, "child"], "left").withColumn(
             "template",
             F.when(F.col("child").isNull(), F.col("template")).otherwise(
-                F.concat("template", F.lit("/"), F.when(F.col("children").isNotNull() & ~F.col("child").startswith("{"), WILD).otherwise(F.col("child")))),
-        ).drop("children", "child")
+                F.concat("template", F.lit("/"), F.when(F.col("wild"), WILD).otherwise(F.col("child")))),
+        ).drop("wild", "child")
         current = written(current, "url-level")  # each level reads the one before twice
     return current.drop("parts")
 

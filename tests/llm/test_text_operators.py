@@ -199,3 +199,17 @@ def test_small_steps_do_not_join_extremes(spark):
     for r in rows.values():
         groups.setdefault(r.branch, []).append(int(r.template[1:]))
     assert all(not url_tree.apart(min(g), 20, max(g), 20, url_tree.MAX_Z) for g in groups.values())
+
+
+@pytest.mark.parametrize("sections", [20, 33, 40])
+def test_verdicts_do_not_depend_on_the_number_of_sections(spark, sections):
+    spam = [(f"/spam/p-{'abcdefgh'[i % 8]}{i}", 1, int(i % 50 > 0)) for i in range(300)]
+    good = [(f"/section-{chr(97 + k // 26)}{chr(97 + k % 26)}/x{i}", int(k != 7), 0) for k in range(sections) for i in range(10)]
+    paths = spark.createDataFrame([("s.io", p, 1, n, b) for p, n, b in spam + good], "host string, path string, n long, labelled long, bad long")
+    tree = url_tree.template_tree(paths)
+    verdicts = url_tree.judge_templates(tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad"))))
+    rows = tree.join(verdicts, ["host", "template"]).collect()
+    assert len(rows) == len(spam + good)
+    assert {r.verdict for r in rows if r.path.startswith("/spam/") and "*" in r.template} == {"block"}
+    assert {r.verdict for r in rows if r.path.startswith("/section") and "section-ah" not in r.path} == {"allow"}
+    assert all(r.template.startswith("/spam") for r in rows if r.path.startswith("/spam/"))
