@@ -12,13 +12,14 @@ no branch and has the smoothed rate of its parent's labelled children, the host'
 All counts are aggregates combined before the shuffle; a hot host is rows of counts by then. A url
 with null or without ``://`` has empty host and path; its template is the empty one. Pages are kept
 one by one, repeated rows too; null labels and ids count as unlabelled. An empty table gives no rows.
-Levels beyond ``depth`` share one open end in the template, which still counts every url.
+The tree goes down as far as there are segments; a round goes on with nodes of many unlike paths only.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,7 @@ from strandframe.llm.common import table, written
 
 BLOCK, ALLOW = "block", "allow"
 RULES = [("net", "/", BLOCK), ("example.net", "/en/", ALLOW), ("example.com", "/de/", BLOCK), ("org", "/fr/", ALLOW)]
-DEPTH, MAX_CHILDREN, THRESHOLD, SMOOTHING, MAX_Z = 6, 32, 0.5, 8.0, 1.96
+MAX_CHILDREN, THRESHOLD, SMOOTHING, MAX_Z = 32, 0.5, 8.0, 1.96
 WILD = "*"
 # Shapes of generated segments, each with the wildcard that stands for it; a file ending is kept.
 SHAPES = [(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$", "{number}"), (r"^[0-9A-Fa-f-]{12,}(\.[A-Za-z0-9]{1,5})?$", "{hex}"), (r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_-]{16,}(\.[A-Za-z0-9]{1,5})?$", "{id}")]
@@ -80,24 +81,37 @@ def wild_children(children: DataFrame, max_children: int, max_z: float) -> DataF
         named.filter("labelled > 0").join(main, ["host", "template", "labelled", "bad"]).select("host", "template", "child", "wild"))
 
 
-def template_tree(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, max_z: float = MAX_Z) -> DataFrame:
-    """(host, path) counts with ``n``, ``labelled``, ``bad`` to the same with the path's ``template``."""
+def template_tree(urls: DataFrame, max_children: int = MAX_CHILDREN, max_z: float = MAX_Z) -> DataFrame:
+    """(host, path) counts with ``n``, ``labelled``, ``bad`` to the same with the path's ``template``.
+
+    A node with ``max_children`` paths or fewer, or with one shape of path, has no wide node below it: its
+    paths end at once. Other nodes first go to the end of what all their paths share, then one level down.
+    """
     parts = F.transform(F.split(F.regexp_replace("path", "^/", ""), "/", -1), segment_template)
-    tail = F.when(F.size("parts") > depth, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>"))
-    current = urls.withColumn("parts", parts).withColumn("parts", F.concat(F.slice("parts", 1, depth), tail))
-    current = current.withColumn("template", F.lit(""))
-    keys = ["host", "template"]
-    levels = min(depth + 1, current.agg(F.max(F.size("parts"))).first()[0] or 0)
-    for level in range(levels):
-        current = current.withColumn("child", F.get("parts", F.lit(level)))
-        children = current.filter("child IS NOT NULL").groupBy(*keys, "child").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    current = written(urls.withColumn("template", F.lit("")).withColumn("rest", parts), "url-level")
+    keys, ended = ["host", "template"], []
+    while not current.isEmpty():
+        nodes = current.groupBy(*keys).agg(F.count("*").alias("paths"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        # What the least and the greatest path share, all between them share.
+        differ = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False).cast("int")
+        nodes = nodes.select(*keys, F.when((F.col("paths") > max_children) & (differ > 0), differ - 1).alias("shared"))
+        current = current.join(nodes, keys).withColumn("shared", F.coalesce("shared", F.size("rest")))
+        current = current.withColumn("template", _extended(F.slice("rest", F.lit(1), F.col("shared"))))
+        current = written(current.withColumn("rest", F.slice("rest", F.col("shared") + 1, F.greatest(F.size("rest"), F.lit(1)))).drop("shared"), "url-shared")
+        ended.append(current.filter(F.size("rest") == 0).drop("rest"))
+        current = current.filter(F.size("rest") > 0).withColumn("child", F.get("rest", F.lit(0)))
+        children = current.groupBy(*keys, "child").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
         current = current.join(wild_children(children, max_children, max_z), [*keys, "child"], "left").withColumn(
-            "template",
-            F.when(F.col("child").isNull(), F.col("template")).otherwise(
-                F.concat("template", F.lit("/"), F.when(F.col("wild"), WILD).otherwise(F.col("child")))),
-        ).drop("wild", "child")
+            "template", F.concat("template", F.lit("/"), F.when(F.col("wild"), WILD).otherwise(F.col("child"))))
+        current = current.withColumn("rest", F.slice("rest", F.lit(2), F.size("rest"))).drop("wild", "child")
         current = written(current, "url-level")  # each level reads the one before twice
-    return current.drop("parts")
+        ended.append(current.filter(F.size("rest") == 0).drop("rest"))
+        current = current.filter(F.size("rest") > 0)
+    return reduce(DataFrame.union, ended) if ended else current.drop("rest")
+
+
+def _extended(segments: Column) -> Column:
+    return F.concat("template", F.when(F.size(segments) > 0, F.concat(F.lit("/"), F.array_join(segments, "/"))).otherwise(F.lit("")))
 
 
 def apart(bad: int, labelled: int, other_bad: int, other_labelled: int, max_z: float) -> bool:

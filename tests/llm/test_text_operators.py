@@ -213,3 +213,19 @@ def test_verdicts_do_not_depend_on_the_number_of_sections(spark, sections):
     assert {r.verdict for r in rows if r.path.startswith("/spam/") and "*" in r.template} == {"block"}
     assert {r.verdict for r in rows if r.path.startswith("/section") and "section-ah" not in r.path} == {"allow"}
     assert all(r.template.startswith("/spam") for r in rows if r.path.startswith("/spam/"))
+
+
+def test_templates_go_down_to_the_last_segment(spark):
+    start = "/a/b/c/d/e/f/g/h"
+    rows = [(f"{start}/{kind}/x{'abcdefgh'[i % 8]}{i}/end", 1, int(kind == "bad")) for kind in ("bad", "good") for i in range(60)]
+    rows += [(start, 1, 0), (f"{start}/bad", 1, 1), ("/a/b", 1, 0), ("/", 1, 0), ("", 1, 0), ("//", 1, 0), (start + "/", 1, 0)]
+    rows += [(f"/1/2/3/4/5/6/7/{kind}", 50, 50 * (kind == "bad")) for kind in ("bad", "good")]
+    frame = spark.createDataFrame([("s.io", p, n, n, b) for p, n, b in rows], "host string, path string, n long, labelled long, bad long")
+    tree = url_tree.template_tree(frame)
+    verdicts = url_tree.judge_templates(tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "bad"))))
+    found = {r.path: r for r in tree.join(verdicts, ["host", "template"]).collect()}
+    assert len(found) == len(rows) == tree.count()
+    assert found[f"{start}/bad/xa0/end"].template == f"{start}/bad/*/end" and found[f"{start}/good/xa0/end"].template == f"{start}/good/*/end"
+    assert {r.verdict for p, r in found.items() if "/bad/" in p} == {"block"} and {r.verdict for p, r in found.items() if "/good/" in p} == {"allow"}
+    assert [found[f"/1/2/3/4/5/6/7/{kind}"].verdict for kind in ("bad", "good")] == ["block", "allow"]
+    assert [found[p].template for p in (start, "/a/b", "/", "", "//", start + "/")] == [start, "/a/b", "/", "/", "//", start + "/"]
