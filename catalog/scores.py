@@ -75,6 +75,23 @@ def _(spark, folder):
     return paired.select(*CELL_KEYS, "actual_O", "actual_F", "alpha_pred_O", "alpha_pred_F")
 
 
+@query(
+    "j1_repeated_keys_all",
+    "WITH o AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS y FROM lineitem WHERE l_linestatus = 'O'), "
+    "f AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS y FROM lineitem WHERE l_linestatus = 'F') "
+    "SELECT coalesce(o.l_orderkey, f.l_orderkey) AS domain_id, coalesce(o.l_linenumber, f.l_linenumber) AS resid, coalesce(o.l_returnflag, f.l_returnflag) AS resname, "
+    "o.y AS \"actual_O\", f.y AS \"actual_F\", o.y + 1 AS \"alpha_pred_O\", f.y + 1 AS \"alpha_pred_F\" "
+    "FROM o FULL JOIN f ON o.l_orderkey = f.l_orderkey AND o.l_linenumber = f.l_linenumber AND o.l_returnflag = f.l_returnflag",
+)
+def _(spark, folder):
+    """All of lineitem, by keys that repeat a few times within a condition."""
+    long = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("domain_id"), F.col("l_linenumber").alias("resid"), F.col("l_returnflag").alias("resname"),
+        F.col("l_linestatus").alias("condition"), F.col("l_quantity").alias("actual"), (F.col("l_quantity") + 1).alias("alpha_predicted"))
+    paired = across.align_conditions(long, ["O", "F"], ["alpha"], unique_keys=False)
+    return paired.select(*CELL_KEYS, "actual_O", "actual_F", "alpha_pred_O", "alpha_pred_F")
+
+
 _DIFFS = [f"{k}_{y}" for y in YEARS for k in ("pred_diff", "abs_error_diff")]
 
 

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from strandframe.operators import conditions as across
 from strandframe.operators import groups, metrics, reports, trends
 from strandframe.plans.comparison import align, comparison_tables
@@ -235,3 +236,11 @@ def test_reports(scored):
     frequent = reports.most_frequent_categories(df, 1).first()
     assert frequent["resname"] == data.resname.value_counts().idxmax()
     assert reports.largest_group(df).first()["rows"] == data.domain_id.value_counts().max()
+
+
+def test_repeated_keys_of_all_lines_are_paired(spark, folder):
+    keys = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").groupBy(*keys, "l_linestatus").count()
+    found = entry.queries()["j1_repeated_keys_all"](spark, folder)
+    assert lines.filter("count > 1").count() > 0
+    assert found.select("domain_id", "resid", "resname").distinct().count() == lines.select(*keys).distinct().count()
