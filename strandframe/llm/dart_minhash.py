@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandframe.llm.common import components, table, text_or_empty, written
 from strandframe.llm.recompress import word_bounds, word_symbols
-from strandframe.llm.shards import PrefixHash, Shards, in_batches, joined, mark_columns, mix, read_shard, with_marks, without_rows
+from strandframe.llm.shards import BATCH_BYTES, PrefixHash, Shards, in_batches, joined, mark_columns, mix, read_shard, with_marks, without_rows
 
 SHINGLE, SIMILARITY, BANDS, ROWS, FLOOR, BLOCK = 5, 0.8, 32, 5, 0.64, 2000
 # Cumulated Poisson(1) probabilities: the number of darts in a cell.
@@ -142,6 +142,36 @@ def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarra
     return links
 
 
+def copies_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Shingle sets on their way to the pairs of blocks that compare them."""
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["component", "i", "j", "own", "uid", "shingles", "weights"])
+
+
+def verifying_tasks(files: DataFrame, block: int, least: int) -> int:
+    """Tasks of about one pair of blocks each; a text is sent once to every block of its component."""
+    copies = files.agg(F.sum(F.aggregate("marks", F.lit(0).cast("bigint"), lambda total, mark: total + mark["blocks"]))).first()[0] or 0
+    return max(least, -(-copies // (2 * block)))
+
+
+def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one (component, i, j) at a time, from batches in that order; no more of them are held."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("component", "i", "j")], axis=1)
+        new = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)
+        for a, b in zip(new, np.append(new[1:], len(keys)), strict=True):
+            if held and key != tuple(keys[a]):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, weights: str = "set", block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id, kept) per row; ids are those of the kept rows."""
     shards = Shards(docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_or_empty(text_column).alias("text")), "dart-docs")
@@ -186,7 +216,6 @@ def group_rows(shards: Shards, least: float = SIMILARITY, bands: int = BANDS, ro
     marks = candidates.join(sizes, "component").select(
         F.shiftright("id", 32).cast("int").alias("shard"), F.col("id").bitwiseAND(0xFFFFFFFF).cast("int").alias("row"), "component", F.ceil(F.col("texts") / F.lit(block)).cast("int").alias("blocks"))
     files = written(with_marks(shards, marks, ["row", "component", "blocks"]).filter("marks IS NOT NULL"), "dart-marks")
-    total = files.agg(F.sum(F.size("marks"))).first()[0] or 0
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,39 +229,37 @@ def group_rows(shards: Shards, least: float = SIMILARITY, bands: int = BANDS, ro
                     texts = [t.encode("utf8", "surrogatepass") for t in rows_here.column(0).take(pa.array(row[a:b] - first)).to_pylist()]
                     shingle, weight, text = shingle_sets(texts, size, weights)
                     cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-                    out = []
+                    out, held = [], 0
                     for k in range(b - a):
                         uid = (shard << 32) | int(row[a + k])
                         parts, own = int(blocks[a + k]), int(mix(np.asarray([uid], "u8"))[0] % np.uint64(blocks[a + k]))
+                        mine = shingle[cuts[k] : cuts[k + 1]].tobytes(), weight[cuts[k] : cuts[k + 1]].astype("f4").tobytes()
                         for other in range(parts):
-                            out.append((int(component[a + k]), min(own, other), max(own, other), own, uid, shingle[cuts[k] : cuts[k + 1]].tobytes(), weight[cuts[k] : cuts[k + 1]].astype("f4").tobytes()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["component", "i", "j", "own", "uid", "shingles", "weights"])
+                            out.append((int(component[a + k]), min(own, other), max(own, other), own, uid, *mine))
+                            held += len(mine[0]) + len(mine[1])
+                            if held > BATCH_BYTES:
+                                yield copies_batch(out)
+                                out, held = [], 0
+                    if out:
+                        yield copies_batch(out)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        rows_here = pa.Table.from_batches(batches).combine_chunks()
-        component, i, j, own, uid = (rows_here.column(c).to_numpy() for c in ("component", "i", "j", "own", "uid"))
-        by = np.lexsort((uid, j, i, component))
-        new = np.flatnonzero(np.append(True, (component[by][1:] != component[by][:-1]) | (i[by][1:] != i[by][:-1]) | (j[by][1:] != j[by][:-1])))
-        for a, b in zip(new, np.append(new[1:], len(by)), strict=True):
-            part = by[a:b]
-            if len(part) < 2:
+        for chosen in block_pairs(batches):
+            if chosen.num_rows < 2:
                 continue
-            chosen = rows_here.take(pa.array(part))
+            i, j, own, uid = (chosen.column(c).to_numpy() for c in ("i", "j", "own", "uid"))
             found = [(np.frombuffer(s, "u8"), np.frombuffer(w, "f4").astype("f8")) for s, w in zip(chosen.column("shingles").to_pylist(), chosen.column("weights").to_pylist(), strict=True)]
             count = [len(s) for s, _ in found]
             signature = signatures(np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found]), np.repeat(np.arange(len(found)), count), len(found), coordinates)
-            side = own[part] if i[part[0]] != j[part[0]] else None
+            side = own if i[0] != j[0] else None
             links = linked_pairs(found, signature, side, bands, least, FLOOR)
             if links:
                 x, y = np.array(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(uid[part][x]), pa.array(uid[part][y])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(uid[x]), pa.array(uid[y])], ["a", "b"])
 
-    tasks = max(int(shards.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * block)))
+    tasks = verifying_tasks(files, block, int(shards.spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = shards.dealt(files).mapInArrow(sets, "component bigint, i int, j int, own int, uid bigint, shingles binary, weights binary")
-    links = written(pairs.repartition(tasks, "component", "i", "j").mapInArrow(verify, "a bigint, b bigint"), "dart-links")
+    links = written(pairs.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j", "uid").mapInArrow(verify, "a bigint, b bigint"), "dart-links")
     linked = components(links)
     # The class of every row, the component of every class, and the smallest row of every component.
     placed = classes.select("a", "b", "n", "first").join(linked, F.col("first.uid") == F.col("id"), "left").select(

@@ -231,3 +231,25 @@ def test_pipeline_stages_agree_with_plain_rules(spark, folder):
     pieces = after.collect()
     assert {r.doc_id for r in pieces} == set(before)
     assert pipeline.run(spark, folder).count() == len(pieces)
+
+
+def test_verifying_holds_one_pair_of_blocks(spark):
+    rows = [(7, i, j, i, u, b"", b"") for i in range(3) for j in range(i, 3) for u in range(5)]
+    asked = []
+
+    def batches():
+        for start in range(0, len(rows), 4):
+            asked.append(start)
+            yield dart_minhash.copies_batch(rows[start : start + 4])
+
+    pairs = dart_minhash.block_pairs(batches())
+    first = next(pairs)
+    assert (first.num_rows, asked) == (5, [0, 4])
+    assert [(t["i"][0].as_py(), t["j"][0].as_py(), t.num_rows) for t in pairs] == [(i, j, 5) for i in range(3) for j in range(i, 3)][1:]
+    assert list(dart_minhash.block_pairs(iter([]))) == []
+
+
+def test_verifying_tasks_grow_with_the_copies(spark):
+    make = lambda texts, blocks: spark.createDataFrame([(0, [(r, 1, blocks) for r in range(texts)])], "shard int, marks array<struct<row:int,component:bigint,blocks:int>>")
+    assert dart_minhash.verifying_tasks(make(1000, 50), 20, 4) == 1250
+    assert dart_minhash.verifying_tasks(make(10, 1), 20, 4) == dart_minhash.verifying_tasks(make(10, 1).limit(0), 20, 4) == 4
