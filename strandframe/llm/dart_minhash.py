@@ -15,8 +15,8 @@ coordinate stays empty the rank doubles. Two coordinates agree with the weighted
 4. Verified links give components again.
 
 With ``BANDS`` bands of ``ROWS`` a pair at similarity 0.8 is missed with probability 3e-6, more similar
-pairs less. A signature that agrees on under ``FLOOR`` of the coordinates (5 standard deviations) saves
-the comparison.
+pairs less. A signature that agrees on under ``agreement_floor()`` of the coordinates (5 standard deviations
+below the least similarity) saves the comparison.
 
 Weights are 1 (``weights="set"``) or the counts of a shingle (``"count"``). Texts without words, null ones too,
 link with nothing. Repeated rows are exact copies. Of a group the smallest id is kept (null first), of
@@ -36,7 +36,7 @@ from strandframe.llm.common import components, table, text_or_empty, written
 from strandframe.llm.recompress import word_bounds, word_symbols
 from strandframe.llm.shards import BATCH_BYTES, PrefixHash, Shards, in_batches, joined, mark_columns, mix, read_shard, with_marks, without_rows
 
-SHINGLE, SIMILARITY, BANDS, ROWS, FLOOR, BLOCK = 5, 0.8, 32, 5, 0.64, 2000
+SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 32, 5, 2000
 # Cumulated Poisson(1) probabilities: the number of darts in a cell.
 _POISSON = np.cumsum([1, 1, 1 / 2, 1 / 6, 1 / 24, 1 / 120, 1 / 720, 1 / 5040, 1 / 40320]) / np.e
 
@@ -142,6 +142,11 @@ def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarra
     return links
 
 
+def agreement_floor(least: float, coordinates: int) -> float:
+    """The share of coordinates that hardly any pair of similarity ``least`` stays under."""
+    return least - 5 * (least * (1 - least) / coordinates) ** 0.5
+
+
 def copies_batch(rows: list[tuple]) -> pa.RecordBatch:
     """Shingle sets on their way to the pairs of blocks that compare them."""
     types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
@@ -252,7 +257,7 @@ def group_rows(shards: Shards, least: float = SIMILARITY, bands: int = BANDS, ro
             count = [len(s) for s, _ in found]
             signature = signatures(np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found]), np.repeat(np.arange(len(found)), count), len(found), coordinates)
             side = own if i[0] != j[0] else None
-            links = linked_pairs(found, signature, side, bands, least, FLOOR)
+            links = linked_pairs(found, signature, side, bands, least, agreement_floor(least, coordinates))
             if links:
                 x, y = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(uid[x]), pa.array(uid[y])], ["a", "b"])

@@ -253,3 +253,15 @@ def test_verifying_tasks_grow_with_the_copies(spark):
     make = lambda texts, blocks: spark.createDataFrame([(0, [(r, 1, blocks) for r in range(texts)])], "shard int, marks array<struct<row:int,component:bigint,blocks:int>>")
     assert dart_minhash.verifying_tasks(make(1000, 50), 20, 4) == 1250
     assert dart_minhash.verifying_tasks(make(10, 1), 20, 4) == dart_minhash.verifying_tasks(make(10, 1).limit(0), 20, 4) == 4
+
+
+def test_pairs_just_above_a_lower_least_are_found(spark):
+    # 77 of 123 shingles are shared: similarity 0.626, which most signatures show as less than 0.64.
+    texts = []
+    for pair in range(12):
+        start = [f"w{pair}-{k}" for k in range(81)]
+        texts += [" ".join(start + [f"{side}{pair}-{k}" for k in range(23)]) for side in "ab"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in dart_minhash.near_duplicates(frame, least=0.6, bands=40, rows=4).collect()}
+    assert found == {i: i - i % 2 for i in range(24)}
+    assert dart_minhash.agreement_floor(0.8, 160) == pytest.approx(0.642, abs=1e-3)
