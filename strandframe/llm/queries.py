@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bitpack, chat, dart_minhash, decontaminate, multi_index, packing, recompress, suffix_array, toxicity, url_tree
+from strandframe.llm import bitpack, chat, dart_minhash, decontaminate, filter_audit, multi_index, packing, recompress, suffix_array, toxicity, url_tree
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_recompression": recompress.query,
     "op9_toxicity": toxicity.query,
     "op10_url_filters": url_tree.query,
+    "op13_filter_audit": filter_audit.query,
 }
 SQL = {
     "op1_chat_formatting": chat.SQL,
     "op5_decontamination": decontaminate.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
