@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandframe.llm import bitpack, chat, dart_minhash, decontaminate, filter_audit, multi_index, packing, recompress, suffix_array, toxicity, url_tree
+from strandframe.llm import bitpack, chat, dart_minhash, decontaminate, filter_audit, multi_index, packing, periodic_runs, recompress, suffix_array, toxicity, url_tree, word_bpe
 
 QUERIES = {
     "op1_chat_formatting": chat.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_recompression": recompress.query,
     "op9_toxicity": toxicity.query,
     "op10_url_filters": url_tree.query,
+    "op11_word_bpe": word_bpe.query,
+    "op12_periodic_runs": periodic_runs.query,
     "op13_filter_audit": filter_audit.query,
 }
 SQL = {
