@@ -155,8 +155,8 @@ for _id, _metric in {
           _per_model(lambda m: f"count(*) AS n, {ra(f'corr(ry, r{m})', 'spearman_correlation', 6)}", "ranked")),
 )
 def _(spark, folder):
-    scored = metrics.regression_metrics(results(spark, folder).persist(), "actual", PREDICTIONS, metrics=("spearman_correlation",))
-    return fix(scored, 6)
+    rows = results(spark, folder).select("actual", *PREDICTIONS.values()).persist()
+    return fix(metrics.regression_metrics(rows, "actual", PREDICTIONS, metrics=("spearman_correlation",)), 6)
 
 
 @query(
@@ -168,7 +168,8 @@ def _(spark, folder):
           "SELECT secondary_structure_encoded, count(*) AS n, " + ra("corr(ry, rp)", "spearman_correlation", 6) + " FROM ranked GROUP BY 1"),
 )
 def _(spark, folder):
-    return fix(metrics.rank_correlation(results(spark, folder).persist(), "actual", "beta_predicted", ["secondary_structure_encoded"]), 6)
+    return fix(metrics.rank_correlation(
+        results(spark, folder).select("actual", "beta_predicted", "secondary_structure_encoded").persist(), "actual", "beta_predicted", ["secondary_structure_encoded"]), 6)
 
 
 @query(
@@ -494,7 +495,7 @@ _EDGES_SQL = ra("lo + b * ((hi - lo) / 20)", "bin_start", 3) + ", " + ra("CASE W
           f"SELECT condition, type, {_EDGES_SQL}, COALESCE(n, 0) AS \"count\" FROM grid LEFT JOIN placed USING (condition, type, b), span"),
 )
 def _(spark, folder):
-    return fix(across.pooled_histogram(wide(spark, folder).persist(), YEARS, "alpha"), 3)
+    return fix(across.pooled_histogram(wide(spark, folder), YEARS, "alpha"), 3)
 
 
 @query(

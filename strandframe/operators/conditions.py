@@ -28,7 +28,7 @@ from .metrics import (
     rmse,
     uncertainty_column,
 )
-from .ranking import aggregate_with_medians, exact_quantiles
+from .ranking import aggregate_with_medians, pooled_quantiles
 from .skew import match_keys
 
 ID_AND_CODE_COLUMNS = ("resid", "secondary_structure_encoded", "core_exterior_encoded", "resname_encoded")
@@ -344,26 +344,39 @@ def pooled_histogram(
 ) -> DataFrame:
     """Counts per condition and source over bins shared by all of them.
 
-    The bins span the 1st to 99th percentile of actual and predicted values together,
-    not below 0.
+    The bins span the 1st to 99th percentile of actual and predicted values together, not below 0.
+    The values alone are kept while ranks and counts are taken from them; the result is as small as
+    conditions x sources x bins and is made at once.
     """
-    entries = [
-        F.struct(
-            F.lit(str(c)).alias(CONDITION), F.lit(source).alias("type"), to_number(column).alias("value")
-        )
+    sources = [
+        (str(c), source, column)
         for c in conditions
         for source, column in (("actual", f"actual_{c}"), (f"predicted_{model}", f"{model}_pred_{c}"))
     ]
-    values = wide.select(F.inline(F.array(*entries))).filter(F.col("value").isNotNull())
-    low, high = exact_quantiles(values, ["value"], [0.01, 0.99])["value"]
-    if low is None:
-        low, high = 0.0, 1.0
-    low = max(0.0, low)
-    high = low + 1e-6 if high <= low else high
-    present = [
-        (r[CONDITION], r["type"]) for r in values.select(CONDITION, "type").distinct().collect()
+    names = [f"v{i}" for i in range(len(sources))]
+    values = wide.select(*[to_number(column).alias(v) for v, (_, _, column) in zip(names, sources, strict=True)]).persist()
+    try:
+        low, high = pooled_quantiles(values, names, [0.01, 0.99])
+        if low is None:
+            low, high = 0.0, 1.0
+        low = max(0.0, low)
+        high = low + 1e-6 if high <= low else high
+        edges = even_edges(low, high, bins)
+        entries = [
+            F.when(F.col(v).isNotNull(), F.struct(F.lit(i).alias("source"), F.coalesce(histogram_bin(F.col(v), edges), F.lit(-1)).alias("bin")))
+            for i, v in enumerate(names)
+        ]
+        counted = values.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("source", "bin").count().collect()
+    finally:
+        values.unpersist()
+    counts = {(source, bin): n for source, bin, n in counted}
+    rows = [
+        (sources[i][0], sources[i][1], float(edges[b]), float(edges[b + 1]), counts.get((i, b), 0))
+        for i in sorted({i for i, _ in counts})  # sources without a value have no rows
+        for b in range(bins)
     ]
-    return _histogram(values, [CONDITION, "type"], even_edges(low, high, bins), sorted(present))
+    schema = f"`{CONDITION}` string, type string, bin_start double, bin_end double, count bigint"
+    return wide.sparkSession.createDataFrame(rows, schema)
 
 
 def run_histogram(df: DataFrame, actual: str, models: Sequence[str], bins: int = 20) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from ..columns import GROUP, GROUP_SIZE, POSITION, SCALED_POSITION, offset_name, offsets
 from ..functions import codes
 from ..functions.numeric import to_number
-from .ranking import default_buckets, exact_quantiles, quantile_bounds, row_index, sort_number, with_bucket
+from .radix import even_cuts
+from .ranking import default_buckets, exact_quantiles, row_index, sort_number, with_bucket
 from .skew import HOT_GROUP_ROWS, count_hot_groups, hot_keys, match_keys
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -139,7 +140,7 @@ def _shifted_in_blocks(
 ) -> DataFrame:
     block_rows = max(block_rows, k)
     placed = df.withColumn("__at", sort_number(df, order[0]))
-    (bounds,) = quantile_bounds(placed, ["__at"], default_buckets(df))
+    (bounds,) = even_cuts(placed, ["__at"], default_buckets(df))
     numbered = row_index(
         with_bucket(placed, "__at", bounds), "__bucket", order, "__row", keys=[group]
     )
@@ -172,21 +173,18 @@ def fill_statistics(df: DataFrame, features: Sequence[str]) -> dict:
     if fractional:
         medians = exact_quantiles(df, fractional, [0.5])
         fills |= {f: 0.0 if medians[f][0] is None else medians[f][0] for f in fractional}
-    for text in (False, True):
-        chosen = [f for f in others if isinstance(kinds[f], T.StringType) is text]
-        if not chosen:
-            continue
-        cast = "string" if text else "long"
-        entries = [F.struct(F.lit(f).alias("f"), F.col(f).cast(cast).alias("v")) for f in chosen]
-        counted = (
-            df.select(F.inline(F.array(*entries)))
-            .filter(F.col("v").isNotNull())
-            .groupBy("f", "v")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        best = counted.groupBy("f").agg(F.min_by("v", F.struct(-F.col("n"), "v")).alias("v"))
-        found = {r["f"]: r["v"] for r in best.collect()}
-        fills |= {f: found.get(f, "" if text else 0) for f in chosen}
+    if others:
+        # whole numbers and texts side by side: one count for all columns
+        entries = []
+        for f in others:
+            text = isinstance(kinds[f], T.StringType)
+            number, word = F.lit(None).cast("long") if text else F.col(f).cast("long"), F.col(f) if text else F.lit(None).cast("string")
+            entries.append(F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("f"), number.alias("number"), word.alias("word"))))
+        counted = df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("f", "number", "word").agg(F.count(F.lit(1)).alias("n"))
+        value = F.struct("number", "word")
+        best = counted.groupBy("f").agg(F.min_by(value, F.struct(-F.col("n"), value)).alias("v")).select("f", "v.*")
+        found = {r["f"]: r["number"] if r["word"] is None else r["word"] for r in best.collect()}
+        fills |= {f: found.get(f, "" if isinstance(kinds[f], T.StringType) else 0) for f in others}
     return fills
 
 

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 from ..columns import GROUP, POSITION, is_numeric_condition
 from ..functions.numeric import complete, paired, pearson, ratio, to_number
 from ..functions.significance import correlation_p_value
-from .ranking import aggregate_with_medians, default_buckets, quantile_bounds, value_ranks
+from .radix import even_cuts
+from .ranking import aggregate_with_medians, default_buckets, rank_counts, with_bucket
 from .skew import match_keys
 
 CORE_METRICS = ("rmse", "mae", "r2", "pearson_correlation")
@@ -103,21 +103,39 @@ def rank_correlation(
     df: DataFrame, a: str, b: str, by: Sequence[str] = (), name: str = "spearman_correlation"
 ) -> DataFrame:
     """Spearman correlation with tied values sharing their mean rank."""
-    complete_rows = df.select(*by, to_number(a).alias("__a"), to_number(b).alias("__b")).filter(
-        complete(F.col("__a"), F.col("__b"))
-    )
-    cuts = quantile_bounds(complete_rows, ["__a", "__b"], default_buckets(df))
-    # equal pairs are counted first, so a frequent pair is joined once
-    pairs = complete_rows.groupBy(*by, "__a", "__b").agg(F.count(F.lit(1)).alias("__w"))
+    return rank_correlations(df, a, {"": b}, by, name).drop("model")
+
+
+def rank_correlations(
+    df: DataFrame, actual: str, predictions: dict[str, str], by: Sequence[str] = (), name: str = "spearman_correlation"
+) -> DataFrame:
+    """(by, model, n, correlation) of the actual value with every prediction, over their complete pairs.
+
+    All models are ranked side by side: one pass for the cut points of all columns, then equal pairs are
+    counted, so a frequent pair is joined once, and values are ranked from the counted pairs.
+    """
+    # a sum with 0.0 makes -0.0 the 0.0 that it equals
+    columns = {"__a": actual, **{f"__b{i}": column for i, column in enumerate(predictions.values())}}
+    numbers = df.select(*by, *[(to_number(c) + F.lit(0.0)).alias(n) for n, c in columns.items()])
+    placed = numbers
+    for column, cuts in zip(columns, even_cuts(numbers, list(columns), default_buckets(df)), strict=True):
+        placed = with_bucket(placed, column, cuts, f"{column}_bucket")
+    sides = [
+        F.struct(F.lit(model).alias("model"), "__a", "__a_bucket", F.col(f"__b{i}").alias("__b"), F.col(f"__b{i}_bucket").alias("__b_bucket"))
+        for i, model in enumerate(predictions)
+    ]
+    rows = placed.select(*by, F.inline(F.array(*sides))).filter(complete(F.col("__a"), F.col("__b")))
+    keys = [*by, "model"]
+    pairs = rows.groupBy(*keys, "__a_bucket", "__a", "__b_bucket", "__b").agg(F.count(F.lit(1)).alias("__w"))
     ranked = pairs
-    for value, bounds in zip(("__a", "__b"), cuts, strict=True):
-        ranks = value_ranks(complete_rows, value, by, bounds).select(
-            *by,
-            F.col("value").alias(value),
-            (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"{value}_rank"),
+    for value in ("__a", "__b"):
+        bucket = f"{value}_bucket"
+        counted = pairs.groupBy(*keys, bucket, value).agg(F.sum("__w").alias("n"))
+        ranks = rank_counts(counted, bucket, value, keys).select(
+            *keys, value, (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"{value}_rank")
         )
-        ranked = match_keys(ranked, ranks, [*by, value], "inner", known=[value])
-    return _weighted_pearson(ranked, "__a_rank", "__b_rank", "__w", by, name)
+        ranked = match_keys(ranked, ranks, [*keys, value], "inner", known=["model", value])
+    return _weighted_pearson(ranked, "__a_rank", "__b_rank", "__w", keys, name)
 
 
 def _weighted_pearson(
@@ -185,11 +203,7 @@ def regression_metrics(
         r = "pearson_correlation" if "pearson_correlation" in wanted else "__r"
         result = result.withColumn("pearson_p_value", correlation_p_value(r, F.col("n").cast("double")))
     if any("spearman" in m for m in metrics):
-        ranked = [
-            rank_correlation(df, actual, column, by).withColumn("model", F.lit(model))
-            for model, column in predictions.items()
-        ]
-        ranked = reduce(lambda a, b: a.unionByName(b), ranked).select(
+        ranked = rank_correlations(df, actual, predictions, by).select(
             *by, "model", "spearman_correlation",
             correlation_p_value("spearman_correlation", F.col("n").cast("double")).alias("spearman_p_value"),
         )

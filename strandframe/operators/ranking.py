@@ -16,41 +16,31 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import to_number
+from .radix import Digits, even_cuts, select_ranks
 from .skew import count_hot_groups, hot_keys, match_keys
 
 _BUCKET = "__bucket"
 
-# Width and accuracy of the sketches that bracket a quantile.
-_SLACK = 1e-3
-_ACCURACY = 10_000
-
 # Values of one group that the built-in medians of one aggregate may buffer together.
 MEDIAN_BUFFER_ROWS = 1_000_000
 
 
 def default_buckets(df: DataFrame) -> int:
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(20_000, 4 * partitions))
-
+    return max(16, 4 * partitions)
 
-def quantile_bounds(df: DataFrame, columns: Sequence[str], buckets: int) -> list[list[float]]:
-    """Cut points giving buckets of about equal row counts; fixed-size sketches, one pass."""
-    points = [i / buckets for i in range(1, buckets)]
-    sketches = [F.percentile_approx(F.col(c).cast("double"), points, 4 * buckets) for c in columns]
-    return [sorted({x for x in found or () if x == x}) for found in df.agg(*sketches).first()]  # no NaN
 
-
-def with_bucket(df: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame:
+def with_bucket(df: DataFrame, column: str, bounds: Sequence[float], name: str = _BUCKET) -> DataFrame:
     """Add the bucket of a numeric column: a fixed function of the value alone, in sort order.
 
     Null has the first bucket to itself and NaN the last, as they sort.
     """
     splits = [-math.inf, *bounds, math.inf]
     if len(splits) < 3:
-        return df.withColumn(_BUCKET, F.lit(0))
+        return df.withColumn(name, F.lit(0))
     bucketizer = Bucketizer(splits=splits, inputCol=column, outputCol="__raw_bucket", handleInvalid="keep")
     placed = bucketizer.transform(df)
-    return placed.withColumn(_BUCKET, F.coalesce(F.col("__raw_bucket").cast("int"), F.lit(-1))).drop("__raw_bucket")
+    return placed.withColumn(name, F.coalesce(F.col("__raw_bucket").cast("int"), F.lit(-1))).drop("__raw_bucket")
 
 
 def sort_number(df: DataFrame, column: str) -> Column:
@@ -100,20 +90,22 @@ def value_ranks(
     """
     data = df.select(*keys, to_number(value).alias("value")).filter(F.col("value").isNotNull())
     if bounds is None:
-        (bounds,) = quantile_bounds(data, ["value"], default_buckets(df))
+        (bounds,) = even_cuts(data, ["value"], default_buckets(df))
     counted = (
         with_bucket(data, "value", bounds)
         .groupBy(*keys, _BUCKET, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    starts = _bucket_starts(counted, keys, _BUCKET, F.col("n"))
-    smaller = (
-        Window.partitionBy(*keys, _BUCKET).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    return rank_counts(counted, _BUCKET, "value", keys).select(*keys, "value", "n", "n_before")
+
+
+def rank_counts(counted: DataFrame, bucket: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Counted values (keys, bucket, value, ``n``) with ``n_before``, the rows of smaller values of their keys."""
+    starts = _bucket_starts(counted, keys, bucket, F.col("n"))
+    smaller = Window.partitionBy(*keys, bucket).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = counted.withColumn("__inside", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-    return match_keys(inside, starts, [*keys, _BUCKET], "inner", known=[_BUCKET]).select(
-        *keys, "value", "n", (F.col("__inside") + F.col("__start")).alias("n_before")
-    )
+    placed = match_keys(inside, starts, [*keys, bucket], "inner", known=[bucket])
+    return placed.select(*keys, bucket, value, "n", (F.col("__inside") + F.col("__start")).alias("n_before"))
 
 
 def _interpolate(low: float, high: float, share: float) -> float:
@@ -122,104 +114,35 @@ def _interpolate(low: float, high: float, share: float) -> float:
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], limit: int = 100_000
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], limit: int = 50_000
 ) -> dict[str, list[float | None]]:
     """Exact, linearly interpolated quantiles of whole columns.
 
-    A bounded sketch narrows each wanted rank to an interval; once at most ``limit``
-    rows are left in it, only those are ordered. Rows never pass through the driver.
+    Ranks are found digit by digit for all columns at once; intervals of at most ``limit`` rows are
+    read as counted values. Nothing is ordered in one task, and what reaches the driver is bounded.
     """
-    numeric = df.select(*[to_number(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    places = range(len(columns))
-    # the first sketch rides along with the counts: it covers the whole column
-    around = [x for p in probabilities for x in (max(0.0, p - _SLACK), min(1.0, p + _SLACK))]
-    summary = numeric.agg(
-        *[f(f"c{i}").alias(f"{n}{i}") for i in places for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))],
-        *[F.percentile_approx(f"c{i}", around, _ACCURACY).alias(f"s{i}") for i in places],
-    ).first()
-    pending = []
-    for i in places:
-        n = summary[f"n{i}"]
-        for j, p in enumerate(probabilities if n else ()):
-            rank = (n - 1) * p
-            pending.append(
-                {"c": f"c{i}", "key": (i, p), "ranks": (math.floor(rank), math.ceil(rank)),
-                 "share": rank - math.floor(rank), "lo": summary[f"lo{i}"], "hi": summary[f"hi{i}"],
-                 "below": 0, "inside": n, "sketch": summary[f"s{i}"][2 * j : 2 * j + 2]}
-            )
-    while True:
-        wide = [q for q in pending if q["inside"] > limit and q["lo"] < q["hi"]]
-        if not wide or not _narrow(numeric, wide):
-            break
-    picked = _pick(numeric, pending)
-    return {
-        c: [
-            None if not summary[f"n{i}"] else _interpolate(*picked[(i, p)]) for p in probabilities
-        ]
-        for i, c in enumerate(columns)
-    }
-
-
-def _sketch(numeric: DataFrame, wide: list[dict]) -> None:
-    """Approximate values a little below and above the wanted ranks of each interval."""
-    sketches = []
-    for j, q in enumerate(wide):
-        inside = F.when(F.col(q["c"]).between(q["lo"], q["hi"]), F.col(q["c"]))
-        first, last = ((r - q["below"]) / q["inside"] for r in q["ranks"])
-        points = [max(0.0, first - _SLACK), min(1.0, last + _SLACK)]
-        sketches.append(F.percentile_approx(inside, points, _ACCURACY).alias(f"s{j}"))
-    for q, found in zip(wide, numeric.agg(*sketches).first(), strict=True):
-        q["sketch"] = found
-
-
-def _narrow(numeric: DataFrame, wide: list[dict]) -> bool:
-    """Shrink every interval to its sketch where the wanted ranks lie inside; False if none shrank."""
-    unknown = [q for q in wide if q["sketch"] is None]
-    if unknown:
-        _sketch(numeric, unknown)
-    counts = numeric.agg(
-        *[F.count_if(F.col(q["c"]) < q["sketch"][0]).alias(f"below{j}") for j, q in enumerate(wide)],
-        *[F.count_if(F.col(q["c"]).between(*q["sketch"])).alias(f"inside{j}") for j, q in enumerate(wide)],
-    ).first()
-    shrank = False
-    for j, q in enumerate(wide):
-        below, inside = counts[f"below{j}"], counts[f"inside{j}"]
-        holds = below <= q["ranks"][0] and q["ranks"][1] < below + inside
-        if holds and inside < q["inside"]:
-            q["lo"], q["hi"], q["below"], q["inside"] = *q["sketch"], below, inside
-            shrank = True
-        q["sketch"] = None
-    return shrank
-
-
-def _pick(numeric: DataFrame, pending: list[dict]) -> dict:
-    """Values at the wanted ranks of each interval, ordered inside Spark."""
-    if not pending:
-        return {}
-    entries = [
-        F.when(
-            F.col(q["c"]).between(q["lo"], q["hi"]),
-            F.struct(F.lit(j).alias("q"), F.col(q["c"]).alias("v")),
-        )
-        for j, q in enumerate(pending)
+    numbers = df.select(*[to_number(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    found = _quantiles(Digits(numbers, numbers.columns), probabilities, limit)
+    return dict(zip(columns, found, strict=True))
+
+
+def pooled_quantiles(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], limit: int = 50_000
+) -> list[float | None]:
+    """The same of the values of several columns taken together."""
+    numbers = df.select(*[to_number(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    return _quantiles(Digits(numbers, [numbers.columns]), probabilities, limit)[0]
+
+
+def _quantiles(digits: Digits, probabilities: Sequence[float], limit: int) -> list[list[float | None]]:
+    def ranks(_, n: int) -> set[int]:
+        return {f((n - 1) * p) for p in probabilities for f in (math.floor, math.ceil)}
+
+    rows, found = select_ranks(digits, ranks, limit)
+    return [
+        [_interpolate(at[math.floor(r)], at[math.ceil(r)], r - math.floor(r)) if n else None for r in ((n - 1) * p for p in probabilities)]
+        for n, at in zip(rows, found, strict=True)
     ]
-    counted = (
-        numeric.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .groupBy("e.q", "e.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    upto = Window.partitionBy("q").orderBy("v")
-    ends = counted.withColumn("end", F.sum("n").over(upto))
-    start = F.col("end") - F.col("n")
-    found = F.array(
-        *[F.array(*[F.lit(r - q["below"]) for r in q["ranks"]]) for q in pending]
-    )[F.col("q")]
-    hits = ends.filter(
-        ((start <= found[0]) & (found[0] < F.col("end"))) | ((start <= found[1]) & (found[1] < F.col("end")))
-    )
-    values = {r["q"]: (r["low"], r["high"]) for r in
-              hits.groupBy("q").agg(F.min("v").alias("low"), F.max("v").alias("high")).collect()}
-    return {q["key"]: (*values[j], q["share"]) for j, q in enumerate(pending)}
 
 
 def _middle_of(keys: Sequence[str], ranks: DataFrame, name: str) -> DataFrame:
