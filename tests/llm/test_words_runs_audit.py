@@ -40,8 +40,8 @@ def plain_codes(texts):
 
 def test_ids_equal_the_library_for_odd_texts(spark):
     frame, rows = odd_rows(spark)
-    for salt in (word_bpe.BLOCKS_PER_SALT, 1):
-        found = word_bpe.encode_documents(frame.repartition(3), VOCABULARY, blocks_per_salt=salt).collect()
+    for text_bytes in (word_bpe.RANGE_BYTES, 1000):
+        found = word_bpe.encode_documents(frame.repartition(3), VOCABULARY, range_bytes=text_bytes).collect()
         expected = [(key, tuple(ids), text or "") for (key, text), ids in zip(rows, plain_codes([t for _, t in rows]), strict=True)]
         assert sorted(((r.doc_id, tuple(r.ids), r.text) for r in found), key=repr) == sorted(expected, key=repr)
     assert word_bpe.encode_documents(frame.limit(0), VOCABULARY).count() == 0
