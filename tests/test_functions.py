@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe.functions import bins, codes, numeric
-from strandframe.functions.significance import correlation_p, slope_p_value
+from strandframe.functions.significance import correlation_p_value, slope_p_value
 
 
 def column(df, name):
@@ -83,12 +83,34 @@ def test_slope_p_value_without_freedom(spark):
     assert (row["p"], row["q"]) == (0.0, 0.0)
 
 
-def test_correlation_p_value():
-    for r, n in ((0.3, 10), (-0.8, 7), (0.05, 200)):
-        t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
-        assert correlation_p(r, n) == pytest.approx(_t_tail(t, n - 2), abs=1e-8)
-    assert correlation_p(0.9, 2) == 1.0
-    assert correlation_p(None, 5) is None
+def _series_tail(r: float, dof: int) -> float:
+    """The same for a whole number of degrees of freedom, by its finite trigonometric series."""
+    sine, cosine = abs(r), math.sqrt(1 - r * r)
+    if dof % 2 == 0:
+        terms = [math.exp(math.lgamma(k + 0.5) - math.lgamma(0.5) - math.lgamma(k + 1)) * cosine ** (2 * k) for k in range(dof // 2)]
+        return 1 - sine * math.fsum(terms)
+    terms = [math.exp(math.lgamma(k + 1) + math.lgamma(1.5) - math.lgamma(k + 1.5)) * cosine ** (2 * k + 1) for k in range((dof - 1) // 2)]
+    return 1 - 2 / math.pi * (math.asin(sine) + sine * math.fsum(terms))
+
+
+def test_correlation_p_value(spark):
+    cases = [(r, n) for n in (3, 4, 5, 8, 10, 33, 200, 1001, 20_000) for r in (0.001, 0.02, -0.05, 0.1, 0.3, -0.8, 0.97)]
+    rows = spark.createDataFrame(cases, "r double, n long").select("r", "n", correlation_p_value("r", F.col("n")).alias("p")).collect()
+    for r, n, p in rows:
+        assert p == pytest.approx(_series_tail(r, n - 2), abs=1e-10)
+    assert abs(_series_tail(0.3, 8) - _t_tail(0.3 * math.sqrt(8 / 0.91), 8)) < 1e-8
+
+
+def test_correlation_p_value_far_out_and_at_the_ends(spark):
+    cases = [(0.9, 2), (1.0, 9), (-1.0, 9), (0.0, 9), (None, 9), (math.nan, 9), (0.5, 1), (0.5, None), (1e-6, 10**13), (0.9, 10**9)]
+    found = [row.p for row in spark.createDataFrame(cases, "r double, n long").select(correlation_p_value("r", "n").alias("p")).collect()]
+    # at 10^13 pairs t is normal: 1e-6 lies 3.16 deviations out
+    assert found[:8] == [1.0, 0.0, 0.0, 1.0, None, None, None, None]
+    assert found[8] == pytest.approx(math.erfc(math.sqrt(10) / math.sqrt(2)), rel=1e-3) and found[9] == 0.0
+    small = spark.createDataFrame([(0.6, 100)], "r double, n long").select(correlation_p_value("r", "n").alias("p")).first().p
+    x = np.linspace(0.6, 1, 400_001)  # the density of r itself
+    density = math.exp(math.lgamma(49.5) - math.lgamma(49)) / math.sqrt(math.pi) * (1 - x * x) ** 48
+    assert small == pytest.approx(2 * np.trapezoid(density, x), rel=1e-6) and small < 1e-9  # far below what 1 - tail could tell
 
 
 def test_pearson_of_constant_column_is_null(spark):
