@@ -37,12 +37,16 @@ def forest_regressor(
     max_features: str | float | int = 0.7,
     bootstrap: bool = True,
     seed: int = 42,
+    min_samples_split: int = 2,
 ) -> RandomForestRegressor:
-    """Random forest. A minimum split size does not exist in Spark ML; the leaf size does.
+    """Random forest.
 
-    ``max_depth`` None means the most that Spark ML grows, 30; more than that is an error.
+    ``max_depth`` None means the most that Spark ML grows, 30; more than that is an error. A node of two
+    rows may always be split: Spark ML knows no larger ``min_samples_split``, only the size of a leaf.
     """
     depth = checked_depth(max_depth)
+    if min_samples_split > max(2, 2 * min_samples_leaf):
+        raise ValueError(f"min_samples_split {min_samples_split} is not supported; min_samples_leaf bounds the size of a leaf")
     return RandomForestRegressor(
         featuresCol="features",
         labelCol="label",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -10,8 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import r2
-from ..operators.ranking import row_index
-from ..operators.splits import BUCKET_BITS, HASH_BITS, key_hash
+from ..operators.splits import hash_order
 from .estimators import feature_list
 
 
@@ -22,11 +22,12 @@ def built_in_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
-def _placed(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
-    """Random place of every row within its repeat."""
-    hashed = df.withColumn("__hash", key_hash([*keys, "repeat"], seed))
-    bucketed = hashed.withColumn("__part", F.shiftright("__hash", HASH_BITS - BUCKET_BITS))
-    return row_index(bucketed, "__part", ["__hash", *keys], "__place", keys=["repeat"]).drop("__hash", "__part")
+def rotations(n: int, n_repeats: int, seed: int) -> list[int]:
+    """A shift per repeat in 1..n-1 (0 if there is one row), from md5 of its number and the seed."""
+    if n < 2:
+        return [0] * n_repeats
+    hashed = [int(hashlib.md5(f"repeat-{i}-{seed}".encode()).hexdigest()[:13], 16) for i in range(n_repeats)]
+    return [1 + h % (n - 1) for h in hashed]
 
 
 def permutation_importance(
@@ -34,21 +35,23 @@ def permutation_importance(
 ) -> DataFrame:
     """Mean drop in R2 when one feature is shuffled across rows.
 
-    Two independent random numberings of the rows are joined on the number, which gives
-    each row a random donor. All features of all repeats are scored in one pass.
+    Rows are numbered once, in the order of a hash of their key. In each repeat a row's donor is the row
+    a fixed number of places further on, around the end, so a repeat is a permutation and one join on the
+    place serves all of them. All features of all repeats are scored in one pass.
     """
     names = feature_list(model)
     *before, regressor = model.stages
     ready = PipelineModel(before).transform(df)
-    base = regressor.transform(ready).agg(r2(F.col("label"), F.col("prediction"))).first()[0]
+    base, n = regressor.transform(ready).agg(r2(F.col("label"), F.col("prediction")), F.count(F.lit(1))).first()
 
-    rows = ready.select(*keys, "label", vector_to_array("features").alias("__x")).withColumn(
-        "repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1)))
+    rows = ready.select(*keys, "label", vector_to_array("features").alias("__x"))
+    numbered = hash_order(rows, keys, seed, "__place").select("__place", "label", "__x")
+    shifts = F.array(*[F.lit(s).cast("long") for s in rotations(n, n_repeats, seed)])
+    own = numbered.select("label", "__x", "__place", F.posexplode(shifts).alias("repeat", "__shift")).withColumn(
+        "__place", F.pmod(F.col("__place") + F.col("__shift"), F.lit(max(1, n)))
     )
-    own = _placed(rows, keys, seed)
-    donors = _placed(rows.select(*keys, "repeat", F.col("__x").alias("__donor")), keys, seed + 1)
-    paired = own.join(donors.select("repeat", "__place", "__donor"), ["repeat", "__place"])
-    swapped = paired.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).select(
+    donors = numbered.select("__place", F.col("__x").alias("__donor"))
+    swapped = own.join(donors, "__place").withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1)))).select(
         "repeat",
         "__j",
         "label",

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import z_score
@@ -20,7 +19,9 @@ from ..operators.metrics import (
     regression_metrics,
     uncertainty_column,
 )
+from ..operators.splits import HASH_BITS, key_hash
 from .estimators import VALIDATION_FLAG, estimator, fit
+from .trees import leaf_table, leaf_values, node_table, tree_chunks
 
 # Leaf values shipped in one literal (8 MB).
 LEAVES_PER_LITERAL = 1_000_000
@@ -32,26 +33,6 @@ def predict(model: PipelineModel, df: DataFrame, name: str = "prediction") -> Da
     return scored.select(*df.columns, F.col("prediction").alias(name))
 
 
-def _leaf_values(forest) -> list[list[float]]:
-    """Leaf values of each tree, numbered as ``leafCol`` numbers them: left to right."""
-    trees = re.split(r"^\s*Tree \d+ \(weight [^)]*\):", forest.toDebugString, flags=re.M)[1:]
-    return [[float(v) for v in re.findall(r"Predict: (\S+)", tree)] for tree in trees]
-
-
-def _tree_chunks(values: list[list[float]], limit: int) -> list[tuple[int, int]]:
-    chunks, start, held = [], 0, 0
-    for i, leaves in enumerate(values):
-        if held and held + len(leaves) > limit:
-            chunks.append((start, i))
-            start, held = i, 0
-        held += len(leaves)
-    return [*chunks, (start, len(values))]
-
-
-def _literal_table(spark: SparkSession, rows: list[list[float]]) -> Column:
-    return spark.createDataFrame([(rows,)], "v array<array<double>>").select("v").scalar()
-
-
 def predict_with_std(
     model: PipelineModel,
     df: DataFrame,
@@ -61,24 +42,25 @@ def predict_with_std(
 ) -> DataFrame:
     """Forest prediction and the population std over its trees.
 
-    The forest reports the leaf a row falls into; leaf values, which are part of the
-    model every executor holds anyway, are looked up in array literals.
+    The forest reports the leaf a row falls into; leaf values, which are part of the model every
+    executor holds anyway, are taken from its node table and looked up in arrays of a bounded size.
     """
     *before, forest = model.stages
     ready = PipelineModel(before).transform(df)
     leaf_column = forest.copy().setLeafCol("__leaf")
-    values = _leaf_values(forest)
+    known = leaf_table(node_table(df.sparkSession, forest))
+    trees = forest.getNumTrees
     placed = leaf_column.transform(ready).withColumn("__leaf", vector_to_array("__leaf"))
     pieces = []
-    for j, (start, end) in enumerate(_tree_chunks(values, leaves_per_literal)):
+    for j, (start, end) in enumerate(tree_chunks(known, leaves_per_literal)):
         table = f"__values_{j}"
-        placed = placed.withColumn(table, _literal_table(df.sparkSession, values[start:end]))
+        placed = placed.withColumn(table, leaf_values(known, start, end))
         leaves = F.slice("__leaf", start + 1, end - start)
         pieces.append(
             F.zip_with(leaves, F.col(table), lambda leaf, of_tree: F.get(of_tree, leaf.cast("int")))
         )
     scored = placed.withColumn("__trees", F.concat(*pieces) if len(pieces) > 1 else pieces[0])
-    n = F.lit(float(len(values)))
+    n = F.lit(float(trees))
     zero = F.lit(0.0)
     mean = F.aggregate("__trees", zero, lambda s, x: s + x) / n
     scored = scored.withColumn("__mean", mean)
@@ -90,13 +72,22 @@ def predict_with_std(
     )
 
 
+def subsample_rows(df: DataFrame, keys: Sequence[str], share: float, seed: int) -> DataFrame:
+    """About ``share`` of the rows, decided by the row's key: the same rows however often they are computed."""
+    return df.filter(key_hash(keys, seed) < F.lit(int(share * 2**HASH_BITS)))
+
+
 def fit_ensemble(
     name: str, df: DataFrame, features: Sequence[str], keys: Sequence[str], size: int = 5,
     subsample: float = 0.7, seed: int = 42, **params,
 ) -> list[PipelineModel]:
-    """The same regressor fitted ``size`` times on subsamples with different seeds."""
+    """The same regressor fitted ``size`` times, each on its own subsample of the rows and with its own seed.
+
+    Members differ by the rows that they saw; the seed of a subsample is another one than that of the
+    rows held out while boosting.
+    """
     return [
-        fit(estimator(name, features, subsample=subsample, seed=seed + i, **params), df, keys, seed)
+        fit(estimator(name, features, seed=seed + i, **params), subsample_rows(df, keys, subsample, seed + 1 + i), keys, seed)
         for i in range(size)
     ]
 

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.models import importance, scoring, validation
+from strandframe.models import importance, records, scoring, trees, validation
 from strandframe.models.estimators import VALIDATION_FLAG, estimator, fit, load_model, save_model, validation_flag
 from strandframe.operators import reports
 
@@ -40,6 +40,60 @@ def test_tree_std_is_over_the_trees(rows, forest):
     assert found == pytest.approx(list(np.std(per_tree, axis=0)))
 
 
+def test_forest_of_200_deep_trees(rows):
+    """Leaf values come from the node table: means and spreads equal those of the single trees."""
+    model = fit(estimator("random_forest", FEATURES, n_estimators=200, max_depth=12), rows)
+    regressor = model.stages[-1]
+    nodes = trees.node_table(rows.sparkSession, regressor)
+    assert nodes.count() == regressor.totalNumNodes
+    leaves = trees.leaf_table(nodes)
+    assert [r.n for r in leaves.groupBy("tree").agg(F.max("leaf").alias("n")).orderBy("tree").collect()] == [(t.numNodes + 1) // 2 - 1 for t in regressor.trees]
+    chunks = trees.tree_chunks(leaves, 5000)
+    assert len(chunks) > 3 and chunks[0][0] == 0 and chunks[-1][1] == 200 and all(a[1] == b[0] for a, b in zip(chunks, chunks[1:]))
+    sample = rows.filter("id < 12")
+    scored = scoring.predict_with_std(model, scoring.predict(model, sample, "plain"), "p", "s", leaves_per_literal=5000).orderBy("id").collect()
+    assert [r.p for r in scored] == pytest.approx([r.plain for r in scored], abs=1e-12)
+    vectors = [r.features for r in model.stages[0].transform(sample).orderBy("id").collect()]
+    per_tree = [[t.predict(v) for v in vectors] for t in regressor.trees[:200]]
+    assert [r.s for r in scored] == pytest.approx(list(np.std(per_tree, axis=0)))
+
+
+def test_equal_trees_have_no_spread(rows):
+    model = fit(estimator("random_forest", FEATURES, n_estimators=5, max_depth=6, bootstrap=False, max_features="all"), rows)
+    assert scoring.predict_with_std(model, rows).agg(F.max("uncertainty")).first()[0] < 1e-12
+
+
+def test_split_size_is_refused(rows):
+    with pytest.raises(ValueError, match="min_samples_split 5"):
+        estimator("random_forest", FEATURES, min_samples_split=5)
+    assert estimator("random_forest", FEATURES, min_samples_split=2) is not None
+
+
+def test_rotations_are_permutations(spark, rows, forest):
+    assert importance.rotations(1, 3, 42) == [0, 0, 0] and importance.rotations(2, 3, 42) == [1, 1, 1]
+    assert all(1 <= s < 600 for s in importance.rotations(600, 50, 1))
+    plan = importance.permutation_importance(forest, rows, ["id"], 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") <= 2  # the numbering, once on each side of the join
+    one = importance.permutation_importance(forest, rows.filter("id = 1"), ["id"], 2)
+    assert {r.importance for r in one.collect()} == {None}  # one row has no R2
+
+
+def test_records_of_a_fit(spark, rows, forest, tmp_path):
+    assert records.write_records(forest, rows, str(tmp_path / "f")) == ["importances"]
+    assert records.read_record(spark, str(tmp_path / "f"), "importances").agg(F.sum("importance")).first()[0] == pytest.approx(1)
+    model = fit(estimator("boosted", FEATURES, epochs=3, max_depth=2, tolerance=0.0), rows, ["id"])
+    flagged = rows.withColumn(VALIDATION_FLAG, validation_flag(["id"]))
+    assert records.write_records(model, flagged, str(tmp_path / "b")) == ["importances", "history"]
+    assert reports.training_curve(records.read_record(spark, str(tmp_path / "b"), "history")).count() == 3
+    assert records.write_records(fit(estimator("linear", FEATURES), rows), rows, str(tmp_path / "l")) == []
+
+
+def test_members_see_their_own_rows(rows):
+    parts = [{r.id for r in scoring.subsample_rows(rows, ["id"], 0.7, seed).select("id").collect()} for seed in (43, 44)]
+    assert all(0.6 * 600 < len(p) < 0.8 * 600 for p in parts) and parts[0] != parts[1]
+    assert parts[0] == {r.id for r in scoring.subsample_rows(rows.repartition(7), ["id"], 0.7, 43).select("id").collect()}
+
+
 def test_save_and_load(rows, forest, tmp_path):
     loaded = load_model(save_model(forest, str(tmp_path / "m")))
     both = scoring.predict(loaded, scoring.predict(forest, rows, "x"), "y")
