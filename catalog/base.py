@@ -81,6 +81,14 @@ def ra(expression: str, name: str, digits: int = 4) -> str:
     return f'{r(expression, digits)} AS "{name}"'
 
 
+def p_value_sql(r: str, n: str) -> str:
+    """Two-sided p-value of a correlation: the finite series of the t distribution with n - 2 degrees of freedom."""
+    even = f"1 - abs({r}) * list_sum([exp(lgamma(k + 0.5) - lgamma(0.5) - lgamma(k + 1)) * (1 - {r} * {r}) ** k FOR k IN range(0, ({n} - 2) // 2)])"
+    odd = (f"1 - 2 / pi() * (asin(abs({r})) + abs({r}) * coalesce(list_sum([exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) "
+           f"* (1 - {r} * {r}) ** (k + 0.5) FOR k IN range(0, ({n} - 3) // 2)]), 0))")
+    return f"CASE WHEN {r} IS NULL THEN NULL WHEN {n} = 2 THEN 1.0 ELSE greatest(0.0, CASE WHEN {n} % 2 = 0 THEN {even} ELSE {odd} END) END"
+
+
 # ---- positions ---------------------------------------------------------------
 
 RESNAME_SQL = (

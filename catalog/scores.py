@@ -13,7 +13,7 @@ from strandframe.sources.readers import union_tables
 
 from .base import (
     CELL_KEYS, CELLS, HALF, MODELS, POSITIONS, RESULTS, ROW_KEYS, WIDE, YEARS,
-    cells, fix, positions, query, r, ra, results, table, wide, with_,
+    cells, fix, p_value_sql, positions, query, r, ra, results, table, wide, with_,
 )
 
 PREDICTIONS = {m: f"{m}_predicted" for m in MODELS}
@@ -181,12 +181,23 @@ def _(spark, folder):
     return metrics.rank_correlation(rows, "l_quantity", "constant", ["l_returnflag"])
 
 
-@query("a5_a6_p_values")
+_BY_GROUP = ("SELECT domain_id, '{0}' AS model, count(*) AS n, corr(actual, {0}_predicted) AS r, corr(ry, rp) AS s FROM ("
+             "SELECT *, rank() OVER (PARTITION BY domain_id ORDER BY actual) + (count(*) OVER (PARTITION BY domain_id, actual) - 1) / 2.0::DOUBLE AS ry, "
+             "rank() OVER (PARTITION BY domain_id ORDER BY {0}_predicted) + (count(*) OVER (PARTITION BY domain_id, {0}_predicted) - 1) / 2.0::DOUBLE AS rp "
+             "FROM results) GROUP BY domain_id")
+
+
+@query(
+    "a5_a6_p_values",
+    with_(RESULTS + ", grouped AS (" + " UNION ALL ".join(_BY_GROUP.format(m) for m in MODELS) + ")",
+          f"SELECT domain_id, model, n, {ra('r', 'pearson_correlation', 6)}, {ra(p_value_sql('r', 'n'), 'pearson_p_value', 6)}, "
+          f"{ra('s', 'spearman_correlation', 6)}, {ra(p_value_sql('s', 'n'), 'spearman_p_value', 6)} FROM grouped"),
+)
 def _(spark, folder):
-    """Two-sided p-values; they need an incomplete beta function, so there is no SQL."""
-    return metrics.regression_metrics(
-        results(spark, folder).persist(), "actual", PREDICTIONS, by=["domain_id"],
-        metrics=("pearson_correlation", "pearson_p_value", "spearman_correlation", "spearman_p_value"))
+    """Two-sided p-values per group."""
+    return fix(metrics.regression_metrics(
+        results(spark, folder).select("domain_id", "actual", *PREDICTIONS.values()).persist(), "actual", PREDICTIONS, by=["domain_id"],
+        metrics=("pearson_correlation", "pearson_p_value", "spearman_correlation", "spearman_p_value")), 6)
 
 
 _REPORT_PARTS = ["resname", "secondary_structure_encoded", "core_exterior_encoded"]
