@@ -3,7 +3,7 @@
 A message holds a role and an ordered list of parts (type, text, ref, tokens). The visitor flattens
 the parts: text is escaped, an attachment becomes a placeholder ``<|image:3|>`` whose number is its
 place among the attachments of the conversation, and its reference, kind, place and expanded token
-count go to ``attachments``.
+count go to ``attachments``. A type is written percent-encoded there, so none can hold a control string.
 
 A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside texts and roles every ``<``, backslashes,
 ``|`` gets one backslash more, so no control string survives, and reading removes one again. Line
@@ -62,7 +62,7 @@ def flatten_parts(parts: Column, before: Column) -> Column:
     def visit(state: Column, part: Column) -> Column:
         is_text = F.coalesce(part["type"], F.lit("text")) == "text"
         number = state["n"] + before
-        mark = F.concat(F.lit("<|"), part["type"], F.lit(":"), number.cast("string"), F.lit("|>"))
+        mark = F.concat(F.lit("<|"), F.url_encode(part["type"]), F.lit(":"), number.cast("string"), F.lit("|>"))
         return F.struct(
             F.concat(state["out"], F.array(F.when(is_text, escape(F.coalesce(part["text"], F.lit("")))).otherwise(mark))).alias("out"),
             (state["n"] + F.when(is_text, 0).otherwise(1)).alias("n"),
