@@ -30,7 +30,8 @@ from strandframe.llm.common import table, written
 BLOCK, ALLOW = "block", "allow"
 RULES = [("net", "/", BLOCK), ("example.net", "/en/", ALLOW), ("example.com", "/de/", BLOCK), ("org", "/fr/", ALLOW)]
 MAX_CHILDREN, THRESHOLD, SMOOTHING, MAX_Z = 32, 0.5, 8.0, 1.96
-WILD = "*"
+WILD, UNKNOWN = "*", "?"
+SALTS = 16  # tasks that the paths of one node are dealt to
 # Shapes of generated segments, each with the wildcard that stands for it; a file ending is kept.
 SHAPES = [(r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$", "{number}"), (r"^[0-9A-Fa-f-]{12,}(\.[A-Za-z0-9]{1,5})?$", "{hex}"), (r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_-]{16,}(\.[A-Za-z0-9]{1,5})?$", "{id}")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,20 +68,25 @@ def segment_template(segment: Column) -> Column:
 
 
 def wild_children(children: DataFrame, max_children: int, max_z: float) -> DataFrame:
-    """(host, template, child) of those of ``children``, with their counts, that become a wildcard.
+    """(host, template, child, wild) of those of ``children``, with their counts, that become a wildcard, and which.
 
-    These are, below a node of more than ``max_children``, the children of its branch of most children and
+    Below a node of more than ``max_children`` these are the children of its branch of most children and
     those without labels. Children of other branches, whose labelled counts differ, keep their names.
     """
     wide = children.groupBy("host", "template").agg(F.count("*").alias("children")).filter(F.col("children") > max_children).drop("children")
     named = children.join(wide, ["host", "template"], "left_semi").filter("child NOT LIKE '{%'")
     found = branches(named.withColumnRenamed("template", "parent"), max_z).withColumnRenamed("parent", "template")
     main = found.groupBy("host", "template").agg(F.max_by("branch", F.struct("branch_siblings", "branch_labelled", -F.col("branch"))).alias("branch"))
-    main = found.join(main, ["host", "template", "branch"]).select("host", "template", "labelled", "bad", F.lit(True).alias("wild"))
-    return named.filter("labelled = 0").select("host", "template", "child", F.lit(True).alias("wild")).union(
+    main = found.join(main, ["host", "template", "branch"]).select("host", "template", "labelled", "bad", F.lit(WILD).alias("wild"))
+    return named.filter("labelled = 0").select("host", "template", "child", F.lit(UNKNOWN).alias("wild")).union(
         named.filter("labelled > 0").join(main, ["host", "template", "labelled", "bad"]).select("host", "template", "child", "wild"))
 
 
+def salted(nodes: DataFrame) -> DataFrame:
+    """A row per node and salt; paths have one of the salts."""
+    return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def template_tree(urls: DataFrame, max_children: int = MAX_CHILDREN, max_z: float = MAX_Z) -> DataFrame:
     """(host, path) counts with ``n``, ``labelled``, ``bad`` to the same with the path's ``template``.
 
@@ -88,26 +94,27 @@ def template_tree(urls: DataFrame, max_children: int = MAX_CHILDREN, max_z: floa
     paths end at once. Other nodes first go to the end of what all their paths share, then one level down.
     """
     parts = F.transform(F.split(F.regexp_replace("path", "^/", ""), "/", -1), segment_template)
-    current = written(urls.withColumn("template", F.lit("")).withColumn("rest", parts), "url-level")
+    current = urls.withColumn("template", F.lit("")).withColumn("rest", parts).withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    current = written(current, "url-level")
     keys, ended = ["host", "template"], []
     while not current.isEmpty():
         nodes = current.groupBy(*keys).agg(F.count("*").alias("paths"), F.min("rest").alias("low"), F.max("rest").alias("high"))
         # What the least and the greatest path share, all between them share.
         differ = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), False).cast("int")
         nodes = nodes.select(*keys, F.when((F.col("paths") > max_children) & (differ > 0), differ - 1).alias("shared"))
-        current = current.join(nodes, keys).withColumn("shared", F.coalesce("shared", F.size("rest")))
+        current = current.join(salted(nodes), [*keys, "salt"]).withColumn("shared", F.coalesce("shared", F.size("rest")))
         current = current.withColumn("template", _extended(F.slice("rest", F.lit(1), F.col("shared"))))
         current = written(current.withColumn("rest", F.slice("rest", F.col("shared") + 1, F.greatest(F.size("rest"), F.lit(1)))).drop("shared"), "url-shared")
         ended.append(current.filter(F.size("rest") == 0).drop("rest"))
         current = current.filter(F.size("rest") > 0).withColumn("child", F.get("rest", F.lit(0)))
         children = current.groupBy(*keys, "child").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-        current = current.join(wild_children(children, max_children, max_z), [*keys, "child"], "left").withColumn(
-            "template", F.concat("template", F.lit("/"), F.when(F.col("wild"), WILD).otherwise(F.col("child"))))
+        wild = salted(wild_children(children, max_children, max_z))
+        current = current.join(wild, [*keys, "child", "salt"], "left").withColumn("template", F.concat("template", F.lit("/"), F.coalesce("wild", "child")))
         current = current.withColumn("rest", F.slice("rest", F.lit(2), F.size("rest"))).drop("wild", "child")
         current = written(current, "url-level")  # each level reads the one before twice
         ended.append(current.filter(F.size("rest") == 0).drop("rest"))
         current = current.filter(F.size("rest") > 0)
-    return reduce(DataFrame.union, ended) if ended else current.drop("rest")
+    return (reduce(DataFrame.union, ended) if ended else current.drop("rest")).drop("salt")
 
 
 def _extended(segments: Column) -> Column:
@@ -188,7 +195,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
         verdicts.withColumnRenamed("verdict", "method"), ["host", "template"])
     judged = rows.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).join(by_path, ["host", "path"])
     return judged.select(
-        "page_id", "host", "path", F.col("found.rule").alias("rule"), "template", "purity",
+        "page_id", "host", "path", F.col("found.rule").alias("rule"), F.translate("template", UNKNOWN, WILD).alias("template"), "purity",
         F.coalesce("found.verdict", "method").alias("verdict"))
 
 
