@@ -148,10 +148,13 @@ def fit_chain(places: np.ndarray, rows: np.ndarray, targets: np.ndarray, fold: n
 
 
 def train_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, sample: int = SAMPLE, folds: int = FOLDS) -> list[Linear]:
-    """``labels``: (doc_id, one boolean per category)."""
+    """Fitted on ``sample`` labelled documents at most; ``labels``: (doc_id, one boolean per category).
+
+    Labels of absent documents are not counted among them. Of rows that repeat an id the least text is used.
+    """
     known = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.max(F.coalesce(c, F.lit(False))).alias(c) for c in categories])
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(known, "doc_id").select(
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(known, "doc_id").groupBy("doc_id", *categories).agg(F.min("text").alias("text")).select(
         "text", F.pmod(F.xxhash64("doc_id"), F.lit(folds)).cast("int").alias("fold"), F.array(*[F.col(c).cast("double") for c in categories]).alias("targets"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
