@@ -654,6 +654,15 @@ def _(spark, folder):
     return splits.even_folds(positions(spark, folder), 5).select("resid", "fold")
 
 
+@query(
+    "sp3_range_group_folds",
+    f"WITH placed AS (SELECT user_id, row_number() OVER (ORDER BY {_GROUP_HASH}, user_id) AS place, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events)) "
+    "SELECT event_id AS resid, CAST((place * 5 - 1) // n AS INTEGER) AS fold FROM events JOIN placed USING (user_id)",
+)
+def _(spark, folder):
+    return splits.range_folds(positions(spark, folder), 5).select("resid", "fold")
+
+
 @query("sp4_row_folds", f"SELECT {_ROW_SQL}, CAST({_LINE_HASH} % 5 AS INTEGER) AS fold FROM lineitem")
 def _(spark, folder):
     return splits.hash_folds(table(spark, folder, "lineitem"), 5, ROW_KEYS).select(*ROW_KEYS, "fold")

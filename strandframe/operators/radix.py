@@ -160,8 +160,8 @@ class Digits:
         return found
 
 
-def select_ranks(digits: Digits, wanted, limit: int) -> tuple[list[int], list[dict[int, float | int]]]:
-    """Rows per column, and per column the values at the 0-based ranks ``wanted(column, rows)``.
+def select_ranks(digits: Digits, wanted, limit: int) -> tuple[list[int], list[dict[int, tuple]]]:
+    """Rows per column, and per column (value, number of smaller rows) at the 0-based ranks ``wanted(column, rows)``.
 
     Intervals of at most ``limit`` rows are read as values; others are split further.
     """
@@ -176,7 +176,7 @@ def select_ranks(digits: Digits, wanted, limit: int) -> tuple[list[int], list[di
             inside = {m for m in missing if m[0] == q.column and q.below <= m[1] < q.below + q.rows}
             if q.settled:
                 for i, rank in inside:
-                    found[i][rank] = q.edges(digits.kinds[i])[0]
+                    found[i][rank] = (q.edges(digits.kinds[i])[0], q.below)
                 missing -= inside
             elif inside:
                 holding.append(q)
@@ -187,7 +187,7 @@ def select_ranks(digits: Digits, wanted, limit: int) -> tuple[list[int], list[di
                 start = q.below
                 for value, n in values:
                     for m in {m for m in missing if m[0] == q.column and start <= m[1] < start + n}:
-                        found[m[0]][m[1]] = value
+                        found[m[0]][m[1]] = (value, start)
                         missing.discard(m)
                     start += n
             break

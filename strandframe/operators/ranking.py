@@ -140,7 +140,7 @@ def _quantiles(digits: Digits, probabilities: Sequence[float], limit: int) -> li
 
     rows, found = select_ranks(digits, ranks, limit)
     return [
-        [_interpolate(at[math.floor(r)], at[math.ceil(r)], r - math.floor(r)) if n else None for r in ((n - 1) * p for p in probabilities)]
+        [_interpolate(at[math.floor(r)][0], at[math.ceil(r)][0], r - math.floor(r)) if n else None for r in ((n - 1) * p for p in probabilities)]
         for n, at in zip(rows, found, strict=True)
     ]
 

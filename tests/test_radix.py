@@ -46,8 +46,9 @@ def test_ranks_at_every_depth(spark, limit):
     wanted = [0, 1, 350, 351, 600, 601, 1000, 1100, 1152, len(one) - 1]
     rows, found = radix.select_ranks(radix.Digits(frame, ["a", "b"]), lambda i, n: wanted, limit)
     assert rows == [len(one)] * 2
-    assert found[0] == {r: sorted(one.tolist())[r] for r in wanted}
-    assert found[1] == {r: sorted(two.tolist())[r] for r in wanted}
+    for column, values in zip(found, (one, two), strict=True):
+        ordered = sorted(values.tolist())
+        assert column == {r: (ordered[r], int((values < ordered[r]).sum())) for r in wanted}
 
 
 def test_cuts_are_even_where_values_are_close(spark):

@@ -61,3 +61,30 @@ def test_sample(rows):
     assert splits.sample_rows(rows, 100, ["id"]).count() == 100
     assert splits.sample_rows(rows, 5000, ["id"]).count() == 2000
     assert splits.members(rows, rows.filter("id < 3")).select("domain_id").distinct().count() == 3
+
+
+def test_exact_splits_shuffle_no_rows(rows):
+    for split in (splits.split_groups(rows), splits.split_rows(rows, ["id"], exact=True), splits.range_folds(rows, 5)):
+        assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [10_000, 0])
+def test_exact_counts_with_repeated_and_colliding_keys(spark, rows, monkeypatch, limit):
+    monkeypatch.setattr(splits, "CUT_ROWS", limit)
+    few = rows.select((F.col("id") % 7).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 2).alias("z"), "id")
+    split = splits.split_rows(few, ["k", "z"], exact=True)
+    assert sizes(split, "split", "id") == {"test": 400, "validation": 300, "train": 1300} and split.count() == 2000
+    # hashes of one value: the order of the keys alone decides
+    monkeypatch.setattr(splits, "key_hash", lambda keys, seed: F.lit(5).cast("long"))
+    split = splits.split_groups(rows)
+    assert sizes(split, "split") == {"test": 8, "validation": 6, "train": 23}
+    first = sorted(r.domain_id for r in split.filter("split = 'test'").select("domain_id").distinct().collect())
+    assert first == sorted(f"g{i}" for i in range(37))[:8]
+
+
+def test_range_folds(spark, rows):
+    assert sorted(sizes(splits.range_folds(rows, 5), "fold").values()) == [7, 7, 7, 8, 8]
+    two = rows.withColumn("domain_id", F.when(F.col("id") % 2 > 0, "x"))
+    folds = splits.range_folds(two, 5)
+    assert folds.count() == 2000 and folds.groupBy("domain_id").agg(F.countDistinct("fold").alias("n")).filter("n > 1").isEmpty()
+    assert splits.range_folds(rows.limit(0), 5).count() == 0
