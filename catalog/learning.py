@@ -394,7 +394,20 @@ _FOLD_R2 = "1 - sum((y - p) * (y - p)) / (var_pop(y) * count(y))"
 def _(spark, folder):
     rows = labelled(spark, folder)
     q2 = validation.q_squared(rows, ["l_quantity"], ROW_KEYS)
-    return fix(rows.select(F.lit(q2).alias("q2")).distinct(), 6)
+    return fix(spark.createDataFrame([(q2,)], "q2 double"), 6)
+
+
+@query(
+    "a11_q2_in_metrics",
+    with_(_PARTS + ", " + _means("scored", "train", "test") + ", rows2 AS (SELECT h % 5 AS fold, y, bulky AS x FROM test)"
+          + _FITTED.replace("FROM rows", "FROM rows2").replace(", fitted", ", slopes").replace("JOIN fitted", "JOIN slopes").replace("scored", "lined")
+          + f", folds AS (SELECT {_FOLD_R2} AS r2 FROM lined GROUP BY fold)",
+          _scores("random_forest", "scored").replace("FROM scored", f", (SELECT {r('avg(r2)', 6)} FROM folds) AS q2 FROM scored")),
+)
+def _(spark, folder):
+    train, test = _split(spark, folder)
+    found, _ = scoring.evaluate_models({"random_forest": _forest(train)}, test, metrics=("rmse", "r2", "q2"), features=["bulky"], keys=ROW_KEYS)
+    return fix(found, 6)
 
 
 _FOLD_METRICS = {

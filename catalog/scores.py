@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandframe.functions.codes import STRUCTURE_LABELS
 from strandframe.operators import conditions as across
 from strandframe.operators import groups, metrics, reports, trends
+from strandframe.sources.kept import Kept
 from strandframe.sources.readers import union_tables
 
 from .base import (
@@ -412,7 +413,7 @@ def _(spark, folder):
                    "CASE WHEN slope < 0 THEN 'negative_trend' ELSE 'high_increase' END AS behavior FROM trends, limits WHERE slope < 0 OR slope > high"),
 )
 def _(spark, folder):
-    return fix(trends.trend_outliers(_trends(spark, folder)))
+    return fix(trends.trend_outliers(Kept()(_trends(spark, folder))))
 
 
 _STATS_SQL = f"{ra('avg(slope)', 'avg_slope')}, {ra('stddev_pop(slope)', 'std_slope')}, {ra('avg(r_squared)', 'avg_r_squared')}, count(*) AS num_residues_analyzed"
@@ -423,7 +424,7 @@ _STATS_SQL = f"{ra('avg(slope)', 'avg_slope')}, {ra('stddev_pop(slope)', 'std_sl
     with_(_TRENDS, f"SELECT domain_id, {_STATS_SQL}, count(*) FILTER (WHERE slope < 0 OR slope > high) AS outliers_count FROM trends, limits GROUP BY 1"),
 )
 def _(spark, folder):
-    return fix(trends.group_trends(_trends(spark, folder)))
+    return fix(trends.group_trends(Kept()(_trends(spark, folder))))
 
 
 @query("a27_category_trends", with_(_TRENDS, f"SELECT resname, {_STATS_SQL} FROM trends GROUP BY 1"))

@@ -94,6 +94,16 @@ def _(spark, folder):
     )
 
 
+@query("s4_part_files", "SELECT o_orderkey, o_custkey, o_totalprice, NULL::BIGINT AS s_suppkey FROM orders UNION ALL SELECT NULL, NULL, NULL, s_suppkey FROM supplier")
+def _(spark, folder):
+    """Two tables written as many part files, merged by the names of the files: two scans."""
+    path = scratch(spark)
+    table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice").repartition(60).write.parquet(f"{path}/orders")
+    table(spark, folder, "supplier").select("s_suppkey").repartition(40).write.parquet(f"{path}/supplier")
+    parts = [f.path for t in ("orders", "supplier") for f in readers.list_files(spark, f"{path}/{t}", "*.parquet").select("path").collect()]
+    return readers.merge_files(spark, parts)
+
+
 @query("s4_left_out", "SELECT 'not_there.parquet' AS name, n AS merged_rows FROM (SELECT count(*) AS n FROM nation)")
 def _(spark, folder):
     """What a merge could not read, beside the rows it did read."""

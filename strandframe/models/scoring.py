@@ -150,12 +150,25 @@ def score_models(models: dict, df: DataFrame, actual: str = "label") -> DataFram
 
 def evaluate_models(
     models: dict, df: DataFrame, actual: str = "label", metrics: Sequence[str] = DEFAULT_METRICS,
-    n_features: int | None = None,
+    n_features: int | None = None, features: Sequence[str] = (), keys: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """(metrics per model, scored rows)."""
+    """(metrics per model, scored rows).
+
+    ``q2`` among the metrics is the cross-validated R2 of a linear regression on ``features`` with folds by
+    ``keys``: a measure of the rows, the same for every model.
+    """
     scored = score_models(models, df, actual)
     names = {m: predicted_column(m) for m in models}
-    return regression_metrics(scored, actual, names, metrics=metrics, n_features=n_features), scored
+    others = [m for m in metrics if m != "q2"]
+    table = regression_metrics(scored, actual, names, metrics=others, n_features=n_features)
+    if "q2" in metrics:
+        from .validation import q_squared
+
+        if not features or not keys:
+            raise ValueError("q2 needs the feature and key columns")
+        q2 = q_squared(df.withColumn("label", F.col(actual)), features, keys)
+        table = table.withColumn("q2", F.lit(q2)).select("model", "n", *metrics)
+    return table, scored
 
 
 def training_history(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -51,22 +51,22 @@ def position_trends(
     return usable.select(group, position, category, "slope", "intercept", "r_squared", p.alias("p_value"))
 
 
-def trend_threshold(trends: DataFrame) -> float | None:
-    """Mean slope plus two population standard deviations."""
-    mean, deviation = trends.agg(F.avg("slope"), F.stddev_pop("slope")).first()
-    return None if mean is None else mean + 2 * deviation
+def trend_threshold(trends: DataFrame) -> Column:
+    """Mean slope plus two population standard deviations, as a one-row part of the plan."""
+    return trends.agg((F.avg("slope") + 2 * F.stddev_pop("slope")).alias("threshold")).scalar()
 
 
-def _outlying(threshold: float | None) -> Column:
-    if threshold is None:
-        return F.lit(False)
-    return (F.col("slope") < 0) | (F.col("slope") > F.lit(threshold))
+def _outlying(threshold: Column) -> Column:
+    return (F.col("slope") < 0) | F.coalesce(F.col("slope") > threshold, F.lit(False))
 
 
 def trend_outliers(
     trends: DataFrame, group: str = GROUP, position: str = POSITION, category: str = CATEGORY
 ) -> DataFrame:
-    """Falling trends and unusually steep ones."""
+    """Falling trends and unusually steep ones.
+
+    ``trends`` are read for the threshold and for the rows: give a written table to fit them once.
+    """
     behavior = F.when(F.col("slope") < 0, "negative_trend").otherwise("high_increase")
     return trends.filter(_outlying(trend_threshold(trends))).select(
         group, position, category, "slope", "r_squared", behavior.alias("behavior")
@@ -83,9 +83,9 @@ def _trend_statistics() -> list[Column]:
 
 
 def group_trends(trends: DataFrame, group: str = GROUP) -> DataFrame:
-    """Trend statistics and outlier count per group, in one aggregate."""
-    outliers = F.count_if(_outlying(trend_threshold(trends))).alias("outliers_count")
-    return trends.groupBy(group).agg(*_trend_statistics(), outliers)
+    """Trend statistics and outlier count per group, in one aggregate; ``trends`` as for ``trend_outliers``."""
+    marked = trends.withColumn("__outlying", _outlying(trend_threshold(trends)))
+    return marked.groupBy(group).agg(*_trend_statistics(), F.count_if("__outlying").alias("outliers_count"))
 
 
 def category_trends(trends: DataFrame, category: str = CATEGORY) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.codes import STRUCTURE_LABELS
 from ..operators import conditions as across
 from ..operators import trends as trend
 from ..sources.checks import duplicate_keys
+from ..sources.kept import Kept
 
 
 def align(long: DataFrame, conditions: Sequence[int | str], models: Sequence[str], **options) -> DataFrame:
@@ -26,20 +27,32 @@ def comparison_tables(
     models: Sequence[str],
     bins: int = 10,
     binned: Sequence[str] = ("relative_accessibility", "normalized_resid"),
+    keep: Kept | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
-    """Named result tables, built when called. ``long`` and ``wide`` should be persisted."""
+    """Named result tables, built when called. ``long`` and ``wide`` should be persisted.
+
+    ``keep`` writes the fitted trends, which three tables read, once; its tables go when it is released.
+    """
     primary = models[0]
+    fitted: list[DataFrame] = []
+
+    def trends() -> DataFrame:
+        if not fitted:
+            found = trend.position_trends(long, conditions)
+            fitted.append(keep(found) if keep else found)
+        return fitted[0]
+
     tables: dict[str, Callable[[], DataFrame]] = {
         "combined_predictions": lambda: wide,
         "actual_correlations": lambda: across.condition_correlations(wide, conditions),
-        f"predicted_{primary}_correlations": lambda: across.condition_correlations(
-            wide, conditions, f"{primary}_pred"
-        ),
+        **{
+            f"predicted_{m}_correlations": lambda m=m: across.condition_correlations(wide, conditions, f"{m}_pred") for m in models
+        },
         "temperature_metrics": lambda: across.condition_metrics(long, models),
-        "domain_trends": lambda: trend.position_trends(long, conditions),
-        "residue_outliers": lambda: trend.trend_outliers(trend.position_trends(long, conditions)),
-        "domain_stats": lambda: trend.group_trends(trend.position_trends(long, conditions)),
-        "aa_responses": lambda: trend.category_trends(trend.position_trends(long, conditions)),
+        "domain_trends": trends,
+        "residue_outliers": lambda: trend.trend_outliers(trends()),
+        "domain_stats": lambda: trend.group_trends(trends()),
+        "aa_responses": lambda: trend.category_trends(trends()),
         "aa_error_summary": lambda: across.grouped_errors(wide, CATEGORY, conditions, models),
         "domain_performance": lambda: across.group_performance_by_condition(wide, conditions, models),
         "histogram_data": lambda: across.pooled_histogram(wide, conditions, primary),

@@ -5,8 +5,12 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +20,8 @@ from ..columns import CONDITION, for_condition, target_for
 from ..functions.numeric import to_number
 
 FORMAT_OF_EXTENSION = {"csv": "csv", "tsv": "tsv", "json": "json", "parquet": "parquet"}
+# Files whose first lines or footers are looked at side by side.
+LOOKING = 16
 # Fixed: the naming rule of the files.
 CONDITION_FILE_PATTERN = r"temperature_(\d+|average)_.*\.csv"
 
@@ -52,9 +58,9 @@ def is_whole_json(spark: SparkSession, path: str) -> bool:
 
 
 def read_file(
-    spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None, whole: bool | None = None
+    spark: SparkSession, path: str | Sequence[str], fmt: str | None = None, schema: T.StructType | None = None, whole: bool | None = None
 ) -> DataFrame:
-    """Read one file, folder of part files or glob in any supported format.
+    """Read one file, folder of part files, glob or list of files of one layout in any supported format.
 
     Give ``schema`` for large text files; without it Spark reads them twice to infer types.
     ``whole`` says whether a JSON file is one value, which cannot be split, or a value per line;
@@ -68,7 +74,7 @@ def read_file(
     elif fmt == "json":
         df = reader.option("multiLine", is_whole_json(spark, path) if whole is None else whole).json(path)
     elif fmt == "parquet":
-        df = reader.parquet(path)
+        df = reader.parquet(*([path] if isinstance(path, str) else path))
     else:
         raise ValueError(f"unsupported file format: {fmt}")
     return nan_to_null(df)
@@ -124,20 +130,84 @@ def failure_table(spark: SparkSession, failed: Sequence[tuple[str, str]]) -> Dat
     return spark.createDataFrame(list(failed), "name string, reason string")
 
 
+def _layout(path: str) -> tuple | None:
+    """What files must have in common to be read by one reader: format, and columns in their order.
+
+    Told by the footer or the first line, which alone are read. None for folders, globs, whole-file JSON,
+    unknown formats and file systems that only Spark opens; those are read on their own.
+    """
+    if any(mark in path for mark in "*?[{"):
+        return None
+    try:
+        store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    except (pa.ArrowException, ValueError, OSError, ImportError):
+        return None
+    kind = store.get_file_info(place).type
+    if kind == fs.FileType.NotFound:
+        raise FileNotFoundError(f"no such file: {path}")
+    fmt = FORMAT_OF_EXTENSION.get(place.rsplit(".", 1)[-1].lower())
+    if kind != fs.FileType.File or fmt is None:
+        return None
+    if fmt == "parquet":
+        with store.open_input_file(place) as stream:
+            schema = pq.read_schema(stream)
+        return fmt, tuple((f.name, str(f.type)) for f in schema)
+    with store.open_input_stream(place) as stream:
+        head = b""
+        while b"\n" not in head and (more := stream.read(1 << 16)):
+            head += more
+    line = head.split(b"\n", 1)[0].decode("utf-8", "replace").strip()
+    if fmt == "json":
+        try:
+            lines = isinstance(json.loads(line or "{}"), dict)
+        except ValueError:
+            lines = False
+        return (fmt, ()) if lines else None
+    return fmt, tuple(line.split("\t" if fmt == "tsv" else ","))
+
+
 def merge_files(
     spark: SparkSession,
     paths: Iterable[str],
     schema: T.StructType | None = None,
     failed: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
-    """Files stacked by column name. Those that cannot be opened are noted in ``failed``."""
-    opened = {path: _opened(lambda p=path: read_file(spark, p, schema=schema), path, failed) for path in paths}
-    usable = [frame for frame in opened.values() if frame is not None]
+    """Files stacked by column name. Those that cannot be opened are noted in ``failed``.
+
+    Files of one format and layout are one scan, whatever their number.
+    """
+    paths, layouts = list(paths), {}
+
+    def look(path: str):
+        try:
+            return _layout(path)
+        except (pa.ArrowException, OSError, ValueError) as problem:
+            return problem
+
+    with ThreadPoolExecutor(LOOKING) as pool:
+        for path, found in zip(paths, pool.map(look, paths), strict=True):
+            if isinstance(found, Exception):
+                _opened(lambda p=found: _raise(p), path, failed)
+            else:
+                layouts.setdefault((path,) if found is None else found, []).append(path)
+    usable = []
+    for alike in layouts.values():
+        fmt = None if len(alike) == 1 else FORMAT_OF_EXTENSION[alike[0].rsplit(".", 1)[-1].lower()]
+        frame = _opened(lambda p=alike, f=fmt: read_file(spark, p[0] if len(p) == 1 else p, f, schema, False if f else None), ", ".join(alike[:3]), failed if len(alike) == 1 else [])
+        if frame is not None:
+            usable.append(frame)
+        elif len(alike) > 1:  # one of them spoils the rest: find out which
+            single = [_opened(lambda p=p: read_file(spark, p, schema=schema), p, failed) for p in alike]
+            usable += [f for f in single if f is not None]
     if not usable:
-        raise ValueError(f"none of {len(opened)} paths gave a table")
+        raise ValueError(f"none of {len(paths)} paths gave a table")
     return union_tables(usable)
 
 
+def _raise(problem: Exception):
+    raise FileNotFoundError(str(problem)) if isinstance(problem, OSError) else ValueError(str(problem))
+
+
 def read_condition(
     spark: SparkSession,
     folder: str,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strandframe.columns import input_schema
 from strandframe.sources import checks, profile, readers, sinks
+from strandframe.sources.kept import Kept
 
 
 @pytest.fixture()
@@ -85,3 +86,59 @@ def test_results_prune_partitions(spark, tmp_path):
     one = sinks.read_results(spark, path, [320])
     assert one.collect()[0]["v"] == 1
     assert sinks.read_results(spark, path).count() == 3
+
+
+def test_a_thousand_files_are_a_few_scans(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    paths = []
+    for i in range(1000):
+        if i % 4 == 0:
+            (tmp_path / f"{i}.csv").write_text(f"a,b\n{i},x\n" if i % 8 else f"b,a\nx,{i}\n")
+            paths.append(f"{tmp_path}/{i}.csv")
+        elif i % 4 == 1:
+            (tmp_path / f"{i}.json").write_text(json.dumps({"a": i, "c": [1]}) + "\n" + json.dumps({"a": -i}))
+            paths.append(f"file:{tmp_path}/{i}.json")
+        else:
+            pq.write_table(pa.table({"a": pa.array([i], "int32" if i % 4 == 2 else "int64"), "d": [0.5]}), tmp_path / f"{i}.parquet")
+            paths.append(f"file://{tmp_path}/{i}.parquet")
+    (tmp_path / "spoilt.parquet").write_bytes(b"PAR1 not a file")
+    paths += [f"{tmp_path}/spoilt.parquet", f"{tmp_path}/gone.csv"]
+    failed = []
+    with pytest.warns(UserWarning, match="spoilt"):
+        merged = readers.merge_files(spark, paths, failed=failed)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 5  # two orders of csv columns, json lines, two types of parquet
+    assert sorted(p.rsplit("/", 1)[-1] for p, _ in failed) == ["gone.csv", "spoilt.parquet"]
+    assert set(merged.columns) == {"a", "b", "c", "d"} and merged.schema["a"].dataType.simpleString() == "bigint"
+    rows = merged.select("a", "b", "d").collect()
+    assert len(rows) == 1250 and sorted(r.a for r in rows if r.a >= 0) == list(range(1000))
+    assert {r.b for r in rows if r.a % 4 == 0 and r.a >= 0} == {"x"}
+
+
+def test_a_spoilt_file_leaves_the_others(spark, tmp_path):
+    for name, text in (("a", '{"v": 1}\n'), ("b", '{"v": 2}\n')):
+        (tmp_path / f"{name}.json").write_text(text)
+    (tmp_path / "whole.json").write_text(json.dumps([{"v": 3}, {"v": 4}], indent=1))
+    (tmp_path / "empty.csv").write_text("")
+    merged = readers.merge_files(spark, [f"{tmp_path}/{n}" for n in ("a.json", "whole.json", "b.json", "a.json")])
+    assert sorted(r.v for r in merged.collect()) == [1, 1, 2, 3, 4]
+
+
+def test_kept_tables_are_computed_once_and_go(spark):
+    import os
+
+    counted = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def touch(x):
+        counted.add(1)
+        return x
+
+    with Kept() as keep:
+        table = keep(spark.range(5).select(touch("id").alias("v")))
+        assert table.count() == 5 and table.agg(F.sum("v")).first()[0] == 10 and counted.value == 5
+        places = [path.removeprefix("file://") for _, path in keep.places]
+        assert all(os.path.isdir(p) for p in places)
+    assert not any(os.path.exists(p) for p in places)
