@@ -91,7 +91,7 @@ def q_squared(df: DataFrame, features: Sequence[str], keys: Sequence[str], folds
         numFolds=folds,
         foldCol="fold",
     )
-    return search.fit(placed).avgMetrics[0]
+    return float(search.fit(placed).avgMetrics[0])
 
 
 def _value(name: str, value):
