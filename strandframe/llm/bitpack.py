@@ -9,8 +9,8 @@ A file holds the documents of one key range in order. Layout, little-endian:
 With the footer and the block offsets, any id is found by one ranged read and unpacked by numpy.
 
 Files are written by the tasks under a name of their attempt, then moved to the final name, so a
-repeated task replaces its file by an equal one. Rows are ordered by (id, text); null ids come first,
-null texts are empty, repeated rows are written once each, an empty table gives no file.
+repeated task replaces its file by an equal one. Rows are ordered by (id, hash of the text,
+text); null ids come first, null texts are empty, repeated rows are written once each, an empty table gives no file.
 """
 
 from __future__ import annotations
@@ -123,13 +123,13 @@ def write_ids(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = EN
     """Writes the files below ``path`` and returns their list, a written table."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, codes = TaskContext.get().partitionId(), encoder(vocabulary_path)
+        number = TaskContext.get().partitionId()
         end = np.asarray([end_id], "<u4").tobytes()
         store, folder = fs.FileSystem.from_uri(qualified(path))
         store.create_dir(folder, recursive=True)
         attempt, name = f"{folder}/.{uuid.uuid4().hex}", f"part-{number:06d}.ids"
         writer = None
-        with store.open_output_stream(attempt) as stream:
+        with store.open_output_stream(attempt) as stream, encoder(vocabulary_path) as codes:
             for batch in batches:
                 for key, ids in zip(batch.column(0).to_pylist(), encoded(batch.column(1).to_pylist(), codes), strict=True):
                     writer = writer or BlockWriter(stream, bits_for(codes.size))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,25 +18,53 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-_paths: list[str] = []
+_collecting: ContextVar[list[str] | None] = ContextVar("collecting", default=None)
 
 
-def scratch(spark: SparkSession, name: str, lasting: bool = False) -> str:
-    """A new path in the folder that every executor reaches; a lasting one is not among what release() removes."""
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of all intermediate tables made inside, for ``release()`` once the results that read them are written."""
+    paths: list[str] = []
+    token = _collecting.set(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.reset(token)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that every executor reaches; it stays until it is released."""
     path = f"{shared_folder(spark)}/llm-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    if not lasting:
-        _paths.append(path)
+    paths = _collecting.get()
+    if paths is not None:
+        paths.append(path)
     return path
 
 
-def release() -> None:
-    """Removes every intermediate table made so far; results that still read them must be written before."""
-    while _paths:
-        store, folder = fs.FileSystem.from_uri(qualified(_paths.pop()))
+def release(paths: list[str]) -> None:
+    """Removes the given tables; a result that still reads one of them can no longer be computed."""
+    while paths:
+        store, folder = fs.FileSystem.from_uri(qualified(paths.pop()))
         if store.get_file_info(folder).type == fs.FileType.Directory:
             store.delete_dir(folder)
 
 
+def unused(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no column of that name is there, in any case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def unused_prefix(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no column begins with it, in any case."""
+    taken = [n.lower() for n in names]
+    while any(n.startswith(wanted.lower()) for n in taken):
+        wanted = f"_{wanted}"
+    return wanted
+
+
 def qualified(path: str) -> str:
     """Spark writes ``file:/x`` where others write ``file:///x``; a bare path is a local one."""
     if path.startswith("/"):
@@ -41,10 +72,10 @@ def qualified(path: str) -> str:
     return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path
 
 
-def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back; cuts lineage, survives executors."""
     spark = df.sparkSession
-    path = scratch(spark, name, lasting)
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandframe.llm.common import components, table, text_or_empty, written
 from strandframe.llm.recompress import word_bounds, word_symbols
-from strandframe.llm.shards import BATCH_BYTES, PrefixHash, Shards, in_batches, joined, mark_columns, mix, read_shard, with_marks, without_rows
+from strandframe.llm.shards import BATCH_BYTES, Marks, PrefixHash, Shards, in_batches, joined, mix, read_shard, without_rows
 
 SHINGLE, SIMILARITY, BANDS, ROWS, BLOCK = 5, 0.8, 32, 5, 2000
 # Cumulated Poisson(1) probabilities: the number of darts in a cell.
@@ -153,9 +153,9 @@ def copies_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["component", "i", "j", "own", "uid", "shingles", "weights"])
 
 
-def verifying_tasks(files: DataFrame, block: int, least: int) -> int:
+def verifying_tasks(marks: DataFrame, block: int, least: int) -> int:
     """Tasks of about one pair of blocks each; a text is sent once to every block of its component."""
-    copies = files.agg(F.sum(F.aggregate("marks", F.lit(0).cast("bigint"), lambda total, mark: total + mark["blocks"]))).first()[0] or 0
+    copies = marks.agg(F.sum("blocks")).first()[0] or 0
     return max(least, -(-copies // (2 * block)))
 
 
@@ -210,7 +210,7 @@ def group_rows(shards: Shards, least: float = SIMILARITY, bands: int = BANDS, ro
                 ["uid", "doc_id", "n", "a", "b", "bands"])
 
     id_type = shards.schema["doc_id"].dataType.simpleString()
-    signed = written(shards.rows().select("__shard", "__row", "doc_id", "text").mapInArrow(sign, f"uid bigint, doc_id {id_type}, n bigint, a bigint, b bigint, bands array<bigint>"), "dart-signed")
+    signed = written(shards.rows("doc_id", "text").mapInArrow(sign, f"uid bigint, doc_id {id_type}, n bigint, a bigint, b bigint, bands array<bigint>"), "dart-signed")
     here = F.struct("doc_id", "uid")
     classes = signed.filter("n > 0").groupBy("a", "b", "n").agg(F.min(here).alias("first"), F.min(F.struct("doc_id", "uid", "bands"))["bands"].alias("bands"))
     classes = written(classes, "dart-classes")
@@ -220,33 +220,33 @@ def group_rows(shards: Shards, least: float = SIMILARITY, bands: int = BANDS, ro
     sizes = candidates.groupBy("component").agg(F.count("*").alias("texts"))
     marks = candidates.join(sizes, "component").select(
         F.shiftright("id", 32).cast("int").alias("shard"), F.col("id").bitwiseAND(0xFFFFFFFF).cast("int").alias("row"), "component", F.ceil(F.col("texts") / F.lit(block)).cast("int").alias("blocks"))
-    files = written(with_marks(shards, marks, ["row", "component", "blocks"]).filter("marks IS NOT NULL"), "dart-marks")
+    marks = written(marks, "dart-marks")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, uri in enumerate(batch.column("file").to_pylist()):
-                row, component, blocks = (m[np.argsort(mark_columns(batch.column("marks"), at)[0], kind="stable")] for m in mark_columns(batch.column("marks"), at))
-                shard = batch.column("shard")[at].as_py()
-                for first, rows_here in read_shard(uri, ["text"]):
-                    a, b = np.searchsorted(row, [first, first + rows_here.num_rows])
-                    if a == b:
-                        continue
-                    texts = [t.encode("utf8", "surrogatepass") for t in rows_here.column(0).take(pa.array(row[a:b] - first)).to_pylist()]
-                    shingle, weight, text = shingle_sets(texts, size, weights)
-                    cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-                    out, held = [], 0
-                    for k in range(b - a):
-                        uid = (shard << 32) | int(row[a + k])
-                        parts, own = int(blocks[a + k]), int(mix(np.asarray([uid], "u8"))[0] % np.uint64(blocks[a + k]))
-                        mine = shingle[cuts[k] : cuts[k + 1]].tobytes(), weight[cuts[k] : cuts[k + 1]].astype("f4").tobytes()
-                        for other in range(parts):
-                            out.append((int(component[a + k]), min(own, other), max(own, other), own, uid, *mine))
-                            held += len(mine[0]) + len(mine[1])
-                            if held > BATCH_BYTES:
-                                yield copies_batch(out)
-                                out, held = [], 0
-                    if out:
-                        yield copies_batch(out)
+        stream = Marks(batches, ["component", "blocks"])
+        for shard, uri in stream.shards():
+            if not stream.any():
+                continue
+            for first, rows_here in read_shard(uri, ["text"]):
+                row, component, blocks = stream.upto(first + rows_here.num_rows)
+                if not len(row):
+                    continue
+                texts = [t.encode("utf8", "surrogatepass") for t in rows_here.column(0).take(pa.array(row - first)).to_pylist()]
+                shingle, weight, text = shingle_sets(texts, size, weights)
+                cuts = np.searchsorted(text, np.arange(len(texts) + 1))
+                out, held = [], 0
+                for k in range(len(row)):
+                    uid = (shard << 32) | int(row[k])
+                    parts, own = int(blocks[k]), int(mix(np.asarray([uid], "u8"))[0] % np.uint64(blocks[k]))
+                    mine = shingle[cuts[k] : cuts[k + 1]].tobytes(), weight[cuts[k] : cuts[k + 1]].astype("f4").tobytes()
+                    for other in range(parts):
+                        out.append((int(component[k]), min(own, other), max(own, other), own, uid, *mine))
+                        held += len(mine[0]) + len(mine[1])
+                        if held > BATCH_BYTES:
+                            yield copies_batch(out)
+                            out, held = [], 0
+                if out:
+                    yield copies_batch(out)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chosen in block_pairs(batches):
@@ -262,8 +262,8 @@ def group_rows(shards: Shards, least: float = SIMILARITY, bands: int = BANDS, ro
                 x, y = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(uid[x]), pa.array(uid[y])], ["a", "b"])
 
-    tasks = verifying_tasks(files, block, int(shards.spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = shards.dealt(files).mapInArrow(sets, "component bigint, i int, j int, own int, uid bigint, shingles binary, weights binary")
+    tasks = verifying_tasks(marks, block, int(shards.spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = shards.beside(marks, ["component", "blocks"]).mapInArrow(sets, "component bigint, i int, j int, own int, uid bigint, shingles binary, weights binary")
     links = written(pairs.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j", "uid").mapInArrow(verify, "a bigint, b bigint"), "dart-links")
     linked = components(links)
     # The class of every row, the component of every class, and the smallest row of every component.

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandframe.llm.common import table, written
+from strandframe.llm.common import table, unused_prefix, written
 
 WINDOW, COVERAGE_PERCENT, BLOCK_WORDS = 13, 5, 100_000
 # Bytes inside words stay (A-Z in lower case), all others become spaces.
@@ -235,7 +235,7 @@ def contaminated(percent: int = COVERAGE_PERCENT, prefix: str = ""):
 
 def remove_hits(docs: DataFrame, items: DataFrame, percent: int = COVERAGE_PERCENT, max_span: int | None = None, window: int = WINDOW, text_column: str = "text") -> DataFrame:
     """``docs`` with the hit spans cut out of the texts that exceed a limit; other texts are untouched."""
-    columns, prefix = docs.columns, "__hit_"
+    columns, prefix = docs.columns, unused_prefix(docs.columns, "hit_")
     found = find_hits(docs, items, window, text_column, prefix)
 
     @F.pandas_udf("string")
@@ -250,7 +250,7 @@ def remove_hits(docs: DataFrame, items: DataFrame, percent: int = COVERAGE_PERCE
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = COVERAGE_PERCENT, window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that are contaminated; the others unchanged."""
-    prefix = "__hit_"
+    prefix = unused_prefix(docs.columns, "hit_")
     found = find_hits(docs, items, window, prefix=prefix)
     return found.filter(~contaminated(percent, prefix)).select(*[F.col(f"`{c}`") for c in docs.columns])
 

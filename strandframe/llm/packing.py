@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import table, text_or_empty, written
-from strandframe.llm.tokens import encoded, encoder, vocabulary
+from strandframe.llm.tokens import Encoder, encoded, encoder, vocabulary
 
 CAPACITY, GRAIN, END_ID = 4096, 16, 2
 PIECE = "piece bigint, doc_id {id}, start bigint, length bigint, doc_tokens bigint, size_class int, part int, place bigint, ids binary"
@@ -37,7 +37,11 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = CAPACITY
     names = ["piece", "doc_id", "start", "length", "doc_tokens", "size_class", "part", "place", "ids"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, codes = TaskContext.get().partitionId(), encoder(vocabulary_path)
+        with encoder(vocabulary_path) as codes:
+            yield from cut_with(codes, batches)
+
+    def cut_with(codes: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         placed, number = np.zeros(capacity // grain + 1, "i8"), part << 33
         for batch in batches:
             rows: list[tuple] = []

@@ -31,13 +31,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import table, text_or_empty, written
-from strandframe.llm.shards import PrefixHash, Shards, byte_values, in_batches, joined, mark_columns, mix, read_shard, with_marks
+from strandframe.llm.common import table, text_or_empty, unused, written
+from strandframe.llm.shards import Marks, PrefixHash, Shards, byte_values, in_batches, joined, mix, read_shard
 from strandframe.llm.suffix_array import union_of
 
 WINDOW, ROUNDS, TOGETHER = 20, 3, 4
 # Rows of one anchor that are dealt together, and rows of a task; neither changes a result.
 HOT_ROWS, TASK_ROWS = 50_000, 1_000_000
+WINDOWS_AT_ONCE = 200_000  # hashed together
 BROADCAST_ANCHORS = 100_000  # of 16 bytes each; more are joined without a hint
 # Words are separated by spaces and the controls from tab to carriage return.
 _IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -180,10 +181,10 @@ def covered_spans(shards: Shards, window: int = WINDOW, rounds: int = ROUNDS, ho
             yield pa.RecordBatch.from_arrays(
                 [pa.array(anchor), pa.array(context), ids, pa.array(shard), pa.array(row), pa.array(start.astype("i4")), pa.array(size.astype("i4")), pa.array(spread)], names)
 
-    rows = shards.rows().select("__shard", "__row", "doc_id", "text")
+    rows = shards.rows("doc_id", "text")
     found = rows.mapInArrow(find, schema)
     # Which anchors are hot only steers how rows are dealt, so every 16th document tells enough.
-    sixteenth = F.pmod(F.xxhash64("__shard", "__row"), F.lit(16)) == 0
+    sixteenth = F.pmod(F.xxhash64("shard", "row"), F.lit(16)) == 0
     sampled = written(rows.filter(sixteenth).mapInArrow(find, schema).filter("spread < 0").select("anchor"), "recompress-sampled")
     hot = sampled.groupBy("anchor").agg((F.count("*") * 16).alias("rows")).filter(F.col("rows") > hot_rows)
     hot = written(hot, "recompress-hot")
@@ -198,8 +199,7 @@ def covered_spans(shards: Shards, window: int = WINDOW, rounds: int = ROUNDS, ho
     settled = written(dealt.mapInArrow(settle_contexts, "covered boolean, shard int, row int, start int, windows int, anchor bigint"), "recompress-settled")
     whole = settled.filter("covered").select("shard", "row", "start", "windows")
     marks = settled.filter("NOT covered").select("shard", "row", "start", "windows", "anchor")
-    files = written(with_marks(shards, marks, ["row", "start", "windows", "anchor"]).filter("marks IS NOT NULL"), "recompress-marks")
-    windows = written(window_hashes(shards, shards.dealt(files), window), "recompress-windows")
+    windows = written(window_hashes(shards, marks, window), "recompress-windows")
     here = F.struct("doc_id", "shard", "row", "start")
     first = windows.groupBy("anchor", "hash").agg(F.count("*").alias("times"), F.min(here).alias("first")).filter("times > 1")
     partial = windows.join(first, ["anchor", "hash"]).filter(~F.col("first").eqNullSafe(here)).select("shard", "row", "start", F.lit(1).alias("windows"))
@@ -237,70 +237,81 @@ def settle_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from out.add_column(0, "covered", pa.array(~kind_new[keep])).combine_chunks().to_batches(max_chunksize=100_000)
 
 
-def window_hashes(shards: Shards, files: DataFrame, window: int) -> DataFrame:
+def window_hashes(shards: Shards, marks: DataFrame, window: int) -> DataFrame:
     """Every window of the marked contexts, hashed from its words."""
     id_type = shards.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, uri in enumerate(batch.column("file").to_pylist()):
-                row, start, windows, anchor = mark_columns(batch.column("marks"), at)
-                by = np.argsort(row, kind="stable")
-                row, start, windows, anchor = row[by], start[by], windows[by], anchor[by]
-                shard = batch.column("shard")[at].as_py()
-                for first, rows in read_shard(uri, ["doc_id", "text"]):
-                    a, b = np.searchsorted(row, [first, first + rows.num_rows])
-                    if a == b:
-                        continue
-                    data, bounds = joined([(t or "").encode("utf8", "surrogatepass") for t in rows.column(1).to_pylist()])
-                    begin, end, owner = word_bounds(data, bounds)
-                    hashed = PrefixHash(word_symbols(data, begin, end))
-                    lengths = np.bincount(owner, minlength=rows.num_rows)
-                    offset = (np.cumsum(lengths) - lengths)[row[a:b] - first]
-                    number = np.repeat(np.arange(b - a), windows[a:b])
-                    inside = np.arange(len(number)) - np.repeat(np.cumsum(windows[a:b]) - windows[a:b], windows[a:b])
-                    word = start[a:b][number] + inside
+        stream = Marks(batches, ["start", "windows", "anchor"])
+        for shard, uri in stream.shards():
+            if not stream.any():
+                continue
+            for first, rows in read_shard(uri, ["doc_id", "text"]):
+                row, start, windows, anchor = stream.upto(first + rows.num_rows)
+                if not len(row):
+                    continue
+                # Only the texts with marks are read, a few at a time.
+                needed, text = np.unique(row - first, return_inverse=True)
+                found = [(t or "").encode("utf8", "surrogatepass") for t in rows.column(1).take(pa.array(needed)).to_pylist()]
+                data, bounds = joined(found)
+                begin, end, owner = word_bounds(data, bounds)
+                hashed = PrefixHash(word_symbols(data, begin, end))
+                lengths = np.bincount(owner, minlength=len(needed))
+                offset = (np.cumsum(lengths) - lengths)[text]
+                ends = np.cumsum(windows)
+                a = 0
+                while a < len(row):
+                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + WINDOWS_AT_ONCE, "right")))
+                    number = np.repeat(np.arange(a, b), windows[a:b])
+                    inside = np.arange(len(number)) - np.repeat(ends[a:b] - windows[a:b] - (ends[a - 1] if a else 0), windows[a:b])
+                    word = start[number] + inside
                     place = word + offset[number]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[a:b][number]), pa.array(hashed.of(place, place + window).view("i8")), rows.column(0).take(pa.array(row[a:b][number] - first)),
-                         pa.array(np.full(len(number), shard, "i4")), pa.array(row[a:b][number]), pa.array(word.astype("i4"))],
+                        [pa.array(anchor[number]), pa.array(hashed.of(place, place + window).view("i8")), rows.column(0).take(pa.array(row[number] - first)),
+                         pa.array(np.full(len(number), shard, "i4")), pa.array(row[number].astype("i4")), pa.array(word.astype("i4"))],
                         ["anchor", "hash", "doc_id", "shard", "row", "start"])
+                    a = b
 
-    return files.mapInArrow(read, f"anchor bigint, hash bigint, doc_id {id_type}, shard int, row int, start int")
+    return shards.beside(marks, ["start", "windows", "anchor"]).mapInArrow(read, f"anchor bigint, hash bigint, doc_id {id_type}, shard int, row int, start int")
+
+
+def added_names(columns: list[str]) -> tuple[str, str, str]:
+    """Names for the number of words, the spans and the kept text that ``columns`` do not hold yet."""
+    return tuple(unused(columns, n) for n in ("n_words", "spans", "kept"))
 
 
 def cut_words(shards: Shards, spans: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Every row's columns with __n_words, __spans (merged, [from, to) in words) and __kept, its other words joined by spaces."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """Every row's columns with the number of its words, the spans (merged, [from, to) in words) and the kept text,
+    its other words joined by spaces; ``added_names`` tells what these are called."""
     from pyspark.sql import types as T
-    from pyspark.sql.types import StructType
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     names = shards.schema.names
-    schema = StructType([*shards.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("__kept", T.StringType())])
+    added = zip(added_names(names), (T.LongType(), T.ArrayType(T.ArrayType(T.IntegerType())), T.StringType()), strict=True)
+    schema = T.StructType([*shards.schema.fields, *(T.StructField(n, t) for n, t in added)])
     target = to_arrow_schema(schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, uri in enumerate(batch.column("file").to_pylist()):
-                row, start, windows = mark_columns(batch.column("marks"), at) or [np.zeros(0, "i4")] * 3
-                by = np.lexsort((start, row))
-                row, start, stop = row[by], start[by], (start + windows + window - 1)[by]
-                for first, rows in read_shard(uri):
-                    count, merged, kept = [], [], []
-                    for k, text in enumerate(rows.column(rows.schema.get_field_index("text")).to_pylist()):
-                        words = (text or "").translate(_TO_SPACE).split(" ")
-                        words = [w for w in words if w]
-                        a, b = np.searchsorted(row, [first + k, first + k + 1])
-                        runs = union_of(start[a:b], stop[a:b]).tolist()
-                        count.append(len(words))
-                        merged.append(runs)
-                        edges = [0, *(x for r in runs for x in r), len(words)]
-                        kept.append(" ".join(w for x, y in zip(edges[::2], edges[1::2], strict=True) for w in words[x:y]))
-                    new = [pa.array(count), pa.array(merged, target.field("__spans").type), pa.array(kept, pa.string())]
-                    columns = [*(rows.column(rows.schema.get_field_index(n)) for n in names), *new]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
-
-    return with_marks(shards, spans, ["row", "start", "windows"]).mapInArrow(cut, schema)
+        marks = Marks(batches, ["start", "windows"])
+        for _, uri in marks.shards():
+            for first, rows in read_shard(uri):
+                row, start, windows = marks.upto(first + rows.num_rows)
+                stop = start + windows + window - 1
+                count, merged, kept = [], [], []
+                for k, text in enumerate(rows.column(rows.schema.get_field_index("text")).to_pylist()):
+                    words = (text or "").translate(_TO_SPACE).split(" ")
+                    words = [w for w in words if w]
+                    a, b = np.searchsorted(row, [first + k, first + k + 1])
+                    runs = union_of(start[a:b], stop[a:b]).tolist()
+                    count.append(len(words))
+                    merged.append(runs)
+                    edges = [0, *(x for r in runs for x in r), len(words)]
+                    kept.append(" ".join(w for x, y in zip(edges[::2], edges[1::2], strict=True) for w in words[x:y]))
+                new = [pa.array(count), pa.array(merged, target.field(len(names) + 1).type), pa.array(kept, pa.string())]
+                columns = [*(rows.column(rows.schema.get_field_index(n)) for n in names), *new]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return shards.beside(spans, ["start", "windows"]).mapInArrow(cut, schema)
 
 
 _TO_SPACE = {c: " " for c in range(0x09, 0x0E)}
@@ -309,7 +320,7 @@ _TO_SPACE = {c: " " for c in range(0x09, 0x0E)}
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, hot_rows: int = HOT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_words, spans, kept) per row of ``docs``."""
     shards = Shards(docs.select(F.col(f"`{id_column}`").alias("doc_id"), text_or_empty(text_column).alias("text")), "recompress-docs")
-    return cut_words(shards, covered_spans(shards, window, rounds, hot_rows), window).select("doc_id", F.col("__n_words").alias("n_words"), F.col("__spans").alias("spans"), F.col("__kept").alias("kept"))
+    return cut_words(shards, covered_spans(shards, window, rounds, hot_rows), window).drop("text")
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -319,10 +330,11 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     shards = Shards(docs, "recompress-docs")
     found = cut_words(shards, covered_spans(shards, window), window)
-    cut = F.size("__spans") > 0
-    changed = {"text": F.when(cut, F.col("__kept")).otherwise(F.col("text"))}
+    _, spans, kept = added_names(docs.columns)
+    cut = F.size(spans) > 0
+    changed = {"text": F.when(cut, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(cut, F.length("__kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(cut, F.length(kept)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

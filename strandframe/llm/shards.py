@@ -2,19 +2,19 @@
 
 A row is known by (shard, row), its file and its place there, whatever its id and columns hold.
 Tasks that need a few texts of a shard, or its spans beside them, open the file instead of having
-the texts shuffled to them.
+the texts shuffled to them. What they need to know of a shard comes as ordered rows, shard by shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import qualified, scratch
@@ -34,23 +34,77 @@ class Shards:
         self.schema = docs.schema
         self.count = max(1, self.files().count())
 
-    def rows(self) -> DataFrame:
-        """The documents with shard and row, through Spark's own scan."""
+    def rows(self, *columns: str) -> DataFrame:
+        """(shard, row, columns) of the documents, through Spark's own scan."""
         frame = self.spark.read.schema(self.schema).parquet(self.path)
-        number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)\.", 1).cast("bigint") * 1000
-        number += F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)\.", 2).cast("bigint")
-        return frame.select(number.cast("int").alias("__shard"), F.col("_metadata.row_index").cast("int").alias("__row"), "*")
-
-    def dealt(self, files: DataFrame) -> DataFrame:
-        """A few small rows that stand for much work each: about one task per shard."""
-        return files.repartition(self.count, "shard")
+        return frame.select(_shard_number().alias("shard"), F.col("_metadata.row_index").cast("int").alias("row"), *[F.col(f"`{c}`") for c in columns])
 
     def files(self) -> DataFrame:
         """(shard, file), a row per file that holds rows."""
         frame = self.spark.read.schema(self.schema).parquet(self.path)
-        number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)\.", 1).cast("bigint") * 1000
-        number += F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)\.", 2).cast("bigint")
-        return frame.select(number.cast("int").alias("shard"), F.col("_metadata.file_path").alias("file")).distinct()
+        return frame.select(_shard_number().alias("shard"), F.col("_metadata.file_path").alias("file")).distinct()
+
+    def beside(self, marks: DataFrame, fields: list[str]) -> DataFrame:
+        """(shard, file, row, fields): rows of ``marks`` (shard, row, fields) in a task per shard, in order.
+
+        A shard begins with a row of its own, which names its file at row -1. The list of files, a
+        few bytes each, is sent to every task.
+        """
+        places = self.files().withColumn("place", F.row_number().over(Window.orderBy("shard")) - 1)  # a row per file
+        kinds = {f: marks.schema[f].dataType for f in fields}
+        heads = places.select("place", "shard", "file", F.lit(-1).alias("row"), *[F.lit(None).cast(k).alias(f) for f, k in kinds.items()])
+        rows = marks.join(F.broadcast(places.select("shard", "place")), "shard").select(
+            "place", "shard", F.lit(None).cast("string").alias("file"), F.col("row").cast("int").alias("row"), *fields)
+        dealt = heads.union(rows).repartitionById(self.count, "place").drop("place")
+        return dealt.sortWithinPartitions("shard", "row", *fields[:1])
+
+
+def _shard_number():
+    def part(group: int):
+        return F.regexp_extract("_metadata.file_name", r"^part-(\d+)-.*-c(\d+)\.", group).cast("bigint")
+
+    return (part(1) * 1000 + part(2)).cast("int")
+
+
+class Marks:
+    """The marks of one shard after the other, from batches in the order of ``Shards.beside``."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], fields: list[str]):
+        self.batches, self.fields = batches, ["row", *fields]
+        self.batch, self.at = None, 0
+        self._advance()
+
+    def _advance(self) -> None:
+        while self.batch is None or self.at >= self.batch.num_rows:
+            self.batch = next(self.batches, None)
+            if self.batch is None:
+                return
+            self.at, self.rows = 0, self.batch.column("row").to_numpy()
+
+    def shards(self) -> Iterator[tuple[int, str]]:
+        """(shard, file) in order; what is left of a shard's marks is skipped."""
+        while self.batch is not None:
+            head = self.batch.slice(self.at, 1)
+            self.at += 1
+            self._advance()
+            yield head.column("shard")[0].as_py(), head.column("file")[0].as_py()
+            self.upto(1 << 31)
+
+    def any(self) -> bool:
+        """Whether the shard has marks left."""
+        return self.batch is not None and self.rows[self.at] >= 0
+
+    def upto(self, limit: int) -> list[np.ndarray]:
+        """Rows and fields of the shard's next marks, those of rows before ``limit``."""
+        parts: list[list[np.ndarray]] = []
+        while self.any() and self.rows[self.at] < limit:
+            rest = self.rows[self.at :]
+            stop = self.at + int(np.argmax(np.append((rest < 0) | (rest >= limit), True)))
+            part = self.batch.slice(self.at, stop - self.at)
+            parts.append([part.column(f).to_numpy(zero_copy_only=False) for f in self.fields])
+            self.at = stop
+            self._advance()
+        return [np.concatenate(columns) for columns in zip(*parts, strict=True)] if parts else [np.zeros(0, "i8") for _ in self.fields]
 
 
 def read_shard(uri: str, columns: list[str] | None = None, rows_at_once: int = 512) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -63,15 +117,6 @@ def read_shard(uri: str, columns: list[str] | None = None, rows_at_once: int = 5
             at += batch.num_rows
 
 
-def with_marks(shards: Shards, marks: DataFrame, fields: list[str]) -> DataFrame:
-    """(shard, file, marks): every shard with its rows of ``marks`` (shard, *fields) as one array.
-
-    A shard's marks are bounded by its file, so this gathers no more than a shard per task.
-    """
-    grouped = marks.groupBy("shard").agg(F.collect_list(F.struct(*fields)).alias("marks"))
-    return shards.dealt(shards.files().join(grouped, "shard", "left"))
-
-
 def without_rows(shards: Shards, dropped: DataFrame) -> DataFrame:
     """The documents without the rows (shard, row) of ``dropped``, read beside them: no text is shuffled."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -79,25 +124,16 @@ def without_rows(shards: Shards, dropped: DataFrame) -> DataFrame:
     target = to_arrow_schema(shards.schema)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, uri in enumerate(batch.column("file").to_pylist()):
-                gone = np.sort(np.concatenate(mark_columns(batch.column("marks"), at) or [np.zeros(0, "i4")]))
-                for first, rows in read_shard(uri):
-                    a, b = np.searchsorted(gone, [first, first + rows.num_rows])
-                    stays = np.ones(rows.num_rows, bool)
-                    stays[gone[a:b] - first] = False
-                    kept = rows.filter(pa.array(stays))
-                    yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(f.name)).cast(f.type) for f in target], schema=target)
-
-    return with_marks(shards, dropped, ["row"]).mapInArrow(keep, shards.schema)
-
-
-def mark_columns(column: pa.Array, row: int) -> list[np.ndarray]:
-    """The fields of one row of ``marks`` as arrays."""
-    value = column[row].values
-    if value is None:
-        return []
-    return [value.field(i).to_numpy(zero_copy_only=False) for i in range(value.type.num_fields)]
+        marks = Marks(batches, [])
+        for _, uri in marks.shards():
+            for first, rows in read_shard(uri):
+                (gone,) = marks.upto(first + rows.num_rows)
+                stays = np.ones(rows.num_rows, bool)
+                stays[gone - first] = False
+                kept = rows.filter(pa.array(stays))
+                yield pa.RecordBatch.from_arrays([kept.column(kept.schema.get_field_index(f.name)).cast(f.type) for f in target], schema=target)
+
+    return shards.beside(dropped, []).mapInArrow(keep, shards.schema)
 
 
 def in_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -11,9 +11,13 @@ The windows that name one occurrence of an anchor are consecutive; their union i
 3. Contexts that differ but share an anchor are brought together, one of each kind, in shards of a
    fixed number of contexts. In each, the suffix array is refined in numpy by Larsson and Sadakane's
    doubling, Kasai's algorithm gives common prefixes, and windows with a common prefix of ``length``
-   bytes are repeated. An anchor with more contexts than a shard holds is split over several; what
-   each of them has left, one of each kind, is cut into key ranges and matched by binary search.
-4. Repeated windows go back to their shard as spans, where the text is cut.
+   bytes are repeated. An anchor with more contexts than a shard holds is split over several; one window
+   of each kind of theirs is hashed, and hashes of one range from all shards are ordered and compared.
+4. Repeated windows go back to their shard as runs, where the text is cut.
+
+So the suffix order decides between contexts that share an anchor and differ. Contexts that are equal as a
+whole, and windows of an anchor that is split, are matched by two 64-bit hashes: of anchor and context, or of
+the window twice.
 
 Windows are judged on the input and never cross documents. A null text is empty. Repeated rows count
 as documents of their own; empty tables give no rows. Cuts may fall inside a UTF-8 character, so the
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import table, text_or_empty, written
-from strandframe.llm.shards import PrefixHash, Shards, byte_values, in_batches, joined, mark_columns, read_shard, slide_least, with_marks
+from strandframe.llm.shards import Marks, PrefixHash, Shards, byte_values, in_batches, joined, mix, read_shard, slide_least
 
 LENGTH, GRAM, SHARD_CONTEXTS = 200, 64, 4096
 ANCHORS = "anchor bigint, context bigint, shard int, row int, start int, windows int"
@@ -143,37 +147,43 @@ def repeated_starts(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[
     return order[long], kind
 
 
-def contexts_of(files: DataFrame, length: int) -> DataFrame:
+MARKS = ["start", "windows", "anchor", "salt", "single"]
+
+
+def contexts_of(shards: Shards, marks: DataFrame, length: int) -> DataFrame:
     """The bytes of marked contexts, each read from its shard's file."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, uri in enumerate(batch.column("file").to_pylist()):
-                marks = mark_columns(batch.column("marks"), at)
-                if not marks:
+        stream = Marks(batches, MARKS)
+        for shard, uri in stream.shards():
+            if not stream.any():
+                continue
+            for first, texts in read_shard(uri, ["text"]):
+                row, start, windows, anchor, salt, single = stream.upto(first + texts.num_rows)
+                if not len(row):
                     continue
-                by = np.argsort(marks[0], kind="stable")
-                row, start, windows, anchor, salt, single = (m[by] for m in marks)
-                shard = batch.column("shard")[at].as_py()
-                for first, texts in read_shard(uri, ["text"]):
-                    a, b = np.searchsorted(row, [first, first + texts.num_rows])
-                    if a == b:
-                        continue
-                    found = [x.as_py().encode("utf8", "surrogatepass") for x in texts.column(0).take(pa.array(row[a:b] - first))] if b - a < texts.num_rows else None
-                    if found is None:
-                        whole = [x.encode("utf8", "surrogatepass") for x in texts.column(0).to_pylist()]
-                        found = [whole[r] for r in row[a:b] - first]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor[a:b]), pa.array(salt[a:b]), pa.array(np.full(b - a, shard, "i4")), pa.array(row[a:b]), pa.array(start[a:b]), pa.array(single[a:b]),
-                         pa.array([t[s : s + w + length - 1] for t, s, w in zip(found, start[a:b], windows[a:b], strict=True)], pa.binary())],
-                        ["anchor", "salt", "shard", "row", "start", "single", "bytes"])
-
-    return files.mapInArrow(read, "anchor bigint, salt int, shard int, row int, start int, single boolean, bytes binary")
+                needed, at = np.unique(row - first, return_inverse=True)
+                found = [x.encode("utf8", "surrogatepass") for x in texts.column(0).take(pa.array(needed)).to_pylist()]
+                cut = [found[t][s : s + w + length - 1] for t, s, w in zip(at.tolist(), start.tolist(), windows.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor), pa.array(salt), pa.array(np.full(len(row), shard, "i4")), pa.array(row), pa.array(start), pa.array(single.astype(bool)), pa.array(cut, pa.binary())],
+                    ["anchor", "salt", "shard", "row", "start", "single", "bytes"])
+
+    return shards.beside(marks, MARKS).mapInArrow(read, "anchor bigint, salt int, shard int, row int, start int, single boolean, bytes binary")
+
+
+def run_rows(places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place, owner, length) of the runs of consecutive places of one owner."""
+    order = np.argsort(places)
+    places, owner = places[order], owner[order]
+    new = np.flatnonzero(np.append(True, (places[1:] != places[:-1] + 1) | (owner[1:] != owner[:-1]))) if len(places) else np.zeros(0, "i8")
+    return places[new], owner[new], np.diff(np.append(new, len(places)))
 
 
 def compare_contexts(contexts: DataFrame, length: int, shard_contexts: int, partitions: int) -> DataFrame:
     """(shard, row, start, windows) runs of repeated windows in contexts that occur once."""
-    HASHED = "key bigint, again boolean, shard int, row int, start int"
+    FOUND = "open boolean, a bigint, b bigint, shard int, row int, start int, windows int"
+    names = [f.split()[0] for f in FOUND.split(", ")]
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
@@ -198,37 +208,41 @@ def compare_contexts(contexts: DataFrame, length: int, shard_contexts: int, part
             starts, kind = repeated_starts(data, ends, length)
             owner = np.searchsorted(ends, starts, "right") - 1
             salted, single = part.column("salt").to_numpy()[owner] >= 0, part.column("single").to_numpy()[owner]
-            size = np.bincount(kind)
-            keys = np.zeros(len(starts), "i8")
-            if salted.any():
-                keys = PrefixHash(byte_values()[data]).of(starts, starts + length).view("i8") ^ part.column("anchor").to_numpy()[owner]
-            # Of a kind without an equal here, one row per kind of a split anchor goes on to the others.
-            more = np.concatenate([[True], kind[1:] != kind[:-1]]) if len(kind) else np.zeros(0, bool)
-            again = size[kind] > 1
-            keep = (again & single) | (salted & (more | single))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[keep]), pa.array(again[keep] & ~(salted[keep] & ~single[keep])),
-                 *(pa.array(part.column(c).to_numpy()[owner[keep]]) for c in ("shard", "row")),
-                 pa.array((part.column("start").to_numpy()[owner[keep]] + starts[keep] - ends[owner[keep]]).astype("i4"))],
-                ["key", "again", "shard", "row", "start"])
+            shard, row, begin = (part.column(c).to_numpy() for c in ("shard", "row", "start"))
+            # Windows with an equal here are settled, as runs; contexts that occur more often are so anyway.
+            again = (np.bincount(kind)[kind] > 1) if len(kind) else np.zeros(0, bool)
+            place, own, size = run_rows(starts[again & single], owner[again & single])
+            yield _found(names, np.zeros((2, len(place)), "i8"), False, shard[own], row[own], begin[own] + place - ends[own], size)
+            # One window of every kind of a split anchor goes on to the other shards.
+            more = np.append(True, kind[1:] != kind[:-1]) & salted if len(kind) else np.zeros(0, bool)
+            if more.any():
+                own, place = owner[more], starts[more]
+                hashes = [PrefixHash(values[data]).of(place, place + length).view("i8") for values in (byte_values(), mix(byte_values()))]
+                hashes[0] ^= part.column("anchor").to_numpy()[own]
+                yield _found(names, np.stack(hashes), True, shard[own], row[own], begin[own] + place - ends[own], np.ones(len(own), "i8"))
 
     dealt = contexts.repartition(partitions, "anchor", "salt")
-    local = written(dealt.mapInArrow(merge, HASHED), "suffix-windows")
+    local = written(dealt.mapInArrow(merge, FOUND), "suffix-windows")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keys of one range from all shards, each looked up among the sorted keys of all."""
+        """Windows of one range of hashes from all shards: those whose hashes stand there again."""
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         rows = pa.Table.from_batches(batches)
-        keys = rows.column("key").to_numpy()
-        ordered = np.sort(keys)
-        times = np.searchsorted(ordered, keys, "right") - np.searchsorted(ordered, keys, "left")
-        yield from rows.filter(pa.array(times > 1)).select(["shard", "row", "start"]).to_batches()
+        a, b = (rows.column(n).to_numpy() for n in ("a", "b"))
+        order = np.lexsort((b, a))
+        same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+        yield from rows.select(["shard", "row", "start", "windows"]).take(pa.array(np.sort(order[np.append(same, False) | np.append(False, same)]))).to_batches()
+
+    spans = ["shard", "row", "start", "windows"]
+    split = local.filter("open").select("a", "b", *spans).repartition("a").mapInArrow(search, "shard int, row int, start int, windows int")
+    return local.filter("NOT open").select(*spans).union(split)
+
 
-    here = local.filter("again").select("shard", "row", "start")
-    split = local.filter("key != 0").select("key", "shard", "row", "start").repartition("key").mapInArrow(search, "shard int, row int, start int")
-    return here.union(split).withColumn("windows", F.lit(1))
+def _found(names: list[str], hashes: np.ndarray, is_open: bool, shard: np.ndarray, row: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
+    columns = [np.full(len(row), is_open), *hashes, *(c.astype("i4") for c in (shard, row, start, windows))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 def repeated_spans(shards: Shards, length: int = LENGTH, gram: int = GRAM, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
@@ -242,7 +256,7 @@ def repeated_spans(shards: Shards, length: int = LENGTH, gram: int = GRAM, shard
             yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(context), pa.array(shard), pa.array(row), pa.array(start.astype("i4")), pa.array(size.astype("i4"))],
                                              ["anchor", "context", "shard", "row", "start", "windows"])
 
-    found = written(shards.rows().select("__shard", "__row", "text").mapInArrow(anchors, ANCHORS), "suffix-anchors")
+    found = written(shards.rows("text").mapInArrow(anchors, ANCHORS), "suffix-anchors")
     classes = found.groupBy("anchor", "context").agg(F.count("*").alias("times"), F.min(F.struct("shard", "row", "start", "windows")).alias("first"))
     classes = written(classes, "suffix-classes")
     groups = classes.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
@@ -251,39 +265,36 @@ def repeated_spans(shards: Shards, length: int = LENGTH, gram: int = GRAM, shard
     parts = F.ceil(F.col("contexts") / F.lit(shard_contexts))
     salt = F.when(F.col("contexts") > shard_contexts, F.pmod(F.xxhash64("context"), parts)).otherwise(-1).cast("int")
     marks = mixed.select("first.*", "anchor", salt.alias("salt"), (F.col("times") == 1).alias("single"))
-    marks = written(with_marks(shards, marks, ["row", "start", "windows", "anchor", "salt", "single"]).filter("marks IS NOT NULL"), "suffix-marks")
-    total = marks.agg(F.sum(F.size("marks"))).first()[0] or 0
-    contexts = contexts_of(shards.dealt(marks), length)
-    partial = compare_contexts(contexts, length, shard_contexts, max(1, -(-total // (2 * shard_contexts)), int(shards.spark.conf.get("spark.sql.shuffle.partitions"))))
+    marks = written(marks, "suffix-marks")
+    tasks = max(-(-marks.count() // (2 * shard_contexts)), int(shards.spark.conf.get("spark.sql.shuffle.partitions")))
+    partial = compare_contexts(contexts_of(shards, marks, length), length, shard_contexts, tasks)
     return whole.union(partial)
 
 
 def cut_spans(shards: Shards, spans: DataFrame, length: int = LENGTH) -> DataFrame:
     """Every document with n_bytes, spans (merged, [from, to)) and the kept bytes."""
     id_type = shards.schema["doc_id"].dataType.simpleString()
-    files = with_marks(shards, spans, ["row", "start", "windows"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, uri in enumerate(batch.column("file").to_pylist()):
-                row, start, windows = mark_columns(batch.column("marks"), at) or [np.zeros(0, "i4")] * 3
-                by = np.lexsort((start, row))
-                row, start, stop = row[by], start[by], (start + windows + length - 1)[by]
-                for first, rows in read_shard(uri, ["doc_id", "text"]):
-                    sizes, merged, kept = [], [], []
-                    for k, text in enumerate(rows.column(1).to_pylist()):
-                        data = text.encode("utf8", "surrogatepass")
-                        a, b = np.searchsorted(row, [first + k, first + k + 1])
-                        runs = union_of(start[a:b], stop[a:b])
-                        sizes.append(len(data))
-                        merged.append(runs.tolist())
-                        inner = np.concatenate([[0], runs.ravel(), [len(data)]])
-                        kept.append(b"".join(data[x:y] for x, y in inner.reshape(-1, 2)))
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column(0), pa.array(sizes, "int64"), pa.array(merged, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary())],
-                        ["doc_id", "n_bytes", "spans", "kept"])
-
-    return files.mapInArrow(cut, f"doc_id {id_type}, n_bytes bigint, spans array<array<int>>, kept binary")
+        marks = Marks(batches, ["start", "windows"])
+        for _, uri in marks.shards():
+            for first, rows in read_shard(uri, ["doc_id", "text"]):
+                row, start, windows = marks.upto(first + rows.num_rows)
+                stop = start + windows + length - 1
+                sizes, merged, kept = [], [], []
+                for k, text in enumerate(rows.column(1).to_pylist()):
+                    data = text.encode("utf8", "surrogatepass")
+                    a, b = np.searchsorted(row, [first + k, first + k + 1])
+                    runs = union_of(start[a:b], stop[a:b])
+                    sizes.append(len(data))
+                    merged.append(runs.tolist())
+                    inner = np.concatenate([[0], runs.ravel(), [len(data)]])
+                    kept.append(b"".join(data[x:y] for x, y in inner.reshape(-1, 2)))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), pa.array(sizes, "int64"), pa.array(merged, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary())],
+                    ["doc_id", "n_bytes", "spans", "kept"])
+
+    return shards.beside(spans, ["start", "windows"]).mapInArrow(cut, f"doc_id {id_type}, n_bytes bigint, spans array<array<int>>, kept binary")
 
 
 def union_of(start: np.ndarray, stop: np.ndarray) -> np.ndarray:

@@ -1,18 +1,21 @@
 """Token ids of whole texts by a public vocabulary, through the tokenizers library.
 
 Both vocabularies split a text at white space before any merge, so a text is the sequence of its
-pieces "white space, then a word", each encoded on its own. Pieces recur, so each worker keeps the
-ids of those it has met, up to a fixed number; the library encodes every other piece.
+pieces "white space, then a word", each encoded on its own. Pieces recur, so a task keeps the ids of
+those it has met, up to a fixed number; the library encodes every other piece. The task gives them up at
+its end, so that they are not held beside the work of later stages.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
-CACHED_PIECES = 700_000
+CACHED_PIECES = 200_000
 CACHED_CHARS = 64
 # White space as Unicode defines it, which the vocabularies' own patterns use.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -102,8 +105,12 @@ def encoded(texts, codes: Encoder, chars: int = 1 << 20):
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
+@contextmanager
+def encoder(path: str) -> Iterator[Encoder]:
+    """The worker's encoder of a vocabulary; the pieces that a task has met go with it."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    return _encoders[path]
+    try:
+        yield _encoders[path]
+    finally:
+        _encoders[path].known.clear()

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandframe.llm import dart_minhash, multi_index, recompress, suffix_array, toxicity
 from strandframe.llm.common import components, written
@@ -216,7 +217,7 @@ def test_pipeline_stages_agree_with_plain_rules(spark, folder):
     for name, stage in pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
         out = stage(spark, docs, folder)
-        docs = written(out, name, lasting=True)
+        docs = written(out, name)
         handed[name] = (before, docs)
         if name != "packing":
             assert docs.columns == columns
@@ -250,7 +251,7 @@ def test_verifying_holds_one_pair_of_blocks(spark):
 
 
 def test_verifying_tasks_grow_with_the_copies(spark):
-    make = lambda texts, blocks: spark.createDataFrame([(0, [(r, 1, blocks) for r in range(texts)])], "shard int, marks array<struct<row:int,component:bigint,blocks:int>>")
+    make = lambda texts, blocks: spark.createDataFrame([(0, r, 1, blocks) for r in range(texts)], "shard int, row int, component bigint, blocks int")
     assert dart_minhash.verifying_tasks(make(1000, 50), 20, 4) == 1250
     assert dart_minhash.verifying_tasks(make(10, 1), 20, 4) == dart_minhash.verifying_tasks(make(10, 1).limit(0), 20, 4) == 4
 
@@ -265,3 +266,103 @@ def test_pairs_just_above_a_lower_least_are_found(spark):
     found = {r.doc_id: r.component_id for r in dart_minhash.near_duplicates(frame, least=0.6, bands=40, rows=4).collect()}
     assert found == {i: i - i % 2 for i in range(24)}
     assert dart_minhash.agreement_floor(0.8, 160) == pytest.approx(0.642, abs=1e-3)
+
+
+CLASHES = ["__shard", "__row", "shard", "row", "file", "__kept", "kept", "__spans", "spans", "__n_words", "n_words", "__hit_spans", "hit_n_words", "__p_toxic", "p_toxic", "_P_low_quality"]
+
+
+def test_stages_keep_columns_of_any_name(spark, folder):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        docs = written(out, name)
+        for r in docs.select("doc_id", *CLASHES).collect():
+            assert [r[c] for c in CLASHES] == [f"{c}{r.doc_id}" for c in CLASHES], name
+
+
+def test_unread_results_survive_a_later_run(spark, folder):
+    import corpus_pipeline as pipeline
+    from strandframe.llm import packing
+
+    first = packing.query(spark, folder)
+    second = pipeline.run(spark, folder)
+    third = pipeline.run(spark, folder)
+    assert first.count() > 0 and second.count() == third.count() > 0
+
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    from strandframe.llm.common import collected, release
+
+    outside = written(spark.range(3).toDF("id"), "kept")
+    with collected() as paths:
+        inside = written(spark.range(5).toDF("id"), "given-up")
+        with collected() as inner:
+            assert written(spark.range(7).toDF("id"), "inner").count() == 7
+    assert (len(paths), len(inner)) == (1, 1) and inside.count() == 5
+    place = paths[0].removeprefix("file://")
+    release(paths)
+    assert not os.path.exists(place) and paths == [] and outside.count() == 3
+
+
+def test_marks_of_a_shard_come_in_order(spark):
+    from strandframe.llm import shards as beside
+
+    docs = spark.range(40).selectExpr("id AS doc_id", "string(id) AS text").repartition(5)
+    held = beside.Shards(docs, "marks")
+    rows = held.rows("doc_id").collect()
+    marks = spark.createDataFrame([(r.shard, r.row, k, r.doc_id) for r in rows if r.doc_id % 3 for k in (2, 1)], "shard int, row int, start int, what long")
+
+    def read(batches):
+        import pyarrow as pa
+
+        stream = beside.Marks(batches, ["start", "what"])
+        for shard, uri in stream.shards():
+            if shard % 2000 == 0:
+                continue  # what is left is skipped
+            for first, found in beside.read_shard(uri, ["doc_id"], 3):
+                row, start, what = stream.upto(first + found.num_rows)
+                ids = found.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(start.astype("i4")), pa.array(what.astype("i8")), pa.array(ids[row - first])], ["start", "what", "id"])
+
+    found = held.beside(marks, ["start", "what"]).mapInArrow(read, "start int, what long, id long").collect()
+    assert all(r.what == r.id for r in found)
+    expected = sorted(r.doc_id for r in rows if r.doc_id % 3 and r.shard % 2000)
+    assert [sorted(r.id for r in found if r.start == k) for k in (1, 2)] == [expected, expected]
+    assert held.beside(marks.limit(0), ["start", "what"]).filter("row >= 0").count() == 0
+
+
+def test_labels_of_absent_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, "nasty words here" if i % 2 else "good words here") for i in range(40)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, False, bool(i % 2)) for i in range(2000)], "doc_id long, low_quality boolean, toxic boolean")
+    chain = toxicity.train_chain(docs, known, sample=60)
+    assert len(chain[1].places) > 0
+    scored = {r.doc_id: r.p_toxic >= chain[1].cut for r in toxicity.score_chain(docs, chain).collect()}
+    assert scored == {i: bool(i % 2) for i in range(40)}
+
+
+def test_chain_equals_a_plain_loop(spark):
+    """Probabilities of the whole chain against sums written out word by word."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(60)] + ["awful", "nasty", "junk"]
+    docs, labels = [], []
+    for i in range(500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))
+        docs.append((i, text))
+        labels.append((i, "junk" in text, "nasty" in text or "awful" in text))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    chain = toxicity.train_chain(frame, spark.createDataFrame(labels, "doc_id long, low_quality boolean, toxic boolean"))
+    rows = toxicity.score_chain(frame, chain).collect()
+    for r in rows:
+        earlier = []
+        for model in chain:
+            places = set(toxicity.word_places([r.text])[0].tolist())
+            weights = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True))
+            z = model.intercept + sum(weights.get(p, 0.0) for p in places) + sum(a * p for a, p in zip(model.earlier, earlier, strict=True))
+            earlier.append(1 / (1 + np.exp(-z)))
+        assert (r.p_low_quality, r.p_toxic) == pytest.approx(earlier, abs=1e-9)
