@@ -8,11 +8,15 @@ coordinates, and the earliest per coordinate is the signature, at a cost of shin
 coordinate stays empty the rank doubles. Two coordinates agree with the weighted Jaccard similarity.
 
 1. Documents with the same weighted set form a class; one of each goes on, whatever the copies.
-2. Bands of the signatures put them into buckets; buckets joined at shared members give candidate
-   components, so every text goes to one place once.
-3. There pairs of a common bucket that are not linked yet are compared by their shingles. A component
-   larger than ``BLOCK`` texts is compared block against block.
-4. Verified links give components again.
+2. Bands of the signatures put them into buckets. Each text is compared by its shingles with the leader of
+   one of its buckets, the text that shares buckets with the most others: a group of near copies becomes
+   one component at a cost that is linear in it.
+3. What may be left are links between components that share a bucket. Buckets that hold several components
+   are joined at shared members. In each joined group the texts outside its largest component are
+   dealt into blocks of ``BLOCK``, and every text of the group goes to each block once: pairs of a common
+   bucket and of different components are compared there. Texts of the largest component need no block
+   of their own, as they are linked already.
+4. All verified links give components again.
 
 With ``BANDS`` bands of ``ROWS`` a pair at similarity 0.8 is missed with probability 3e-6, more similar
 pairs less. A signature that agrees on under ``agreement_floor()`` of the coordinates (5 standard deviations
@@ -115,9 +119,12 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarray, side: np.ndarray | None, bands: int, least: float, floor: float) -> list[tuple[int, int]]:
-    """Verified links that join all that a link between bucket mates joins; ``side``: only across."""
-    root = np.arange(len(sets))
+def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarray, home: np.ndarray, known: np.ndarray, bands: int, least: float, floor: float) -> list[tuple[int, int]]:
+    """Verified links that join all that a link between bucket mates joins, one of which is at ``home``.
+
+    Texts of one ``known`` component count as linked.
+    """
+    root = np.unique(known, return_inverse=True)[1]
     links, tested = [], set()
     keys = band_keys(signature, bands)
     for band in range(bands):
@@ -125,11 +132,10 @@ def linked_pairs(sets: list[tuple[np.ndarray, np.ndarray]], signature: np.ndarra
         edges = np.flatnonzero(np.append(True, keys[by][1:, band] != keys[by][:-1, band]))
         for a, b in zip(edges, np.append(edges[1:], len(by)), strict=True):
             members = by[a:b]
-            while len(members) > 1 and (root[members] != root[members[0]]).any():
-                lead, members = members[0], members[1:]
+            if len(members) < 2:
+                continue
+            for lead in members[home[members]]:  # each of them meets the whole bucket
                 other = members[root[members] != root[lead]]
-                if side is not None:
-                    other = other[side[other] != side[lead]]
                 other = other[(signature[other] == signature[lead]).mean(axis=1) >= floor]
                 for o in other:
                     pair = (min(lead, o), max(lead, o))
@@ -147,25 +153,35 @@ def agreement_floor(least: float, coordinates: int) -> float:
     return least - 5 * (least * (1 - least) / coordinates) ** 0.5
 
 
+MARK = ["part", "low", "high", "home", "known"]
+COPY = {"part": pa.int64(), "block": pa.int32(), "home": pa.bool_(), "known": pa.int64(), "uid": pa.int64(), "shingles": pa.binary(), "weights": pa.binary()}
+COPY_SCHEMA = "part bigint, block int, home boolean, known bigint, uid bigint, shingles binary, weights binary"
+
+
 def copies_batch(rows: list[tuple]) -> pa.RecordBatch:
-    """Shingle sets on their way to the pairs of blocks that compare them."""
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["component", "i", "j", "own", "uid", "shingles", "weights"])
+    """Shingle sets on their way to the blocks that compare them."""
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), COPY.values(), strict=True)], list(COPY))
+
+
+def marks_of(texts: DataFrame) -> DataFrame:
+    """(shard, row, MARK): ``texts`` (uid, part, low, high, home, known) go to the blocks [low, high) of a part."""
+    place = [F.shiftright("uid", 32).cast("int").alias("shard"), F.col("uid").bitwiseAND(0xFFFFFFFF).cast("int").alias("row")]
+    return texts.select(*place, "part", F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), "home", "known")
 
 
 def verifying_tasks(marks: DataFrame, block: int, least: int) -> int:
-    """Tasks of about one pair of blocks each; a text is sent once to every block of its component."""
-    copies = marks.agg(F.sum("blocks")).first()[0] or 0
+    """Tasks of about one block each."""
+    copies = marks.agg(F.sum(F.col("high") - F.col("low"))).first()[0] or 0
     return max(least, -(-copies // (2 * block)))
 
 
 def block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of one (component, i, j) at a time, from batches in that order; no more of them are held."""
+    """The rows of one (part, block) at a time, from batches in that order; no more of them are held."""
     held, key = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("component", "i", "j")], axis=1)
+        keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("part", "block")], axis=1)
         new = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)
         for a, b in zip(new, np.append(new[1:], len(keys)), strict=True):
             if held and key != tuple(keys[a]):
@@ -214,33 +230,27 @@ def group_rows(shards: Shards, least: float = SIMILARITY, bands: int = BANDS, ro
     here = F.struct("doc_id", "uid")
     classes = signed.filter("n > 0").groupBy("a", "b", "n").agg(F.min(here).alias("first"), F.min(F.struct("doc_id", "uid", "bands"))["bands"].alias("bands"))
     classes = written(classes, "dart-classes")
-    buckets = classes.select(F.col("first.uid").alias("uid"), F.explode("bands").alias("key"))
-    least_of = buckets.groupBy("key").agg(F.min("uid").alias("m"), F.count("*").alias("members")).filter("members > 1").select("key", "m")
-    candidates = components(buckets.join(least_of, "key").filter("uid != m").select(F.col("uid").alias("a"), F.col("m").alias("b")))
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("texts"))
-    marks = candidates.join(sizes, "component").select(
-        F.shiftright("id", 32).cast("int").alias("shard"), F.col("id").bitwiseAND(0xFFFFFFFF).cast("int").alias("row"), "component", F.ceil(F.col("texts") / F.lit(block)).cast("int").alias("blocks"))
-    marks = written(marks, "dart-marks")
+    buckets = written(classes.select(F.col("first.uid").alias("uid"), F.explode("bands").alias("key")), "dart-buckets")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = Marks(batches, ["component", "blocks"])
+        stream = Marks(batches, MARK)
         for shard, uri in stream.shards():
             if not stream.any():
                 continue
             for first, rows_here in read_shard(uri, ["text"]):
-                row, component, blocks = stream.upto(first + rows_here.num_rows)
+                row, *mark = stream.upto(first + rows_here.num_rows)
                 if not len(row):
                     continue
-                texts = [t.encode("utf8", "surrogatepass") for t in rows_here.column(0).take(pa.array(row - first)).to_pylist()]
+                needed, at = np.unique(row - first, return_inverse=True)
+                texts = [t.encode("utf8", "surrogatepass") for t in rows_here.column(0).take(pa.array(needed)).to_pylist()]
                 shingle, weight, text = shingle_sets(texts, size, weights)
                 cuts = np.searchsorted(text, np.arange(len(texts) + 1))
                 out, held = [], 0
-                for k in range(len(row)):
-                    uid = (shard << 32) | int(row[k])
-                    parts, own = int(blocks[k]), int(mix(np.asarray([uid], "u8"))[0] % np.uint64(blocks[k]))
-                    mine = shingle[cuts[k] : cuts[k + 1]].tobytes(), weight[cuts[k] : cuts[k + 1]].astype("f4").tobytes()
-                    for other in range(parts):
-                        out.append((int(component[k]), min(own, other), max(own, other), own, uid, *mine))
+                for k, (part, low, high, home, known) in enumerate(zip(*(m.tolist() for m in mark), strict=True)):
+                    a, b = cuts[at[k]], cuts[at[k] + 1]
+                    mine = shingle[a:b].tobytes(), weight[a:b].astype("f4").tobytes()
+                    for other in range(int(low), int(high)):
+                        out.append((int(part), other, bool(home), int(known), (shard << 32) | int(row[k]), *mine))
                         held += len(mine[0]) + len(mine[1])
                         if held > BATCH_BYTES:
                             yield copies_batch(out)
@@ -248,24 +258,79 @@ def group_rows(shards: Shards, least: float = SIMILARITY, bands: int = BANDS, ro
                 if out:
                     yield copies_batch(out)
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpacked(chosen: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        columns = (chosen.column(c).to_pylist() for c in ("shingles", "weights"))
+        return [(np.frombuffer(s, "u8"), np.frombuffer(w, "f4").astype("f8")) for s, w in zip(*columns, strict=True)]
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The leader of each block against its other texts."""
         for chosen in block_pairs(batches):
+            home, uid = chosen.column("home").to_numpy(), chosen.column("uid").to_numpy()
             if chosen.num_rows < 2:
                 continue
-            i, j, own, uid = (chosen.column(c).to_numpy() for c in ("i", "j", "own", "uid"))
-            found = [(np.frombuffer(s, "u8"), np.frombuffer(w, "f4").astype("f8")) for s, w in zip(chosen.column("shingles").to_pylist(), chosen.column("weights").to_pylist(), strict=True)]
+            found, lead = unpacked(chosen), int(np.argmax(home))
+            linked = [k for k, other in enumerate(found) if k != lead and similarity(found[lead], other) >= least]
+            if linked:
+                yield pa.RecordBatch.from_arrays([pa.array(uid[linked]), pa.array(np.full(len(linked), uid[lead]))], ["a", "b"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts at home in each block against all."""
+        for chosen in block_pairs(batches):
+            home, known, uid = (chosen.column(c).to_numpy() for c in ("home", "known", "uid"))
+            if chosen.num_rows < 2 or not home.any():
+                continue
+            found = unpacked(chosen)
             count = [len(s) for s, _ in found]
             signature = signatures(np.concatenate([s for s, _ in found]), np.concatenate([w for _, w in found]), np.repeat(np.arange(len(found)), count), len(found), coordinates)
-            side = own if i[0] != j[0] else None
-            links = linked_pairs(found, signature, side, bands, least, agreement_floor(least, coordinates))
+            links = linked_pairs(found, signature, home, known, bands, least, agreement_floor(least, coordinates))
             if links:
                 x, y = np.array(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(uid[x]), pa.array(uid[y])], ["a", "b"])
 
-    tasks = verifying_tasks(marks, block, int(shards.spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = shards.beside(marks, ["component", "blocks"]).mapInArrow(sets, "component bigint, i int, j int, own int, uid bigint, shingles binary, weights binary")
-    links = written(pairs.repartition(tasks, "component", "i", "j").sortWithinPartitions("component", "i", "j", "uid").mapInArrow(verify, "a bigint, b bigint"), "dart-links")
-    linked = components(links)
+    def verified(texts: DataFrame, compare, name: str) -> DataFrame:
+        marks = written(marks_of(texts), f"dart-marks-{name}")
+        tasks = verifying_tasks(marks, block, int(shards.spark.conf.get("spark.sql.shuffle.partitions")))
+        copies = shards.beside(marks, MARK).mapInArrow(sets, COPY_SCHEMA).repartition(tasks, "part", "block")
+        return written(copies.sortWithinPartitions("part", "block", "uid").mapInArrow(compare, "a bigint, b bigint"), f"dart-links-{name}")
+
+    # Every text and the leader of one of its buckets: the text that shares buckets with the most others,
+    # which of near copies is the one that they were made from.
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = written(buckets.join(sizes, "key"), "dart-shared")
+    scored = shared.join(shared.groupBy("uid").agg(F.sum("members").alias("score")), "uid")
+    best = F.max(F.struct("score", (-F.col("uid")).alias("uid"))).alias("best")
+    leaders = written(scored.groupBy("key").agg(best).select("key", (-F.col("best.uid")).alias("leader"), F.col("best.score").alias("score")), "dart-leaders")
+    met = shared.join(leaders, "key").filter("uid != leader")
+    stars = met.groupBy("uid").agg(F.max(F.struct("score", (-F.col("leader")).alias("leader"))).alias("best"))
+    stars = written(stars.select("uid", (-F.col("best.leader")).alias("leader")), "dart-stars")
+    parts = stars.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks"))
+    member = stars.join(parts, "leader").withColumn("low", F.pmod(F.xxhash64("uid"), "blocks"))
+    member = member.select("uid", F.col("leader").alias("part"), "low", (F.col("low") + 1).alias("high"), F.lit(False).alias("home"), F.col("uid").alias("known"))
+    centre = parts.select(F.col("leader").alias("uid"), F.col("leader").alias("part"), F.lit(0).alias("low"), F.col("blocks").alias("high"), F.lit(True).alias("home"), F.col("leader").alias("known"))
+    links = verified(member.unionByName(centre), star, "star")
+    linked = written(components(links), "dart-components")
+
+    # Buckets of several components so far, joined at shared texts.
+    known = shared.join(linked.withColumnRenamed("id", "uid"), "uid", "left").select("uid", "key", F.coalesce("component", "uid").alias("known"))
+    known = written(known.join(leaders.select("key", "leader"), "key"), "dart-known")
+    mixed = known.groupBy("key").agg(F.min("known").alias("lowest"), F.max("known").alias("highest")).filter("lowest < highest").select("key")
+    left = written(known.join(mixed, "key"), "dart-left")
+    if not left.isEmpty():
+        joined_parts = components(left.select(F.col("uid").alias("a"), F.col("leader").alias("b")).union(left.select(F.col("uid").alias("a"), F.col("uid").alias("b"))))
+        texts = left.select("uid", "known").distinct().join(joined_parts.select(F.col("id").alias("uid"), F.col("component").alias("part")), "uid")
+        texts = written(texts, "dart-left-texts")
+        groups = texts.groupBy("part", "known").agg(F.count("*").alias("texts"))
+        largest = groups.groupBy("part").agg(F.max(F.struct("texts", "known")).alias("largest"), F.sum("texts").alias("total"))
+        largest = largest.select("part", F.col("largest.known").alias("largest"), F.ceil((F.col("total") - F.col("largest.texts")) / F.lit(block)).alias("blocks"))
+        texts = texts.join(largest, "part").withColumn("own", F.when(F.col("known") != F.col("largest"), F.pmod(F.xxhash64("uid"), "blocks")))
+        # At home in one block, if not of the largest component; in all others beside.
+        ranges = F.array(
+            F.struct(F.lit(0).cast("bigint").alias("low"), F.coalesce("own", "blocks").alias("high"), F.lit(False).alias("home")),
+            F.struct(F.col("own").alias("low"), (F.col("own") + 1).alias("high"), F.lit(True).alias("home")),
+            F.struct((F.col("own") + 1).alias("low"), F.col("blocks").alias("high"), F.lit(False).alias("home")),
+        )
+        spread = texts.select("uid", "part", "known", F.explode(ranges).alias("r")).select("uid", "part", "known", "r.*").filter("low < high")
+        linked = components(links.union(verified(spread, across, "left")))
     # The class of every row, the component of every class, and the smallest row of every component.
     placed = classes.select("a", "b", "n", "first").join(linked, F.col("first.uid") == F.col("id"), "left").select(
         "a", "b", "n", F.col("first").alias("class_first"), F.coalesce("component", F.col("first.uid")).alias("component"))

@@ -234,8 +234,8 @@ def test_pipeline_stages_agree_with_plain_rules(spark, folder):
     assert pipeline.run(spark, folder).count() == len(pieces)
 
 
-def test_verifying_holds_one_pair_of_blocks(spark):
-    rows = [(7, i, j, i, u, b"", b"") for i in range(3) for j in range(i, 3) for u in range(5)]
+def test_verifying_holds_one_block(spark):
+    rows = [(7, i, u == 0, u, u, b"", b"") for i in range(6) for u in range(5)]
     asked = []
 
     def batches():
@@ -243,19 +243,52 @@ def test_verifying_holds_one_pair_of_blocks(spark):
             asked.append(start)
             yield dart_minhash.copies_batch(rows[start : start + 4])
 
-    pairs = dart_minhash.block_pairs(batches())
-    first = next(pairs)
+    blocks = dart_minhash.block_pairs(batches())
+    first = next(blocks)
     assert (first.num_rows, asked) == (5, [0, 4])
-    assert [(t["i"][0].as_py(), t["j"][0].as_py(), t.num_rows) for t in pairs] == [(i, j, 5) for i in range(3) for j in range(i, 3)][1:]
+    assert [(t["block"][0].as_py(), t.num_rows) for t in blocks] == [(i, 5) for i in range(1, 6)]
     assert list(dart_minhash.block_pairs(iter([]))) == []
 
 
 def test_verifying_tasks_grow_with_the_copies(spark):
-    make = lambda texts, blocks: spark.createDataFrame([(0, r, 1, blocks) for r in range(texts)], "shard int, row int, component bigint, blocks int")
+    make = lambda texts, blocks: spark.createDataFrame([(r, 0, blocks) for r in range(texts)], "row int, low int, high int")
     assert dart_minhash.verifying_tasks(make(1000, 50), 20, 4) == 1250
     assert dart_minhash.verifying_tasks(make(10, 1), 20, 4) == dart_minhash.verifying_tasks(make(10, 1).limit(0), 20, 4) == 4
 
 
+def test_copies_of_a_large_group_are_linear(spark, monkeypatch):
+    """Near copies of one text, few of them far from its first one, and texts that hang on these alone."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(160)]
+
+    def varied(text, changes):
+        text = list(text)
+        for _ in range(changes):
+            text[rng.randrange(len(text))] = f"v{rng.randrange(10**9)}"
+        return text
+
+    texts = [base, *(varied(base, 2) for _ in range(400))]
+    edge = base[:-14] + [f"e{k}" for k in range(14)]  # similar to the base
+    texts += [edge, *(edge[14:] + [f"x{j}-{k}" for k in range(5)] for j in range(6))]  # to the edge alone
+    texts += [[f"far{j}-{k}" for k in range(30)] for j in range(20)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    docs = [(n, " ".join(texts[i])) for n, i in enumerate(order)]
+    asked = []
+    monkeypatch.setattr(dart_minhash, "verifying_tasks", lambda marks, block, least: asked.append(marks.agg(F.sum(F.col("high") - F.col("low"))).first()[0] or 0) or least)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in dart_minhash.near_duplicates(frame, block=20).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    assert found == dict(enumerate(root))
+    assert sum(asked) < 4 * len(docs)  # blocks of 20 against each other were 22 copies of each
+
+
 def test_pairs_just_above_a_lower_least_are_found(spark):
     # 77 of 123 shingles are shared: similarity 0.626, which most signatures show as less than 0.64.
     texts = []
