@@ -6,8 +6,10 @@ at each word the longest match that ends there. Where it reaches ``window`` word
 of fewer, the words are hit. Spans of hit words are cut out where a span is longer than
 ``max_span`` words, or everywhere once hits reach ``coverage`` of the document.
 
-Items are split into blocks of at most ``BLOCK_WORDS`` words, so an automaton has a fixed size in
-every worker; with more than one block the documents pass through them in turn, each pass written.
+Items are dealt into blocks of about ``BLOCK_WORDS`` words, so an automaton has a fixed size in every worker;
+a longer item is cut into pieces that overlap by a window less one word, which loses no window. Blocks are
+written to the shared folder, where tasks read them; the driver sees their numbers. With more than one
+block the documents pass through them in turn, each pass written.
 
 Null texts have no words, hits or items and stay null; empty documents and items count likewise.
 Repeated rows are judged each. Without items or documents nothing is hit, or no row comes out.
@@ -21,11 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandframe.llm.common import table, unused_prefix, written
+from strandframe.llm.common import qualified, scratch, table, unused_prefix, written
 
 WINDOW, COVERAGE_PERCENT, BLOCK_WORDS = 13, 5, 100_000
 # Bytes inside words stay (A-Z in lower case), all others become spaces.
@@ -161,45 +165,66 @@ def cut_words(text: str, spans: list[list[int]]) -> str:
     return b"".join([*kept, data[at:]]).decode("utf8", "surrogatepass")
 
 
-def item_blocks(items: DataFrame, id_column: str = "item_id", text_column: str = "text", block_words: int = BLOCK_WORDS) -> list[list[tuple[str, str]]]:
-    """Items packed into blocks of a fixed size; read block by block, one part at a time."""
-    listed = items.select(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).alias("i"), F.col(f"`{text_column}`").alias("t")).filter("t IS NOT NULL").distinct()
-    blocks, block, held = [], [], 0
-    for name, text in listed.toLocalIterator():
-        size = len(words_of(text))
-        if block and held + size > block_words:
-            blocks.append(block)
-            block, held = [], 0
-        block.append((name, text))
-        held += size
-    return [*blocks, block] if block or not blocks else blocks
+def item_blocks(items: DataFrame, id_column: str = "item_id", text_column: str = "text", block_words: int = BLOCK_WORDS, window: int = WINDOW) -> tuple[str, list[int]]:
+    """(path, block numbers): items by block, in folders ``block=number`` below the path."""
+    listed = items.select(F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    most = max(window, block_words // 4)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                starts = range(0, max(1, len(words) - window + 1), most - window + 1) if len(words) > most else [0]
+                for start in starts:
+                    piece = words[min(start, max(0, len(words) - most)) :][:most]
+                    rows.append((name, b" ".join(piece).decode("utf8", "surrogatepass"), len(piece)))
+            names, texts, sizes = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["item", "text", "words"])
+
+    pieces = written(listed.filter("text IS NOT NULL").mapInArrow(cut, "item string, text string, words bigint").filter("words > 0").distinct(), "items")
+    total = pieces.agg(F.sum("words")).first()[0] or 0
+    # Blocks are half full on average: with pieces of a quarter at most none is much larger than asked for.
+    count = 1 if total <= block_words else -(-2 * total // block_words)
+    path = scratch(items.sparkSession, "item-blocks")
+    dealt = pieces.select("item", "text", F.pmod(F.xxhash64("item", "text"), F.lit(count)).alias("block"))
+    dealt.repartition("block").write.partitionBy("block").parquet(path)
+    return path, sorted(r.block for r in dealt.select("block").distinct().collect())
+
+
+def read_items(path: str, block: int) -> list[tuple[str, str]]:
+    """The items of a block."""
+    store, folder = fs.FileSystem.from_uri(qualified(path))
+    files = store.get_file_info(fs.FileSelector(f"{folder}/block={block}"))
+    found = [pq.read_table(f.path, columns=["item", "text"], filesystem=store, partitioning=None) for f in files if f.path.endswith(".parquet")]
+    return [pair for t in found for pair in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)]
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_column: str = "text", prefix: str = "", keep_text: bool = True, block_words: int = BLOCK_WORDS, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit, spans (word places) and items (sorted as strings) per row."""
-    blocks = item_blocks(items, item_id, item_text, block_words)
+    path, blocks = item_blocks(items, item_id, item_text, block_words, window)
     names = [prefix + n for n in ("n_words", "n_hit", "spans", "items")]
     added = [T.LongType(), T.LongType(), T.ArrayType(T.ArrayType(T.IntegerType())), T.ArrayType(T.StringType())]
     current = docs.drop(*names)
-    for number, block in enumerate(blocks):
-        last = number == len(blocks) - 1
+    for number, block in enumerate(blocks or [None]):
+        last = number >= len(blocks) - 1
         drop = {text_column} if last and not keep_text else set()
         inner = current.columns
         out_fields = [f for f in current.schema.fields if f.name not in drop and f.name not in names]
         schema = T.StructType([*out_fields, *(T.StructField(n, t) for n, t in zip(names, added, strict=True))])
-        current = current.mapInArrow(_matcher(block, window, inner, text_column, names, schema, number > 0), schema)
+        current = current.mapInArrow(_matcher(path, block, window, inner, text_column, names, schema, number > 0), schema)
         if not last:
             current = written(current, "decontaminate")
     return current
 
 
-def _matcher(block, window, columns, text_column, names, schema, again):
+def _matcher(path, block, window, columns, text_column, names, schema, again):
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(block, window)
+        automaton = Automaton([] if block is None else read_items(path, block), window)
         at = columns.index(text_column)
         for batch in batches:
             out = {n: [] for n in names}

@@ -346,3 +346,17 @@ def test_attachment_types_add_no_turns(spark):
     rows = {r.conv_id: r for r in chat.format_chat(frame).select("conv_id", "formatted", "attachments", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
     assert len(rows[1].turns) == 1 and rows[1].turns[0].role == "user" and rows[1].attachments[0].type == kind
     assert rows[2].formatted == "<|im_start|>user\n<|image:0|><|im_end|>\n"
+
+
+def test_long_items_are_cut_without_losing_windows(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(400)}" for _ in range(900)]
+    items = spark.createDataFrame([("long", " ".join(words)), ("short", "x y z")], "item_id string, text string")
+    docs = [(i, " ".join(words[k : k + 13])) for i, k in enumerate(range(0, 888, 7))] + [(900, "a x y z b"), (901, " ".join(words[:12])), (902, " ".join(words))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    path, blocks = decontaminate.item_blocks(items, block_words=120)
+    sizes = [sum(len(t.split()) for _, t in decontaminate.read_items(path, b)) for b in blocks]
+    assert len(blocks) > 5 and max(sizes) <= 2 * 120
+    found = {r.doc_id: r for r in decontaminate.find_hits(frame, items, block_words=120).collect()}
+    assert all(found[i].n_hit == 13 and found[i]["items"] == ["long"] for i, _ in docs[:-3])
+    assert (found[900].n_hit, found[901].n_hit, found[902].n_hit) == (3, 0, 900)
