@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandframe.functions.codes import STRUCTURE_LABELS
 from strandframe.operators import conditions as across
 from strandframe.operators import groups, metrics, reports, trends
+from strandframe.operators.ranking import aggregate_with_medians
 from strandframe.sources.kept import Kept
 from strandframe.sources.readers import union_tables
 
@@ -324,8 +325,13 @@ def _(spark, folder):
 
 @query("a21_errors_by_hot_category", _BY_CATEGORY_SQL)
 def _(spark, folder):
-    """The median plan for categories too large for one task, forced by a low limit."""
-    return fix(groups.errors_by_category(results(spark, folder).persist(), MODELS, max_group_rows=10), 3)
+    """Medians beside any aggregates, by the plan for categories too large for one task, forced by a low limit."""
+    columns = [F.col(f"{m}_abs_error") for m in MODELS]
+    found = aggregate_with_medians(
+        results(spark, folder).select("resname", *columns).persist(), ["resname"],
+        [F.count(F.lit(1)).alias("count"), *[f(c).alias(f"{m}_{n}_error") for m, c in zip(MODELS, columns, strict=True) for n, f in (("mean", F.avg), ("std", F.stddev_samp))]],
+        {f"{m}_median_error": c for m, c in zip(MODELS, columns, strict=True)}, max_group_rows=10)
+    return fix(found, 3)
 
 
 # ---- cross-condition ---------------------------------------------------------
@@ -706,7 +712,7 @@ _PARTS = {
         f"SELECT '{p}' AS property, {e} AS value, count(*) AS \"count\", {_summary_sql('alpha_abs_error', '')} FROM results, span GROUP BY 2" for p, e in _PARTS.items())),
 )
 def _(spark, folder):
-    return fix(reports.errors_by_property(results(spark, folder).persist(), "alpha"), 3)
+    return fix(reports.errors_by_property(results(spark, folder), "alpha"), 3)
 
 
 @query("r5_model_pairs", with_(RESULTS, "SELECT " + ", ".join(ra(c, c, 2) for c in ("actual", "alpha_predicted", "beta_predicted")) + " FROM results"))

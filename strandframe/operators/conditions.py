@@ -28,8 +28,9 @@ from .metrics import (
     rmse,
     uncertainty_column,
 )
-from .ranking import aggregate_with_medians, pooled_quantiles
+from .ranking import pooled_quantiles
 from .skew import match_keys
+from .statistics import group_statistics
 
 ID_AND_CODE_COLUMNS = ("resid", "secondary_structure_encoded", "core_exterior_encoded", "resname_encoded")
 
@@ -210,31 +211,25 @@ def grouped_errors(
     models: Sequence[str],
     labels: Mapping | None = None,
     missing: str = "nan",
-    **limits,
 ) -> DataFrame:
     """Per key value: rows, and mean / median / sample std of absolute error per model and condition.
 
     Rows without a key form a group of their own, shown as ``missing``.
     """
-    aggregates, medians = [F.count(F.lit(1)).alias("count")], {}
-    for m in models:
-        for c in conditions:
-            error = F.col(f"{m}_abs_error_{c}")
-            aggregates += [
-                F.avg(error).alias(f"{m}_mean_abs_error_{c}"),
-                F.stddev_samp(error).alias(f"{m}_std_abs_error_{c}"),
-            ]
-            medians[f"{m}_median_abs_error_{c}"] = error
-    summary = aggregate_with_medians(wide, [key], aggregates, medians, **limits)
+    columns = {f"{m}|{c}": f"{m}_abs_error_{c}" for m in models for c in conditions}
+    found = group_statistics(wide, [key], columns)
+    summary = found.select(
+        key, "count", *[F.col(f"`{m}|{c}_{s}`").alias(f"{m}_{s}_abs_error_{c}") for m in models for c in conditions for s in ("mean", "std", "median")]
+    )
     shown = label(F.col(key), labels) if labels else F.col(key).cast("string")
     return summary.withColumn(key, F.coalesce(shown, F.lit(missing)))
 
 
 def structure_errors(
-    wide: DataFrame, key: str, conditions: Sequence[int | str], models: Sequence[str], labels: Mapping, **limits
+    wide: DataFrame, key: str, conditions: Sequence[int | str], models: Sequence[str], labels: Mapping
 ) -> DataFrame:
     """Grouped errors by structure code, unknown structure shown as 'Unknown'."""
-    return grouped_errors(wide, key, conditions, models, labels, missing="Unknown", **limits)
+    return grouped_errors(wide, key, conditions, models, labels, missing="Unknown")
 
 
 def binned_errors(

@@ -12,7 +12,7 @@ from ..functions.bins import cut_bin, cut_edges, value_range
 from ..functions.codes import STRUCTURE_NAMES, lookup
 from ..functions.numeric import pearson
 from .metrics import abs_error_column, mae, predicted_column, r2, rmse
-from .ranking import aggregate_with_medians
+from .statistics import group_statistics
 
 
 def composition(df: DataFrame) -> list[Column]:
@@ -76,31 +76,29 @@ def group_error_metrics(
 
 
 def error_summary(
-    df: DataFrame, key: str, errors: Mapping[str, str], keep_null: bool = False, **limits
+    df: DataFrame, key: str | Sequence[str], errors: Mapping[str, str], keep_null: bool = False
 ) -> DataFrame:
     """Per key: row count, and mean / median / sample std of each error column.
 
     ``errors`` maps an output prefix to its column; an empty prefix gives bare names.
     """
-    rows = df if keep_null else df.filter(F.col(key).isNotNull())
-    aggregates, medians = [F.count(F.lit(1)).alias("count")], {}
-    for prefix, column in errors.items():
+    keys = [key] if isinstance(key, str) else list(key)
+    rows = df if keep_null else df.dropna(subset=keys)
+    found = group_statistics(rows, keys, {f"e{i}": column for i, column in enumerate(errors.values())})
+    columns = []
+    for i, prefix in enumerate(errors):
         lead = f"{prefix}_" if prefix else ""
-        aggregates += [
-            F.avg(column).alias(f"{lead}mean_error"),
-            F.stddev_samp(column).alias(f"{lead}std_error"),
-        ]
-        medians[f"{lead}median_error"] = F.col(column)
-    return aggregate_with_medians(rows, [key], aggregates, medians, **limits)
+        columns += [F.col(f"e{i}_{s}").alias(f"{lead}{s}_error") for s in ("mean", "std", "median")]
+    return found.select(*keys, "count", *columns)
 
 
-def errors_by_category(df: DataFrame, models: Sequence[str], category: str = CATEGORY, **limits) -> DataFrame:
-    return error_summary(df, category, {m: abs_error_column(m) for m in models}, **limits)
+def errors_by_category(df: DataFrame, models: Sequence[str], category: str = CATEGORY) -> DataFrame:
+    return error_summary(df, category, {m: abs_error_column(m) for m in models})
 
 
-def errors_by_structure(df: DataFrame, models: Sequence[str], structure: str = STRUCTURE, **limits) -> DataFrame:
+def errors_by_structure(df: DataFrame, models: Sequence[str], structure: str = STRUCTURE) -> DataFrame:
     """Errors per structure class, shown by name (``unknown_<code>`` for other codes)."""
-    summary = error_summary(df, structure, {m: abs_error_column(m) for m in models}, **limits)
+    summary = error_summary(df, structure, {m: abs_error_column(m) for m in models})
     name = F.coalesce(
         lookup(F.col(structure), STRUCTURE_NAMES), F.concat(F.lit("unknown_"), F.col(structure).cast("string"))
     )
@@ -108,16 +106,16 @@ def errors_by_structure(df: DataFrame, models: Sequence[str], structure: str = S
 
 
 def errors_by_position(
-    df: DataFrame, models: Sequence[str], bins: int = 20, position: str | None = None, **limits
+    df: DataFrame, models: Sequence[str], bins: int = 20, position: str | None = None
 ) -> DataFrame:
     """Errors per bin of the scaled position, or per raw position if there is none."""
     position = position or (SCALED_POSITION if SCALED_POSITION in df.columns else POSITION)
     errors = {m: abs_error_column(m) for m in models}
     if position == POSITION:
-        return error_summary(df, POSITION, errors, **limits)
+        return error_summary(df, POSITION, errors)
     span = value_range(df, position)
     edges = cut_edges(*(span or (0.0, 1.0)), bins)
     binned = df.withColumn("resid_bin", cut_bin(F.col(position), edges))
-    return error_summary(binned, "resid_bin", errors, **limits)
+    return error_summary(binned, "resid_bin", errors)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import CATEGORY, CONDITION, GROUP, POSITION, SCALED_POSITION, STRUCTURE, SURFACE
@@ -15,7 +15,6 @@ from ..functions.codes import POSITION_LABELS, STRUCTURE_LABELS, SURFACE_LABELS,
 from .filters import around_position
 from .groups import error_summary
 from .metrics import abs_error_column, predicted_column
-from .ranking import aggregate_with_medians
 from .skew import group_sizes
 from .splits import sample_rows
 
@@ -44,9 +43,8 @@ def best_model(metrics: DataFrame) -> str | None:
     return named.agg(F.min("model")).first()[0]
 
 
-def categories_by_median_error(df: DataFrame, error: str, category: str = CATEGORY, **limits) -> DataFrame:
-    named = df.filter(F.col(category).isNotNull())
-    medians = aggregate_with_medians(named, [category], [], {"median_error": F.col(error)}, **limits)
+def categories_by_median_error(df: DataFrame, error: str, category: str = CATEGORY) -> DataFrame:
+    medians = error_summary(df, category, {"": error}).select(category, "median_error")
     return medians.orderBy("median_error", category)
 
 
@@ -97,26 +95,20 @@ def _position_edges(df: DataFrame, bins: int) -> list[float]:
     return cut_edges(*(value_range(df, SCALED_POSITION) or (0.0, 1.0)), bins)
 
 
-def errors_by_property(df: DataFrame, model: str, **limits) -> DataFrame:
-    """Errors by structure, by surface and by five named parts of the sequence."""
-    error = {"": abs_error_column(model)}
-    parts: list[tuple[str, DataFrame, str, Mapping]] = []
+def errors_by_property(df: DataFrame, model: str) -> DataFrame:
+    """Errors by structure, by surface and by five named parts of the sequence, in one pass over the rows."""
+    parts: list[tuple[str, Column]] = []
     if STRUCTURE in df.columns:
-        parts.append(("secondary_structure", df, STRUCTURE, STRUCTURE_LABELS))
+        parts.append(("secondary_structure", label(F.col(STRUCTURE), STRUCTURE_LABELS)))
     if SURFACE in df.columns:
-        parts.append(("surface_exposure", df, SURFACE, SURFACE_LABELS))
+        parts.append(("surface_exposure", label(F.col(SURFACE), SURFACE_LABELS)))
     if SCALED_POSITION in df.columns:
-        bins = len(POSITION_LABELS)
-        placed = df.withColumn("__part", cut_bin(F.col(SCALED_POSITION), _position_edges(df, bins)))
-        parts.append(("sequence_position", placed, "__part", dict(enumerate(POSITION_LABELS))))
-    tables = [
-        error_summary(rows, key, error, **limits).select(
-            F.lit(name).alias("property"), label(F.col(key), labels).alias("value"),
-            "count", "mean_error", "median_error", "std_error",
-        )
-        for name, rows, key, labels in parts
-    ]
-    return reduce(lambda a, b: a.unionByName(b), tables)
+        placed = cut_bin(F.col(SCALED_POSITION), _position_edges(df, len(POSITION_LABELS)))
+        parts.append(("sequence_position", label(placed, dict(enumerate(POSITION_LABELS)))))
+    entries = F.array(*[F.struct(F.lit(name).alias("property"), value.alias("value")) for name, value in parts])
+    error = abs_error_column(model)
+    rows = df.select(F.col(error), F.inline(entries)).filter(F.col("value").isNotNull())
+    return error_summary(rows, ["property", "value"], {"": error}).select("property", "value", "count", "mean_error", "median_error", "std_error")
 
 
 def model_pairs(df: DataFrame, actual: str, models: Sequence[str]) -> dict[tuple[str, str], DataFrame]:
