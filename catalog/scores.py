@@ -60,23 +60,6 @@ def _(spark, folder):
     return _fix_wide(joined, _WIDE_COLUMNS)
 
 
-@query(
-    "j1_repeated_keys",
-    "WITH o AS (SELECT l_suppkey, l_linenumber, l_returnflag, l_quantity AS y FROM lineitem WHERE l_linestatus = 'O' AND l_linenumber > 5 AND l_suppkey % 7 = 0), "
-    "f AS (SELECT l_suppkey, l_linenumber, l_returnflag, l_quantity AS y FROM lineitem WHERE l_linestatus = 'F' AND l_linenumber > 5 AND l_suppkey % 7 = 0) "
-    "SELECT coalesce(o.l_suppkey, f.l_suppkey) AS domain_id, coalesce(o.l_linenumber, f.l_linenumber) AS resid, coalesce(o.l_returnflag, f.l_returnflag) AS resname, "
-    "o.y AS \"actual_O\", f.y AS \"actual_F\", o.y + 1 AS \"alpha_pred_O\", f.y + 1 AS \"alpha_pred_F\" "
-    "FROM o FULL JOIN f ON o.l_suppkey = f.l_suppkey AND o.l_linenumber = f.l_linenumber AND o.l_returnflag = f.l_returnflag",
-)
-def _(spark, folder):
-    """Keys that repeat within a condition pair up as in a join; no row mixes two others."""
-    long = table(spark, folder, "lineitem").filter("l_linenumber > 5 AND l_suppkey % 7 = 0").select(
-        F.col("l_suppkey").alias("domain_id"), F.col("l_linenumber").alias("resid"), F.col("l_returnflag").alias("resname"),
-        F.col("l_linestatus").alias("condition"), F.col("l_quantity").alias("actual"), (F.col("l_quantity") + 1).alias("alpha_predicted"))
-    paired = across.align_conditions(long, ["O", "F"], ["alpha"], unique_keys=False)
-    return paired.select(*CELL_KEYS, "actual_O", "actual_F", "alpha_pred_O", "alpha_pred_F")
-
-
 @query(
     "j1_repeated_keys_all",
     "WITH o AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS y FROM lineitem WHERE l_linestatus = 'O'), "
