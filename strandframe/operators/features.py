@@ -228,7 +228,7 @@ def feature_names(df: DataFrame, enabled: Sequence[str], k: int = 0) -> list[str
         offset_name(f, i) for f in base for i in offsets(k) if offset_name(f, i) in df.columns
     )
     if not base:
-        raise ValueError("no valid features selected or available")
+        raise ValueError(f"the table has none of the inputs {sorted(enabled)}")
     return base + around
 
 
