@@ -7,6 +7,7 @@ the texts shuffled to them. What they need to know of a shard comes as ordered r
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,7 +138,12 @@ def without_rows(shards: Shards, dropped: DataFrame) -> DataFrame:
 
 
 def in_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``limit`` bytes of text; a longer text comes alone."""
+    """Slices of about ``limit`` bytes of text; a longer text comes alone.
+
+    The worker may have run another operator before: what that kept for its own next task goes first.
+    """
+    if (tokens := sys.modules.get("strandframe.llm.tokens")) is not None:
+        tokens.forget_pieces()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start, held = 0, 0

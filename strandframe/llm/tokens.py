@@ -1,21 +1,21 @@
 """Token ids of whole texts by a public vocabulary, through the tokenizers library.
 
 Both vocabularies split a text at white space before any merge, so a text is the sequence of its
-pieces "white space, then a word", each encoded on its own. Pieces recur, so a task keeps the ids of
-those it has met, up to a fixed number; the library encodes every other piece. At its end the task gives up
-all but a few, so that they are not held beside the work of later stages.
+pieces "white space, then a word", each encoded on its own. Pieces recur, so each worker keeps the
+ids of those it has met, up to a fixed number; the library encodes every other piece. They are kept from
+task to task, and given up by the first task of another operator in that worker.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import islice
 
-CACHED_PIECES, KEPT_PIECES = 700_000, 50_000
+import numpy as np
+
+CACHED_PIECES = 700_000
 CACHED_CHARS = 64
 # White space as Unicode defines it, which the vocabularies' own patterns use.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -59,16 +59,25 @@ class Encoder:
         return found
 
     def _encode(self, keys: list[str]) -> list[bytes]:
+        """The pieces joined in chunks, then told apart by where tokens start."""
+        codes: list[bytes] = []
         pieces = [k[1:] if k[0] == "\r" else k if k[0] == "\n" else " " + k for k in keys]
-        found = []
-        for start in range(0, len(pieces), 10_000):
-            codes = self.tokenizer.encode_batch_fast(pieces[start : start + 10_000], add_special_tokens=False)
-            found += [array("I", code.ids).tobytes() for code in codes]
-        return found
-
-    def forget(self) -> None:
-        """Gives up all but the pieces met first, which are the frequent ones."""
-        self.known = dict(islice(self.known.items(), KEPT_PIECES))
+        plain = [i for i, k in enumerate(keys) if k[0] != "\r"]
+        codes = [b""] * len(keys)
+        for start in range(0, len(plain), 2000):
+            part = plain[start : start + 2000]
+            text = "".join(pieces[i] for i in part)
+            code = self.tokenizer.encode(text, add_special_tokens=False)
+            ends = np.cumsum([len(pieces[i]) for i in part])
+            begins = np.fromiter((o[0] for o in code.offsets), "i8", len(code.offsets))
+            cuts = [0, *(4 * np.searchsorted(begins, ends)).tolist()]
+            data = np.asarray(code.ids, "<u4").tobytes()
+            for i, a, b in zip(part, cuts, cuts[1:], strict=False):
+                codes[i] = data[a:b]
+        odd = [i for i, k in enumerate(keys) if k[0] == "\r"]
+        for i, code in zip(odd, self.tokenizer.encode_batch_fast([pieces[i] for i in odd], add_special_tokens=False), strict=True):
+            codes[i] = np.asarray(code.ids, "<u4").tobytes()
+        return codes
 
 
 def _keys(text: str) -> list[str]:
@@ -98,10 +107,12 @@ _encoders: dict[str, Encoder] = {}
 
 @contextmanager
 def encoder(path: str) -> Iterator[Encoder]:
-    """The worker's encoder of a vocabulary; most pieces that a task has met go with it."""
+    """One encoder per worker process and vocabulary."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    try:
-        yield _encoders[path]
-    finally:
-        _encoders[path].forget()
+    yield _encoders[path]
+
+
+def forget_pieces() -> None:
+    """Gives up the ids that this worker has kept."""
+    _encoders.clear()
