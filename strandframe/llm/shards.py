@@ -142,7 +142,7 @@ def in_batches(batches: Iterator[pa.RecordBatch], text: int, limit: int = BATCH_
 
     The worker may have run another operator before: what that kept for its own next task goes first.
     """
-    if (tokens := sys.modules.get("strandframe.llm.tokens")) is not None:
+    if (tokens := sys.modules.get("strandframe.llm.tokens")) is not None and tokens._encoders:
         tokens.forget_pieces()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

@@ -3,19 +3,23 @@
 Both vocabularies split a text at white space before any merge, so a text is the sequence of its
 pieces "white space, then a word", each encoded on its own. Pieces recur, so each worker keeps the
 ids of those it has met, up to a fixed number; the library encodes every other piece. They are kept from
-task to task, and given up by the first task of another operator in that worker.
+task to task, and given up once the worker has had no such task for a moment or begins another operator.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
+import threading
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 
 CACHED_PIECES = 700_000
+IDLE_SECONDS = 1.0
 CACHED_CHARS = 64
 # White space as Unicode defines it, which the vocabularies' own patterns use.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -105,14 +109,28 @@ def encoded(texts, codes: Encoder, chars: int = 1 << 20):
 _encoders: dict[str, Encoder] = {}
 
 
+_idle: list[threading.Timer] = []
+
+
 @contextmanager
 def encoder(path: str) -> Iterator[Encoder]:
     """One encoder per worker process and vocabulary."""
+    while _idle:
+        _idle.pop().cancel()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    yield _encoders[path]
+    try:
+        yield _encoders[path]
+    finally:
+        timer = threading.Timer(IDLE_SECONDS, forget_pieces)
+        timer.daemon = True
+        timer.start()
+        _idle.append(timer)
 
 
 def forget_pieces() -> None:
-    """Gives up the ids that this worker has kept."""
+    """Gives up the ids that this worker has kept, and their memory."""
     _encoders.clear()
+    gc.collect()
+    with suppress(OSError, AttributeError):  # other C libraries return freed memory by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
