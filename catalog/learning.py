@@ -17,7 +17,7 @@ from strandframe.sources.readers import union_tables
 
 from .base import RESULTS, ROW_KEYS, fix, p_value_sql, query, r, ra, results, scratch, with_
 
-FEATURES = ["bulky", "dear", "structure", "surface"]
+FEATURES = ["bulky", "reduced", "structure", "surface"]
 PAIR = FEATURES[:2]
 # Trees that see all rows and all inputs are alike, and split until every combination of inputs has its
 # own leaf, so a prediction is the mean label of the combination.
@@ -43,19 +43,19 @@ def labelled(spark, folder):
 
 
 def classed(spark, folder):
-    """All scored lines by inputs of two or three values, the first model's value in thousands as label."""
+    """All scored lines by inputs of two or three values, the first model's value in thousands and the discount in percent as label."""
     rows = results(spark, folder)
     return rows.select(
         *ROW_KEYS, "domain_id",
-        (F.col("l_quantity") > 25).cast("int").alias("bulky"), (F.col("p_retailprice") > 950).cast("int").alias("dear"),
+        (F.col("l_quantity") > 25).cast("int").alias("bulky"), (F.col("l_discount") > 0.05).cast("int").alias("reduced"),
         F.col("secondary_structure_encoded").alias("structure"), F.col("core_exterior_encoded").alias("surface"),
-        (F.col("alpha_predicted") / 1000).alias("label"),
+        (F.col("alpha_predicted") / 1000 + 100 * F.col("l_discount")).alias("label"),
     )
 
 
 _ROWS = RESULTS + f""", rows AS MATERIALIZED (
-  SELECT {", ".join(ROW_KEYS)}, domain_id, CAST(l_quantity > 25 AS INTEGER) AS bulky, CAST(p_retailprice > 950 AS INTEGER) AS dear,
-    secondary_structure_encoded AS structure, core_exterior_encoded AS surface, alpha_cents / 100.0::DOUBLE / 1000 AS y,
+  SELECT {", ".join(ROW_KEYS)}, domain_id, CAST(l_quantity > 25 AS INTEGER) AS bulky, CAST(l_discount > 0.05 AS INTEGER) AS reduced,
+    secondary_structure_encoded AS structure, core_exterior_encoded AS surface, alpha_cents / 100.0::DOUBLE / 1000 + 100 * l_discount AS y,
     {_HASH.format(_LINE, 42)} AS h, {_GROUP_HASH} AS gh
   FROM results)"""
 _SHARE = 0.15 / (1 - 0.2)
@@ -75,7 +75,7 @@ def _means(name: str, train: str, test: str, inputs=FEATURES) -> str:
 def _stumps(name: str, train: str, test: str, rate: float = RATE) -> str:
     """``test`` with p1 and p2, the predictions after one and two rounds fitted on ``train``."""
     def pick(number: int) -> str:
-        return f"CASE (SELECT f FROM {name}_best{number}) WHEN 'bulky' THEN bulky ELSE dear END"
+        return f"CASE (SELECT f FROM {name}_best{number}) WHEN 'bulky' THEN bulky ELSE reduced END"
 
     def chosen(number: int, source: str, label: str) -> str:
         gains = " UNION ALL ".join(f"SELECT '{f}' AS f, sum(n * m * m) AS g FROM (SELECT count(*) AS n, avg({label}) AS m FROM {source} GROUP BY {f})" for f in PAIR)
@@ -189,8 +189,8 @@ def _(spark, folder):
 
 _MEMBERS = {"epochs": 1, "max_depth": 2}
 _ENSEMBLE = ", ".join(
-    f"member{i} AS (SELECT bulky, dear, avg(y) AS p{i} FROM train WHERE NOT {_HELD_OUT} AND {_HASH.format(_LINE, 43 + i)} < {int(0.7 * 2**52)} GROUP BY bulky, dear)" for i in range(3)
-) + ", joined AS (SELECT *, (p0 + p1 + p2) / 3 AS p FROM test JOIN member0 USING (bulky, dear) JOIN member1 USING (bulky, dear) JOIN member2 USING (bulky, dear)), " \
+    f"member{i} AS (SELECT bulky, reduced, avg(y) AS p{i} FROM train WHERE NOT {_HELD_OUT} AND {_HASH.format(_LINE, 43 + i)} < {int(0.7 * 2**52)} GROUP BY bulky, reduced)" for i in range(3)
+) + ", joined AS (SELECT *, (p0 + p1 + p2) / 3 AS p FROM test JOIN member0 USING (bulky, reduced) JOIN member1 USING (bulky, reduced) JOIN member2 USING (bulky, reduced)), " \
     "scored AS (SELECT *, sqrt(((p0 - p) ** 2 + (p1 - p) ** 2 + (p2 - p) ** 2) / 3) AS s FROM joined)"
 
 
@@ -347,10 +347,10 @@ def _(spark, folder):
 
 
 _LINE_FIT = (
-    "moments AS (SELECT avg(y) AS my, avg(bulky) AS m1, avg(dear) AS m2, covar_pop(bulky, y) AS c1, covar_pop(dear, y) AS c2, "
-    "covar_pop(bulky, dear) AS c12, var_pop(bulky) AS v1, var_pop(dear) AS v2 FROM train), "
+    "moments AS (SELECT avg(y) AS my, avg(bulky) AS m1, avg(reduced) AS m2, covar_pop(bulky, y) AS c1, covar_pop(reduced, y) AS c2, "
+    "covar_pop(bulky, reduced) AS c12, var_pop(bulky) AS v1, var_pop(reduced) AS v2 FROM train), "
     "slopes AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM moments), "
-    "lined AS (SELECT y, my + b1 * (bulky - m1) + b2 * (dear - m2) AS p FROM test, slopes)"
+    "lined AS (SELECT y, my + b1 * (bulky - m1) + b2 * (reduced - m2) AS p FROM test, slopes)"
 )
 
 
