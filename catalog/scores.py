@@ -352,7 +352,8 @@ _A23 = ("rmse", "r2", "pearson_correlation", "median_absolute_error")
     with_(CELLS, _per_model(lambda m: ", ".join(ra(_metric_sql(m)[k][0], k, 3) for k in _A23), "cells", "condition")),
 )
 def _(spark, folder):
-    return fix(across.condition_metrics(cells(spark, folder), MODELS, _A23), 3)
+    rows = cells(spark, folder).select("condition", "actual", *PREDICTIONS.values()).persist()
+    return fix(across.condition_metrics(rows, MODELS, _A23), 3)
 
 
 def _p_sql(r2: str, n: str) -> str:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import to_number
-from .radix import Digits, even_cuts, select_ranks
-from .skew import count_hot_groups, hot_keys, match_keys
+from .radix import DIGIT, Digits, even_cuts, key_value, select_ranks, sort_key
+from .skew import BROADCAST_KEYS, count_hot_groups, hot_keys, match_keys
 
 _BUCKET = "__bucket"
 
@@ -145,17 +145,37 @@ def _quantiles(digits: Digits, probabilities: Sequence[float], limit: int) -> li
     ]
 
 
-def _middle_of(keys: Sequence[str], ranks: DataFrame, name: str) -> DataFrame:
-    """Median per key from value ranks."""
-    sizes = ranks.groupBy(*keys).agg(F.sum("n").alias("__n"))
-    joined = match_keys(ranks, sizes, keys, "inner")
-    end = F.col("n_before") + F.col("n")
+def _medians_by_digits(values: DataFrame, keys: Sequence[str], names: Sequence[str], few: bool) -> DataFrame:
+    """(keys, median of each double column of ``names``) of groups of any size.
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("n_before") <= rank) & (rank < end), F.col("value")))
-
-    low, high = F.floor((F.col("__n") - 1) / 2), F.ceil((F.col("__n") - 1) / 2)
-    return joined.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))
+    As in ``Digits``, for all groups and columns at once: rows are counted by the next digit of their sort key,
+    combined before the shuffle, and the digit that holds a wanted rank is followed. What is shuffled are counts, at
+    most 2^DIGIT a group and column; no group's values meet in one task. ``few``: the groups may be broadcast.
+    """
+    entries = [F.struct(F.lit(j).alias("__j"), sort_key(F.col(f"`{n}`"), T.DoubleType()).alias("__key")) for j, n in enumerate(names)]
+    rows = values.select(*keys, F.inline(F.array(*entries))).filter(F.col("__key").isNotNull())
+    parts = [*keys, "__j"]
+    digit = F.shiftright("__key", 64 - DIGIT)
+    counted = rows.groupBy(*parts, digit.alias("__prefix")).agg(F.count(F.lit(1)).alias("__n"))
+    total = F.sum("__n").over(Window.partitionBy(*parts))
+    counted = counted.withColumn("__ranks", F.array(*[((total - 1 + up) / 2).cast("long") for up in (0, 1)]))
+    counted = counted.select(*parts, "__prefix", "__n", F.posexplode("__ranks").alias("__r", "__rank"))
+    for bits in range(DIGIT, 65, DIGIT):
+        within = Window.partitionBy(*parts, "__r").orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("__n").over(within), F.lit(0))
+        at = counted.withColumn("__before", before).filter((F.col("__before") <= F.col("__rank")) & (F.col("__rank") < F.col("__before") + F.col("__n")))
+        at = at.select(*parts, "__r", "__prefix", (F.col("__rank") - F.col("__before")).alias("__rank"))
+        if bits == 64:
+            break
+        inside = rows.withColumn("__prefix", F.shiftright("__key", 64 - bits))
+        held = match_keys(inside, F.broadcast(at) if few else at, [*parts, "__prefix"], "inner", known=["__j", "__prefix"])
+        counted = held.groupBy(*parts, "__r", "__rank", F.shiftright("__key", 64 - DIGIT - bits).alias("__prefix")).agg(F.count(F.lit(1)).alias("__n"))
+
+    def median(j: int) -> Column:
+        low, high = (F.max(F.when((F.col("__j") == j) & (F.col("__r") == r), key_value(F.col("__prefix")))) for r in (0, 1))
+        return (low + high) / 2
+
+    return at.groupBy(*keys).agg(*[median(j).alias(n) for j, n in enumerate(names)])
 
 
 def aggregate_with_medians(
@@ -168,7 +188,7 @@ def aggregate_with_medians(
     """``groupBy(keys).agg(aggregates)`` plus exact medians.
 
     The built-in median buffers a group's values in one task, so it is used for groups
-    of a checked size only; the values of larger groups are ranked over many tasks.
+    of a checked size only; those of larger groups are found by digits, counted over many tasks.
     """
     if not medians:
         return df.groupBy(*keys).agg(*aggregates)
@@ -185,9 +205,6 @@ def aggregate_with_medians(
     hot = hot_keys(df, keys, max_group_rows, n_hot)
     large = match_keys(values, hot, keys, "left_semi")
     small = match_keys(values, hot, keys, "left_anti")
-    result = df.groupBy(*keys).agg(*aggregates)
-    for name in medians:
-        of_small = small.groupBy(*keys).agg(F.median(name).alias(name))
-        of_large = _middle_of(keys, value_ranks(large, name, keys), name)
-        result = match_keys(result, of_small.unionByName(of_large), keys, "left")
-    return result
+    of_small = small.groupBy(*keys).agg(*[F.median(name).alias(name) for name in medians])
+    of_large = _medians_by_digits(large, keys, list(medians), n_hot <= BROADCAST_KEYS)
+    return match_keys(df.groupBy(*keys).agg(*aggregates), of_small.unionByName(of_large), keys, "left")
