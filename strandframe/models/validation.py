@@ -83,7 +83,8 @@ def cross_validate(
 
 def q_squared(df: DataFrame, features: Sequence[str], keys: Sequence[str], folds: int = 5, seed: int = 42) -> float:
     """Mean R2 over folds of a linear regression on the features."""
-    placed = hash_folds(df, folds, keys, seed)
+    # the folds and what is fitted on, alone: read twice per fold
+    placed = hash_folds(df, folds, keys, seed).select("fold", "label", *features).persist()
     search = CrossValidator(
         estimator=linear(features),
         estimatorParamMaps=ParamGridBuilder().build(),
@@ -91,7 +92,10 @@ def q_squared(df: DataFrame, features: Sequence[str], keys: Sequence[str], folds
         numFolds=folds,
         foldCol="fold",
     )
-    return float(search.fit(placed).avgMetrics[0])
+    try:
+        return float(search.fit(placed).avgMetrics[0])
+    finally:
+        placed.unpersist()
 
 
 def _value(name: str, value):
