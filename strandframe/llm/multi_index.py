@@ -165,16 +165,17 @@ class Block:
         self.grid = grid
         self.entry, self.times, self.row, self.cell = (found.column(c).to_numpy() for c in ("entry", "times", "row", "cell"))
         self.raw = stacked(found.column("raw"), kind)
-        halves, near, turned = [], [], []
-        for start in range(0, len(self.raw), 4096):
-            unit = unit_rows(self.raw[start : start + 4096].astype("f8"))
+        #: By codeword; the least bound of each first one tells what the block can reach at all.
+        self.first, self.second = (np.empty((len(words), len(self.raw)), "f4") for words in grid.words) if asks else (None, None)
+        near, turned = [], []
+        for here in (slice(at, at + 1024) for at in range(0, len(self.raw), 1024)):
+            unit = unit_rows(self.raw[here].astype("f8"))
             near.append(unit.astype("f4"))
             turned.append(grid.turned(unit))
             if asks:  # rounded down, as single precision must not part what is in reach
-                halves.append([(b * (1 - 1e-6)).astype("f4").T for b in grid.bounds(unit)])
+                first, second = grid.bounds(unit)
+                self.first[:, here], self.second[:, here] = first.T * (1 - 1e-6), second.T * (1 - 1e-6)
         self.near, self.turned = np.concatenate(near), np.concatenate(turned)
-        #: By codeword; the least bound of each first one tells what the block can reach at all.
-        self.first, self.second = (np.ascontiguousarray(np.concatenate(h, axis=1)) for h in zip(*halves, strict=True)) if asks else (None, None)
         self.least = self.first.min(axis=1) if asks else None
 
     def exact(self, places: np.ndarray) -> np.ndarray:
