@@ -16,13 +16,13 @@ def bytes_below(folders):
 
 def test_disk_grows_with_the_vectors_alone(spark):
     shuffled = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
-    x = np.random.default_rng(1).normal(size=(3000, 64))  # no clusters: bounds are weak
+    x = np.random.default_rng(1).normal(size=(6000, 64))  # no clusters: bounds are weak
     frame = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
     before = bytes_below(shuffled)
     with collected() as paths:
-        assert multi_index.link_vectors(frame, chunk=100).filter("n_links > 0").count() == 0
+        assert multi_index.link_vectors(frame, chunk=200).filter("n_links > 0").count() == 0
     used = bytes_below(shuffled) - before + bytes_below(qualified(p).removeprefix("file://") for p in paths)
-    assert used < 4 * x.size * 4
+    assert used < 5 * 4 * x.size, used  # small files; vectors read, shuffled and in blocks are three times the values
 
 
 def check(spark, rows, kind, chunk):
